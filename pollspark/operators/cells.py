@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollspark.operators.relate import union_all, with_group
@@ -13,12 +13,12 @@ from pollspark.operators.relate import union_all, with_group
 def ordinal_counts(answers: DataFrame, geo: Sequence[str], period: Sequence[str]) -> DataFrame:
     """Answers per place, period, question and option (``yes``) and per cell (``size``).
 
-    The large reduction of the pipeline: counting runs map-side first, and the
-    cell size is summed over the few options of a cell, not over answers.
+    The large reduction of the pipeline: counting runs map-side first. The size
+    is a window over the counts of one cell, which has one row per option.
     """
     keys = [*geo, *period, "question"]
     counts = answers.groupBy(*keys, "option").agg(F.count(F.lit(1)).alias("yes"))
-    return with_group(counts, keys, F.sum("yes").alias("size"))
+    return counts.withColumn("size", F.sum("yes").over(Window.partitionBy(*keys)))
 
 
 def region_weights(pop: DataFrame, country: str, region: str, size: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollspark.functions.columns import normal_quantile
@@ -203,32 +203,43 @@ def _geyer(rho: DataFrame, parts: DataFrame, known: int) -> DataFrame:
     )
 
 
+def _series(df: DataFrame, kind: str, value: Column) -> DataFrame:
+    """The same draws as a further series: ``kind`` goes in front of the variable name."""
+    return df.select(F.concat(F.lit(kind + ":"), "variable").alias("variable"), "half", "pos", value.alias("value"))
+
+
+def _of_kind(df: DataFrame, kind: str) -> DataFrame:
+    chosen = df.where(F.col("variable").startswith(kind + ":"))
+    return chosen.withColumn("variable", F.substring("variable", F.lit(len(kind) + 2), F.length("variable")))
+
+
 def convergence(draws: DataFrame) -> DataFrame:
     """Rank-normalised split R-hat, bulk and tail effective size per variable.
 
-    Chains of a variable must have equal length (see ``equal_chains``).
+    Chains of a variable must have equal length (see ``equal_chains``). The
+    derived series (ranks, distances from the median, tail indicators) go
+    through each step together.
     """
-    halves = materialise(split_chains(draws))
-    bulk = materialise(rank_normalise(halves))
     marks = quantiles(draws, "value", [0.05, 0.5, 0.95], ["variable"], ["q5", "median", "q95"])
-    marked = left_join(halves, marks, "variable")
-    keys = ["variable", "half", "pos"]
-    folded = marked.select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
-
-    def rhat(df: DataFrame, name: str) -> DataFrame:
-        parts = _variance_parts(chain_moments(df))
-        return parts.select("variable", F.sqrt(F.try_divide(F.col("pooled"), F.col("within"))).alias(name))
-
-    def tail(mark: str) -> DataFrame:
-        return marked.select(*keys, (F.col("value") <= F.col(mark)).cast("double").alias("value"))
-
-    ratio = inner_join(rhat(bulk, "r_bulk"), rhat(rank_normalise(folded), "r_folded"), ["variable"])
-    sizes = effective_size(bulk).withColumnRenamed("ess", "ess_bulk")
-    for name in ("q5", "q95"):
-        sizes = inner_join(sizes, effective_size(tail(name)).withColumnRenamed("ess", "t_" + name), ["variable"])
-    return inner_join(ratio, sizes, ["variable"]).select(
+    marked = materialise(left_join(split_chains(draws), marks, "variable"))
+    value = F.col("value")
+    ranked = materialise(
+        rank_normalise(
+            union_all(_series(marked, "bulk", value), _series(marked, "folded", F.abs(value - F.col("median"))))
+        )
+    )
+    parts = _variance_parts(chain_moments(ranked))
+    ratios = parts.select("variable", F.sqrt(F.try_divide(F.col("pooled"), F.col("within"))).alias("rhat"))
+    tails = [_series(marked, q, (value <= F.col(q)).cast("double")) for q in ("q5", "q95")]
+    bulk = ranked.where(F.col("variable").startswith("bulk:"))
+    sizes = materialise(effective_size(union_all(bulk, *tails)))
+    found = _of_kind(ratios, "bulk").withColumnRenamed("rhat", "r_bulk")
+    found = inner_join(found, _of_kind(ratios, "folded").withColumnRenamed("rhat", "r_folded"), ["variable"])
+    for kind in ("bulk", "q5", "q95"):
+        found = inner_join(found, _of_kind(sizes, kind).withColumnRenamed("ess", "ess_" + kind), ["variable"])
+    return found.select(
         "variable",
         F.greatest("r_bulk", "r_folded").alias("rhat"),
         "ess_bulk",
-        F.least("t_q5", "t_q95").alias("ess_tail"),
+        F.least("ess_q5", "ess_q95").alias("ess_tail"),
     )

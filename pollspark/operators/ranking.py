@@ -30,7 +30,7 @@ def quantiles(
     ``8 / accuracy`` of a large group is then ranked. Any valid bracket gives the
     same exact answer.
     """
-    by, names = list(by), list(names or [f"q{p:g}" for p in probs])
+    by, names = list(by), list(names or [f"q{100 * p:g}" for p in probs])
     inf = float("inf")
     slack = 3.0 / accuracy
     # A group with no value still gets a row, with missing quantiles.
@@ -92,7 +92,7 @@ def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequen
     """Opt-in sketch answer, one aggregate pass."""
     sketch = F.percentile_approx(col, F.array(*[F.lit(float(p)) for p in probs]), ACCURACY)
     picked = df.groupBy(*by).agg(sketch.alias("__q"))
-    return picked.select(*by, *[F.get("__q", F.lit(i)).alias(f"q{p:g}") for i, p in enumerate(probs)])
+    return picked.select(*by, *[F.get("__q", F.lit(i)).alias(f"q{100 * p:g}") for i, p in enumerate(probs)])
 
 
 def global_position(

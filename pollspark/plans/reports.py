@@ -23,6 +23,7 @@ from pollspark.operators.ranking import median, quantiles
 from pollspark.operators.regress import near_average_items, partial_r2
 from pollspark.operators.relate import full_join, inner_join, left_join, semi_join
 from pollspark.operators.shape import extremes, half_groups, reorder, rescale01, standardise
+from pollspark.session import materialise
 
 # Continent groups of the interval tables.
 CONTINENT_GROUPS = {
@@ -101,7 +102,8 @@ def corr_points(points: DataFrame, qlist: DataFrame, near_average: bool = False,
     if near_average:
         kept = semi_join(kept, near_average_items(disc, "discrimination"), "question")
         order = "discrimination"
-    ranked = reorder(kept, "question", order, "question_rank")
+    # The ranking reads the points three times.
+    ranked = reorder(materialise(kept), "question", order, "question_rank")
     return ranked.withColumn("discrimination", F.bround("discrimination", 2))
 
 
@@ -175,7 +177,7 @@ def region_window(table: DataFrame, continents: Sequence[str], period: str) -> D
 
 def interval_table(est: DataFrame, n: int, label: Sequence[str], key: str, by: Sequence[str] = ()) -> DataFrame:
     """Top and bottom regions with their interval, labelled and ranked by score."""
-    ends = extremes(est.distinct(), "mean", n, key, by)
+    ends = materialise(extremes(est.distinct(), "mean", n, key, by))
     return reorder(ends.withColumn("fullname", C.paste(", ", *label)), "fullname", "mean", "place")
 
 
