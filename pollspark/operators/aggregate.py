@@ -129,17 +129,20 @@ def regional_cv(est: DataFrame, by: Sequence[str], score: str) -> DataFrame:
 
 
 def correlation(x: str, y: str, use: str = "complete") -> Column:
-    """Correlation aggregate. ``complete`` drops incomplete pairs; ``everything``
-    is missing as soon as one pair is incomplete."""
-    value = F.corr(x, y)
-    # A constant column has no correlation.
-    spread = (F.regr_sxx(y, x) > 0) & (F.regr_syy(y, x) > 0)
+    """Correlation aggregate, missing for a constant column.
+
+    ``complete`` drops incomplete pairs; ``everything`` is missing as soon as one
+    pair is incomplete. From sums of squares, as ``corr`` divides by zero on a
+    constant column under ANSI rules.
+    """
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    value = F.try_divide(F.regr_sxy(y, x), spread)
     if use == "everything":
         incomplete = F.max((F.col(x).isNull() | F.col(y).isNull()).cast("int"))
-        spread = spread & (incomplete == 0)
-    elif use != "complete":
+        return F.when(incomplete == 0, value)
+    if use != "complete":
         raise ValueError(use)
-    return F.when(spread, value)
+    return value
 
 
 def validation_corr(

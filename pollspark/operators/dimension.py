@@ -11,6 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pollspark.operators.aggregate import correlation
 from pollspark.operators.clean import complete_cases
 from pollspark.operators.relate import union_all
 from pollspark.operators.shape import pivot_longer, pivot_wider, standardise
@@ -45,7 +46,7 @@ def corr_matrix(
             F.struct(
                 F.lit(a).alias("item_a"),
                 F.lit(b).alias("item_b"),
-                F.when((F.regr_sxx(b, a) > 0) & (F.regr_syy(b, a) > 0), F.corr(a, b)).alias("corr"),
+                correlation(a, b).alias("corr"),
             ).alias(f"p{i}")
             for i, (a, b) in enumerate(some)
         ]

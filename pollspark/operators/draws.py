@@ -85,25 +85,29 @@ def rank_normalise(halves: DataFrame) -> DataFrame:
     return left_join(halves, scores, ["variable", "value"]).withColumn("value", F.col("z")).drop("z")
 
 
-def _lag_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of lagged products of each block with the stretch that follows it."""
-    for pdf in batches:
-        sums: dict[tuple, np.ndarray] = {}
-        for row in pdf.itertuples(index=False):
-            own = np.asarray(row.own, dtype=float)
-            ahead = np.zeros(2 * BLOCK)
-            ahead[: len(row.near)] = row.near
-            ahead[BLOCK : BLOCK + len(row.far)] = row.far
-            products = np.correlate(ahead, own, mode="full")[len(own) - 1 : len(own) - 1 + BLOCK]
-            key = (row.variable, row.half, row.shift)
-            sums[key] = sums.get(key, 0.0) + products
-        for (variable, half, shift), s in sums.items():
-            lags = shift * BLOCK + np.arange(BLOCK)
-            yield pd.DataFrame({"variable": variable, "half": half, "lag": lags, "s": s})
-
-
-def _autocovariance(blocks: DataFrame, shift: int) -> DataFrame:
-    """Lagged product sums for lags ``shift * BLOCK`` up to the next block.
+def _lag_sums(block: int):
+    """Task function: sums of lagged products of each block with the stretch that follows it."""
+
+    def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            for row in pdf.itertuples(index=False):
+                own = np.asarray(row.own, dtype=float)
+                ahead = np.zeros(2 * block)
+                ahead[: len(row.near)] = row.near
+                ahead[block : block + len(row.far)] = row.far
+                products = np.correlate(ahead, own, mode="full")[len(own) - 1 : len(own) - 1 + block]
+                key = (row.variable, row.half, row.shift)
+                sums[key] = sums.get(key, 0.0) + products
+            for (variable, half, shift), s in sums.items():
+                lags = shift * block + np.arange(block)
+                yield pd.DataFrame({"variable": variable, "half": half, "lag": lags, "s": s})
+
+    return sums_of
+
+
+def _autocovariance(blocks: DataFrame, shift: int, block: int) -> DataFrame:
+    """Lagged product sums for the ``block`` lags from ``shift * block`` on.
 
     Each task row holds three blocks at most, so memory does not depend on the
     length of a chain.
@@ -117,11 +121,11 @@ def _autocovariance(blocks: DataFrame, shift: int) -> DataFrame:
         "variable", "half", "own", "near", F.coalesce("far", F.array().cast("array<double>")).alias("far"),
         F.lit(shift).alias("shift"),
     )
-    sums = rows.mapInPandas(_lag_sums, "variable string, half long, lag long, s double")
+    sums = rows.mapInPandas(_lag_sums(block), "variable string, half long, lag long, s double")
     return sums.groupBy("variable", "half", "lag").agg(F.sum("s").alias("s"))
 
 
-def effective_size(halves: DataFrame) -> DataFrame:
+def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
     """Effective sample size per variable from split chains of equal length.
 
     Autocorrelations are summed in pairs up to the first negative pair, each pair
@@ -134,14 +138,14 @@ def effective_size(halves: DataFrame) -> DataFrame:
     varied = parts.where(F.col("within") > 0)
     blocks = materialise(
         inner_join(halves, moments.select("variable", "half", "m"), ["variable", "half"])
-        .groupBy("variable", "half", F.floor((F.col("pos") - 1) / BLOCK).alias("block"))
+        .groupBy("variable", "half", F.floor((F.col("pos") - 1) / block).alias("block"))
         .agg(F.array_sort(F.array_agg(F.struct("pos", (F.col("value") - F.col("m")).alias("x")))).alias("xs"))
         .select("variable", F.col("half").cast("long").alias("half"), "block", F.col("xs.x").alias("values"))
     )
     longest = blocks.agg(F.max("block")).first()[0] or 0
     done, pending, history = [], varied.select("variable"), None
     for shift in range(longest + 1):
-        summed = _autocovariance(inner_join(blocks, pending, ["variable"]), shift)
+        summed = _autocovariance(inner_join(blocks, pending, ["variable"]), shift, block)
         per_lag = summed.groupBy("variable", "lag").agg(F.avg("s").alias("s"))
         rho = 1 - (F.col("within") - F.col("s") / F.col("n")) / F.col("pooled")
         found = inner_join(per_lag, varied, ["variable"]).where(F.col("lag") < F.col("n"))
@@ -149,7 +153,7 @@ def effective_size(halves: DataFrame) -> DataFrame:
         if history is not None:
             found = union_all(inner_join(history, pending, ["variable"]), found)
         history = materialise(found)
-        state = materialise(_geyer(history, varied, (shift + 1) * BLOCK))
+        state = materialise(_geyer(history, varied, (shift + 1) * block))
         done.append(state.where("finished"))
         pending = state.where(~F.col("finished")).select("variable")
         if pending.limit(1).count() == 0:

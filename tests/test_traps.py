@@ -14,7 +14,7 @@ from pollspark.sources import tables as T
 
 
 def rows(df, *cols):
-    return [tuple(r) for r in df.select(*(cols or df.columns)).collect()]
+    return [tuple(r) for r in (df.select(*cols) if cols else df).collect()]
 
 
 def one(spark, expr):
