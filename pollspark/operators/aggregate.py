@@ -43,6 +43,22 @@ def mean_answers(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Dat
     return pivot_longer(wide, keys, cols, "question", "avg_resp")
 
 
+def answer_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Count of answers and mean of non-negative answers per group and question, in one pass.
+
+    Same rows as ``count_answers`` joined to ``mean_answers`` after ``null_negative``.
+    """
+    per_col = [
+        F.struct(
+            F.lit(c).alias("question"),
+            F.count(c).alias("size"),
+            F.avg(F.when(F.col(c) >= 0, F.col(c))).alias("avg_resp"),
+        ).alias(c)
+        for c in cols
+    ]
+    return df.groupBy(*keys).agg(*per_col).select(*keys, F.inline(F.array(*cols)))
+
+
 def thickness(cells: DataFrame, geo: str, period: str, question: str) -> DataFrame:
     """Distinct question-periods, periods and questions with data per country."""
     pairs = cells.select(geo, period, question).distinct()

@@ -13,6 +13,7 @@ from pollspark.operators.aggregate import geo_mean
 from pollspark.operators.ranking import quantiles
 from pollspark.operators.relate import left_join, one_row, union_all
 from pollspark.operators.shape import standardise
+from pollspark.session import materialise
 
 # Countries always labelled in the quadrant chart.
 ALWAYS_LABELLED = ("United States", "China", "Brazil", "India", "Russia", "Japan", "Germany")
@@ -25,6 +26,16 @@ def _pairs(df: DataFrame, y: str, x: str, *keep: str) -> DataFrame:
     return both.select(*keep, F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x"))
 
 
+def _kept_pairs(df: DataFrame, y: str, x: str, *keep: str) -> DataFrame:
+    """Complete pairs, written once: a first pass gives the line, a second its residuals."""
+    return materialise(_pairs(df, y, x, *keep))
+
+
+def _carried(line: DataFrame) -> list[Column]:
+    """The numbers of a one-row struct ``s``, kept through an aggregate."""
+    return [F.max(f"s.{c}").alias(c) for c in line.columns]
+
+
 def _line_stats() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"),
@@ -42,7 +53,7 @@ def ols_robust(df: DataFrame, y: str, x: str) -> DataFrame:
     Two passes: the line from moments, then squared residuals weighted by
     leverage ``1/n + dx^2/Sxx``.
     """
-    pairs = _pairs(df, y, x)
+    pairs = _kept_pairs(df, y, x)
     line = pairs.agg(*_line_stats()).withColumn("slope", F.try_divide("sxy", "sxx"))
     rows = pairs.withColumn("s", one_row(line))
     s = {c: F.col(f"s.{c}") for c in line.columns}
@@ -54,18 +65,18 @@ def ols_robust(df: DataFrame, y: str, x: str) -> DataFrame:
     on_slope = F.try_divide(dx, s["sxx"])
     on_intercept = 1 / s["n"] - s["mx"] * on_slope
     total = rows.agg(
-        F.any_value("s").alias("s"),
+        *_carried(line),
         F.sum(resid * resid).alias("rss"),
         F.sqrt(F.sum(on_slope * on_slope * weighted)).alias("slope_se"),
         F.sqrt(F.sum(on_intercept * on_intercept * weighted)).alias("intercept_se"),
     )
-    r2 = 1 - F.try_divide(F.col("rss"), F.col("s.syy"))
-    n = F.col("s.n")
+    r2 = 1 - F.try_divide(F.col("rss"), F.col("syy"))
+    n = F.col("n")
     return total.select(
-        n.alias("n"),
-        (F.col("s.my") - F.col("s.slope") * F.col("s.mx")).alias("intercept"),
+        "n",
+        (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"),
         "intercept_se",
-        F.col("s.slope").alias("slope"),
+        "slope",
         "slope_se",
         r2.alias("r2"),
         (1 - (1 - r2) * F.try_divide(n - 1, n - 2)).alias("adj_r2"),
@@ -79,7 +90,7 @@ def ols_within(df: DataFrame, y: str, x: str, fe: str) -> DataFrame:
     Leverage of a row is ``1/n_group + dx^2/Sxx`` with ``dx`` centred in the
     group. A row whose leverage is 1 has no HC2 weight; its residual is 0.
     """
-    pairs = _pairs(df, y, x, fe)
+    pairs = _kept_pairs(df, y, x, fe)
     groups = pairs.groupBy(fe).agg(*_line_stats())
     total = groups.agg(
         F.sum("n").alias("n"),
@@ -94,11 +105,8 @@ def ols_within(df: DataFrame, y: str, x: str, fe: str) -> DataFrame:
     leverage = 1 / F.col("ng") + F.try_divide(dx * dx, F.col("s.sxx"))
     weighted = F.when(leverage < 1 - 1e-12, resid * resid / (1 - leverage)).otherwise(0.0)
     spread = F.sum(dx * dx * weighted)
-    return rows.agg(F.any_value("s").alias("s"), spread.alias("meat")).select(
-        F.col("s.n").alias("n"),
-        F.col("s.groups").alias("groups"),
-        F.col("s.slope").alias("slope"),
-        F.try_divide(F.sqrt("meat"), F.col("s.sxx")).alias("slope_se"),
+    return rows.agg(*_carried(total), spread.alias("meat")).select(
+        "n", "groups", "slope", F.try_divide(F.sqrt("meat"), F.col("sxx")).alias("slope_se")
     )
 
 
@@ -108,7 +116,7 @@ def ols_cluster(df: DataFrame, y: str, x: str, cluster: str) -> DataFrame:
     Scores are summed per cluster; the sandwich carries the factor
     ``G/(G-1) * (n-1)/(n-2)``. ``df`` of the t value is ``G - 1``.
     """
-    pairs = _pairs(df, y, x, cluster)
+    pairs = _kept_pairs(df, y, x, cluster)
     line = pairs.agg(*_line_stats()).withColumn("slope", F.try_divide("sxy", "sxx"))
     rows = pairs.withColumn("s", one_row(line))
     dx = F.col("__x") - F.col("s.mx")
@@ -116,22 +124,23 @@ def ols_cluster(df: DataFrame, y: str, x: str, cluster: str) -> DataFrame:
     on_slope = F.try_divide(dx, F.col("s.sxx"))
     on_intercept = 1 / F.col("s.n") - F.col("s.mx") * on_slope
     scores = rows.groupBy(cluster).agg(
-        F.any_value("s").alias("s"), F.sum(on_slope * resid).alias("u"), F.sum(on_intercept * resid).alias("v")
+        F.sum(on_slope * resid).alias("u"), F.sum(on_intercept * resid).alias("v")
     )
+    scores = scores.withColumn("s", one_row(line))
     total = scores.agg(
-        F.any_value("s").alias("s"),
+        *_carried(line),
         F.count(F.lit(1)).alias("clusters"),
         F.sum(F.col("u") * F.col("u")).alias("uu"),
         F.sum(F.col("v") * F.col("v")).alias("vv"),
     )
-    g, n = F.col("clusters"), F.col("s.n")
+    g, n = F.col("clusters"), F.col("n")
     factor = F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 2)
     named = total.select(
-        n.alias("n"),
-        g.alias("clusters"),
-        (F.col("s.my") - F.col("s.slope") * F.col("s.mx")).alias("intercept"),
+        "n",
+        "clusters",
+        (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"),
         F.sqrt(F.col("vv") * factor).alias("intercept_se"),
-        F.col("s.slope").alias("slope"),
+        "slope",
         F.sqrt(F.col("uu") * factor).alias("slope_se"),
     )
     return named.withColumn("intercept_t", F.try_divide("intercept", "intercept_se")).withColumn(

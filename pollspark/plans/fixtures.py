@@ -14,6 +14,20 @@ from pollspark.operators.scores import poststratify
 from pollspark.operators.shape import encode
 from pollspark.sources.tables import load_table
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
 PERIODS = ("2002-03", "2004-05", "2006-07", "2008-09")
 QUESTIONS = ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 QUESTION_COLS = ("q_a_f", "q_a_o", "q_n_f", "q_n_o", "q_r_f", "q_r_o")
@@ -28,7 +42,7 @@ class Survey:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.sf_dir, f"{name}.parquet")
+        return load_table(self.spark, self.sf_dir, f"{name}.parquet", schema=SCHEMAS.get(name))
 
     @cached_property
     def places(self) -> DataFrame:
@@ -152,9 +166,9 @@ class Survey:
         asked = [
             F.max(F.when(F.col("question") == q, code)).alias(c) for q, c in zip(QUESTIONS, QUESTION_COLS, strict=True)
         ]
-        return self.answers.groupBy("l_orderkey", "iso_3166", "mergekey", "source2").agg(
-            F.min("year2").alias("year2"), *asked
-        )
+        # The first period as a number: text aggregates would sort the answers.
+        one = self.answers.groupBy("l_orderkey", "iso_3166", "mergekey", "source2").agg(F.min("year").alias("year"), *asked)
+        return one.select("l_orderkey", "iso_3166", "mergekey", "source2", biennium("year").alias("year2"), *QUESTION_COLS)
 
     @cached_property
     def item_gamma(self) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pollspark.functions import columns as C
-from pollspark.operators.aggregate import count_answers, question_coverage
+from pollspark.operators.aggregate import answer_stats, question_coverage
 from pollspark.operators.relate import left_join
 from pollspark.operators.shape import rescale01, standardise
 from pollspark.plans import reports as K
 from pollspark.plans.fixtures import FINAL, QUESTION_COLS, Survey
 from pollspark.plans.registry import query, r, rounded
+from pollspark.session import materialise
 
 PAIR = ("2002-03", FINAL)
 
@@ -42,9 +43,12 @@ _VALID = f"""c AS (SELECT source2, iso_3166, year2, question, count(answer) AS s
             WINDOW g AS (PARTITION BY v.question, v.year2, source2, discrimination, continent_name))"""
 
 
-def _coverage(s: Survey) -> DataFrame:
-    sizes = count_answers(s.wide, ["source2", "iso_3166", "year2"], QUESTION_COLS)
-    found = question_coverage(sizes, ["question", "source2"], "iso_3166", 20)
+def _stats(s: Survey) -> DataFrame:
+    return materialise(answer_stats(s.wide, ["source2", "iso_3166", "year2"], QUESTION_COLS))
+
+
+def _coverage(stats: DataFrame) -> DataFrame:
+    found = question_coverage(stats, ["question", "source2"], "iso_3166", 20)
     return found.withColumn("qsource", C.paste("-", "question", "source2"))
 
 
@@ -53,10 +57,9 @@ def _disc(s: Survey) -> DataFrame:
     return s.item_gamma.select(name.alias("question"), F.col("gamma_raw").alias("discrimination"))
 
 
-def _points(s: Survey) -> DataFrame:
+def _points(s: Survey, stats: DataFrame) -> DataFrame:
     est = left_join(s.est_nat, s.continents, "iso_3166")
-    table = K.validation_table(s.wide, QUESTION_COLS, est, _disc(s), _coverage(s))
-    return K.with_correlations(table)
+    return K.with_correlations(K.validation_table(stats, est, _disc(s), _coverage(stats)))
 
 
 @query(
@@ -66,7 +69,7 @@ def _points(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     cols = ["question", "year2", "source2", "discrimination", "continent_name", "iso_3166", "mean", "ncountries", "corr", "prop_scl"]
-    return rounded(_points(s).select(*cols), "discrimination", "mean", "prop_scl")
+    return rounded(_points(s, _stats(s)).select(*cols), "discrimination", "mean", "prop_scl")
 
 
 _RANKED = """o AS (SELECT question, row_number() OVER (ORDER BY median({by}) NULLS LAST, question) AS question_rank FROM f GROUP BY 1)
@@ -81,7 +84,8 @@ _POINT_COLS = ["question", "year2", "source2", "iso_3166", "discrimination", "co
         AND discrimination IS NOT NULL AND continent_name IS NOT NULL), {_RANKED.format(by="corr")}""",
 )
 def _(s: Survey) -> DataFrame:
-    return K.corr_points(_points(s), _coverage(s)).select(*_POINT_COLS)
+    stats = _stats(s)
+    return K.corr_points(_points(s, stats), _coverage(stats)).select(*_POINT_COLS)
 
 
 @query(
@@ -92,7 +96,9 @@ def _(s: Survey) -> DataFrame:
         {_RANKED.format(by="discrimination")}""",
 )
 def _(s: Survey) -> DataFrame:
-    return K.corr_points(_points(s), _coverage(s), near_average=True, disc=_disc(s)).select(*_POINT_COLS)
+    stats = _stats(s)
+    points = K.corr_points(_points(s, stats), _coverage(stats), near_average=True, disc=_disc(s))
+    return points.select(*_POINT_COLS)
 
 
 @query(

@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 from pollspark.functions import columns as C
 from pollspark.operators.aggregate import (
     correlation,
-    count_answers,
-    mean_answers,
     n_unique,
     regional_cv,
     samples,
     tally,
     validation_corr,
 )
-from pollspark.operators.clean import any_answered, null_negative
+from pollspark.operators.clean import any_answered
 from pollspark.operators.ranking import median, quantiles
 from pollspark.operators.regress import near_average_items, partial_r2
-from pollspark.operators.relate import full_join, inner_join, left_join, semi_join
+from pollspark.operators.relate import inner_join, left_join, semi_join
 from pollspark.operators.shape import extremes, half_groups, reorder, rescale01, standardise
 from pollspark.session import materialise
 
@@ -56,23 +54,15 @@ def export_periods(est: DataFrame, period: str, first: str, last: str) -> DataFr
 
 
 def validation_table(
-    answers: DataFrame,
-    questions: Sequence[str],
-    est: DataFrame,
-    disc: DataFrame,
-    kept: DataFrame,
-    extra: DataFrame | None = None,
+    stats: DataFrame, est: DataFrame, disc: DataFrame, kept: DataFrame, extra: DataFrame | None = None
 ) -> DataFrame:
     """Mean raw response beside the model score, per question, source, country and period.
 
-    ``answers``: wide microdata with source2, iso_3166, year2. ``est``: iso_3166,
+    ``stats``: ``answer_stats`` by source2, iso_3166 and year2. ``est``: iso_3166,
     year2, mean, continent_name. ``disc``: question, discrimination. ``kept``:
     question list. ``extra``: prepared rows of sources that cannot be shared.
     """
-    keys = ["source2", "iso_3166", "year2"]
-    sizes = count_answers(answers, keys, questions)
-    means = mean_answers(null_negative(answers, questions), keys, questions)
-    both = full_join(means, sizes, [*keys, "question"]).where(F.col("size") != 0)
+    both = stats.where(F.col("size") != 0)
     if extra is not None:
         both = both.unionByName(extra, allowMissingColumns=True)
     scored = left_join(both, est.select("iso_3166", "year2", "mean", "continent_name"), ["iso_3166", "year2"])
@@ -85,7 +75,10 @@ def validation_table(
 
 def with_correlations(val: DataFrame) -> DataFrame:
     """Validation rows with the response scaled inside its panel and the
-    correlation of its question and period (more than one country)."""
+    correlation of its question and period (more than one country).
+
+    The rows are country sized and read four times, hence written once."""
+    val = materialise(val)
     corr = validation_corr(val.where(F.col("mean").isNotNull()), "avg_resp", "mean", ["question", "year2"], "iso_3166")
     panel = ["question", "year2", "source2", "discrimination", "continent_name"]
     scaled = standardise(val.select(*panel, "iso_3166", "mean", "avg_resp"), "avg_resp", panel, "prop_scl")

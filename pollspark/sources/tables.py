@@ -14,9 +14,15 @@ def variant(model: str, collapse: str, qfilter: str, geog: str | None = None) ->
     return "_".join(part for part in (model, collapse, qfilter, geog) if part)
 
 
-def load_table(spark: SparkSession, root: str, name: str, variant: str | None = None) -> DataFrame:
-    """One directory (or file) per saved object; ``variant`` prunes partitions."""
-    df = spark.read.parquet(f"{root}/{name}")
+def load_table(
+    spark: SparkSession, root: str, name: str, variant: str | None = None, schema: StructType | str | None = None
+) -> DataFrame:
+    """One directory (or file) per saved object; ``variant`` prunes partitions.
+
+    With a ``schema`` no file is opened before the query runs.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(f"{root}/{name}")
     if variant is None:
         return df
     return df.where(F.col("variant") == variant).drop("variant")
