@@ -15,6 +15,7 @@ from pollspark.operators.aggregate import correlation
 from pollspark.operators.clean import complete_cases
 from pollspark.operators.relate import union_all
 from pollspark.operators.shape import pivot_longer, pivot_wider, standardise
+from pollspark.session import materialise
 
 
 def country_item_means(answers: DataFrame, items: Sequence[str], unit: str, period: str) -> DataFrame:
@@ -29,29 +30,34 @@ def country_item_means(answers: DataFrame, items: Sequence[str], unit: str, peri
 
 
 def corr_matrix(
-    long: DataFrame, unit: str, item: str, val: str, items: Sequence[str], skip_first: bool = False, chunk: int = 200
+    long: DataFrame, unit: str, item: str, val: str, items: Sequence[str], skip_first: bool = False, chunk: int = 60
 ) -> DataFrame:
     """Pairwise-complete correlations of items, long ``(item_a, item_b, corr)``.
 
-    One row per unit with a column per item, then one aggregate per pair: units
-    are never paired with each other. ``skip_first`` leaves out the first item.
+    One row per unit with a column per item, then one aggregate per unordered
+    pair: units are never paired with each other. ``skip_first`` leaves out the
+    first item. ``chunk`` bounds the number of pairs in one aggregate.
     """
     used = list(items)[1:] if skip_first else list(items)
     wide = pivot_wider(long, [unit], item, val, used)
-    pairs = [(a, b) for a in used for b in used]
+    if len(used) * (len(used) + 1) // 2 > chunk:
+        # Several aggregates read the unit rows.
+        wide = materialise(wide)
+    pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
     parts = []
     for start in range(0, len(pairs), chunk):
-        some = pairs[start : start + chunk]
-        cells = [
-            F.struct(
-                F.lit(a).alias("item_a"),
-                F.lit(b).alias("item_b"),
-                correlation(a, b).alias("corr"),
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(some)
-        ]
-        parts.append(wide.agg(*cells).select(F.inline(F.array(*[f"p{i}" for i in range(len(some))]))))
-    return union_all(*parts)
+        rows = []
+        for a, b in pairs[start : start + chunk]:
+            value = correlation(a, b) if a != b else F.when(F.var_pop(a) > 0, 1.0)
+            rows.append(F.struct(F.lit(a).alias("item_a"), F.lit(b).alias("item_b"), value.alias("corr")))
+        names = [f"p{i}" for i in range(len(rows))]
+        found = wide.agg(*[row.alias(n) for row, n in zip(rows, names, strict=True)])
+        parts.append(found.select(F.inline(F.array(*names))))
+    half = union_all(*parts)
+    mirrored = half.where(F.col("item_a") != F.col("item_b")).select(
+        F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "corr"
+    )
+    return half.unionByName(mirrored)
 
 
 def mean_correlation(matrix: DataFrame, digits: int = 2) -> DataFrame:

@@ -203,7 +203,7 @@ def _share(sxy: Column, sxx: Column, syy: Column) -> Column:
 
 
 def pairwise_partial_r2(
-    wide: DataFrame, items: Sequence[str], unit: str, min_df: int = 10, chunk: int = 200
+    wide: DataFrame, items: Sequence[str], unit: str, min_df: int = 10, chunk: int = 50
 ) -> DataFrame:
     """Partial R2 of every pair of question series after ``unit`` effects.
 
@@ -213,6 +213,8 @@ def pairwise_partial_r2(
     Kept: more rows than units and ``df > min_df``; ``df = n - units - 1``.
     """
     pairs = [(x, y) for i, y in enumerate(items) for x in items[i + 1 :]]
+    if len(pairs) > chunk:
+        wide = materialise(wide)
     parts = []
     for start in range(0, len(pairs), chunk):
         some = pairs[start : start + chunk]
@@ -265,6 +267,7 @@ def quadrants(
     df: DataFrame, x: str, y: str, label: str, always: Sequence[str] = ALWAYS_LABELLED
 ) -> DataFrame:
     """Rows in a corner of the quartile grid, plus listed labels, typed emitter or outlier."""
+    df = materialise(df)
     qx = quantiles(df, x, [0.25, 0.75], names=["x1", "x3"])
     qy = quantiles(df, y, [0.25, 0.75], names=["y1", "y3"])
     marked = df.withColumn("__qx", one_row(qx)).withColumn("__qy", one_row(qy))
@@ -287,5 +290,7 @@ def emissions_per_capita(emissions: DataFrame, crosswalk: DataFrame, pop: DataFr
     by_region = merged.groupBy("country", "mergekey").agg(F.sum("tons").alias("tons"))
     heads = left_join(by_region, pop, "mergekey")
     ratio = heads.withColumn("percap", F.try_divide("tons", "region_pop"))
-    return standardise(ratio.withColumn("percap_ln", safe_ln("percap")), "percap_ln", name="percap_ln_std")
+    # One row per region, read for the moments and again for the rows.
+    logged = materialise(ratio.withColumn("percap_ln", safe_ln("percap")))
+    return standardise(logged, "percap_ln", name="percap_ln_std")
 

@@ -12,6 +12,7 @@ from pollspark.operators.cells import ordinal_counts, region_weights
 from pollspark.operators.relate import inner_join, left_join, union_all
 from pollspark.operators.scores import poststratify
 from pollspark.operators.shape import encode
+from pollspark.session import materialise
 from pollspark.sources.tables import load_table
 
 SCHEMAS = {
@@ -86,11 +87,20 @@ class Survey:
         regional = self.answers.where(F.col("orderstatus") != "P")
         return ordinal_counts(regional, ["continent_name", "iso_3166", "mergekey"], ["year2", "year_int"])
 
+    @cached_property
+    def stored_cells(self) -> DataFrame:
+        """The cells as a saved table, for queries that read them more than once."""
+        return materialise(self.cells)
+
     @cached_property
     def cells_nat(self) -> DataFrame:
         national = self.answers.where(F.col("orderstatus") == "P")
         return ordinal_counts(national, ["continent_name", "iso_3166"], ["year2", "year_int"])
 
+    @cached_property
+    def stored_nat(self) -> DataFrame:
+        return materialise(self.cells_nat)
+
     @cached_property
     def population(self) -> DataFrame:
         return self.places.groupBy("iso_3166", "mergekey").agg(F.count(F.lit(1)).alias("region_pop"))
@@ -103,7 +113,7 @@ class Survey:
     def est_reg(self) -> DataFrame:
         """Direct score: count-weighted mean option on a 0-1 scale."""
         steps = F.when(F.col("question").startswith("N"), 2.0).otherwise(4.0)
-        return self.cells.groupBy("iso_3166", "mergekey", "year2", "year_int").agg(
+        return self.stored_cells.groupBy("iso_3166", "mergekey", "year2", "year_int").agg(
             (F.sum(F.col("yes") * (F.col("option") - 1) / steps) / F.sum("yes")).alias("mean"),
             F.sum("yes").alias("n"),
         )
@@ -172,7 +182,7 @@ class Survey:
 
     @cached_property
     def item_gamma(self) -> DataFrame:
-        return self.cells.groupBy("question").agg(
+        return self.stored_cells.groupBy("question").agg(
             (F.avg("option") / 2.5).alias("gamma_raw"), (F.max("option") - 1).alias("kmin1")
         )
 
@@ -181,7 +191,7 @@ class Survey:
         """Four raw cutpoints per question, from one aggregate row per question."""
         shares = [F.avg(F.when(F.col("option") <= k, 1.0).otherwise(0.0)) for k in range(1, 5)]
         rows = F.array(*[F.struct(F.lit(k).alias("k"), (k + s).alias("beta_raw")) for k, s in enumerate(shares, 1)])
-        return self.cells.groupBy("question").agg(rows.alias("rows")).select("question", F.inline("rows"))
+        return self.stored_cells.groupBy("question").agg(rows.alias("rows")).select("question", F.inline("rows"))
 
     @cached_property
     def drifting(self) -> DataFrame:
@@ -228,25 +238,25 @@ class Survey:
     @cached_property
     def coded_cells(self) -> DataFrame:
         """Cells with integer codes for region, country and question."""
-        return left_join(left_join(left_join(self.cells, self.region_codes, "mergekey"), self.country_codes, "iso_3166"),
+        return left_join(left_join(left_join(self.stored_cells, self.region_codes, "mergekey"), self.country_codes, "iso_3166"),
                          self.question_codes, "question")
 
     @cached_property
     def coded_nat(self) -> DataFrame:
-        return left_join(left_join(self.cells_nat, self.country_codes, "iso_3166"), self.question_codes, "question")
+        return left_join(left_join(self.stored_nat, self.country_codes, "iso_3166"), self.question_codes, "question")
 
     @cached_property
     def region_codes(self) -> DataFrame:
-        return encode(self.cells.select("mergekey").distinct(), "mergekey", "regioncode_int")
+        return encode(self.stored_cells.select("mergekey").distinct(), "mergekey", "regioncode_int")
 
     @cached_property
     def country_codes(self) -> DataFrame:
-        both = self.cells.select("iso_3166").unionByName(self.cells_nat.select("iso_3166")).distinct()
+        both = self.stored_cells.select("iso_3166").unionByName(self.stored_nat.select("iso_3166")).distinct()
         return encode(both, "iso_3166", "iso_3166_int")
 
     @cached_property
     def question_codes(self) -> DataFrame:
-        both = self.cells.select("question").unionByName(self.cells_nat.select("question")).distinct()
+        both = self.stored_cells.select("question").unionByName(self.stored_nat.select("question")).distinct()
         return encode(both, "question", "question_int")
 
     @cached_property
@@ -268,6 +278,5 @@ class Survey:
             named(gamma, "gamma", ["question_int"], "gamma_raw"),
             named(beta, "beta", ["question_int", "k"], "beta_raw"),
         )
-        return rows.select(
-            "variable", "mean", (F.col("mean") - 0.1).alias("q5"), (F.col("mean") + 0.1).alias("q95")
-        )
+        bands = rows.withColumn("q5", F.col("mean") - 0.1).withColumn("q95", F.col("mean") + 0.1)
+        return materialise(bands)

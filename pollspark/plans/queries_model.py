@@ -106,7 +106,7 @@ def _(s: Survey) -> DataFrame:
        GROUP BY 1, 2""",
 )
 def _(s: Survey) -> DataFrame:
-    kept = H.long_series(s.cells.where(F.col("size") > 2), "question", "year2")
+    kept = H.long_series(s.stored_cells.where(F.col("size") > 2), "question", "year2")
     return kept.groupBy("question", "year2").agg(F.sum("yes").alias("yes"))
 
 
@@ -125,13 +125,14 @@ def _(s: Survey) -> DataFrame:
 
 @query("i2_region_weights", f"SELECT iso_3166, mergekey, region_pop, {r('wt')} AS wt FROM weights")
 def _(s: Survey) -> DataFrame:
-    I.check_weights(s.weights, "iso_3166")
-    return rounded(s.weights, "wt")
+    weights = materialise(s.weights)
+    I.check_weights(weights, "iso_3166")
+    return rounded(weights, "wt")
 
 
 @query("i3_region_country", "SELECT DISTINCT mergekey, iso_3166 FROM cells")
 def _(s: Survey) -> DataFrame:
-    return I.region_country(s.cells, "mergekey", "iso_3166")
+    return I.region_country(s.stored_cells, "mergekey", "iso_3166")
 
 
 @query(
@@ -143,14 +144,14 @@ def _(s: Survey) -> DataFrame:
               (SELECT count(*) FROM cells_nat) AS ctjk FROM b""",
 )
 def _(s: Survey) -> DataFrame:
-    cells, nat = I.drop_empty_cells(s.cells), I.drop_empty_cells(s.cells_nat)
+    cells, nat = I.drop_empty_cells(s.stored_cells), I.drop_empty_cells(s.stored_nat)
     return I.model_dims(cells, nat, "iso_3166", "mergekey")
 
 
 def _walks(s: Survey) -> DataFrame:
     country = s.est_nat.select("iso_3166", "year_int", F.col("mean").alias("country_alpha"))
     effect = s.est_reg.select("mergekey", "year_int", (F.col("mean") - 0.5).alias("region_effect"))
-    return S.region_scores(country, effect, s.cells.select("mergekey", "iso_3166").distinct())
+    return S.region_scores(country, effect, s.stored_cells.select("mergekey", "iso_3166").distinct())
 
 
 @query(
@@ -184,7 +185,7 @@ _ITEMS = """g AS (SELECT question, kmin1, gamma_raw / (SELECT exp(avg(ln(gamma_r
     f"WITH {_ITEMS} SELECT question, k, k <= kmin1 AS used, {r('beta')} AS beta FROM b",
 )
 def _(s: Survey) -> DataFrame:
-    out = S.centre_cutpoints(s.item_beta, n_thresholds(s.cells))
+    out = S.centre_cutpoints(s.item_beta, n_thresholds(s.stored_cells))
     return rounded(out.select("question", "k", "used", "beta"), "beta")
 
 
@@ -205,7 +206,7 @@ def _loglik_sql(table: str, est: str, key: str) -> str:
 
 def _items(s: Survey) -> tuple[DataFrame, DataFrame]:
     gamma = S.scale_discrimination(s.item_gamma)
-    beta = S.centre_cutpoints(s.item_beta, n_thresholds(s.cells)).where("used").select("question", "k", "beta")
+    beta = S.centre_cutpoints(s.item_beta, n_thresholds(s.stored_cells)).where("used").select("question", "k", "beta")
     return gamma, beta
 
 
@@ -216,7 +217,7 @@ def _items(s: Survey) -> tuple[DataFrame, DataFrame]:
 def _(s: Survey) -> DataFrame:
     gamma, beta = _items(s)
     scores = s.est_reg.select("mergekey", "year_int", "mean")
-    total = S.ordinal_loglik(s.cells.drop("iso_3166"), scores, "mean", ["mergekey", "year_int"], gamma, beta)
+    total = S.ordinal_loglik(s.stored_cells.drop("iso_3166"), scores, "mean", ["mergekey", "year_int"], gamma, beta)
     return rounded(total, "loglik", digits=3)
 
 
@@ -239,7 +240,7 @@ def _(s: Survey) -> DataFrame:
 def _(s: Survey) -> DataFrame:
     gamma, beta = _items(s)
     scores = s.est_reg.select("mergekey", "year_int", "mean")
-    cells = S.cell_probabilities(s.cells.drop("iso_3166"), scores, "mean", ["mergekey", "year_int"], gamma, beta)
+    cells = S.cell_probabilities(s.stored_cells.drop("iso_3166"), scores, "mean", ["mergekey", "year_int"], gamma, beta)
     per_question = cells.groupBy("question").agg(
         F.count(F.lit(1)).alias("n"), (F.sum(F.col("yes") * F.col("ll")) / F.sum("yes")).alias("mean_ll")
     )
@@ -273,7 +274,7 @@ def _(s: Survey) -> DataFrame:
         sizes,
         s.item_gamma,
         s.item_beta,
-        n_thresholds(s.cells),
+        n_thresholds(s.stored_cells),
     )
     return rounded(blocks, "log_prior", digits=4)
 
@@ -287,7 +288,7 @@ def _(s: Survey) -> DataFrame:
         FROM draws d JOIN m ON d.variable = m.variable GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
-    return rounded(R.summarise_draws(s.draws), "mean", "median", "sd", "mad", "q5", "q95")
+    return rounded(R.summarise_draws(materialise(s.draws)), "mean", "median", "sd", "mad", "q5", "q95")
 
 
 @query(
@@ -307,7 +308,7 @@ def _(s: Survey) -> DataFrame:
 
 @query("i12_convergence")
 def _(s: Survey) -> DataFrame:
-    return R.convergence(R.equal_chains(s.draws))
+    return R.convergence(materialise(R.equal_chains(s.draws)))
 
 
 @query("i13_posterior_mode")
@@ -321,12 +322,12 @@ def _(s: Survey) -> DataFrame:
 
 
 def _periods(s: Survey) -> DataFrame:
-    return S.item_lookup(s.cells, s.cells_nat, "year_int", "year2")
+    return S.item_lookup(s.stored_cells, s.stored_nat, "year_int", "year2")
 
 
 @query("i14_decode_regions", f"SELECT mergekey, iso_3166, year2, {r('mean')} AS mean FROM est_reg")
 def _(s: Survey) -> DataFrame:
-    regions = inner_join(s.region_codes, s.cells.select("mergekey", "iso_3166").distinct(), ["mergekey"])
+    regions = inner_join(s.region_codes, s.stored_cells.select("mergekey", "iso_3166").distinct(), ["mergekey"])
     out = S.decode_region(s.summary, regions, _periods(s))
     return rounded(out.select("mergekey", "iso_3166", "year2", "mean"), "mean")
 

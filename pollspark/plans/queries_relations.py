@@ -12,13 +12,14 @@ from pollspark.operators.ranking import approx_quantiles, median, quantiles
 from pollspark.operators import relate as D
 from pollspark.plans.fixtures import FINAL, PERIODS, QUESTION_COLS, QUESTIONS, Survey
 from pollspark.plans.registry import query, r, rounded
+from pollspark.session import materialise
 
 _KEYS = ["source2", "iso_3166", "year2"]
 
 
 def region_means(s: Survey) -> DataFrame:
     """Mean option per region, period and question."""
-    return s.cells.groupBy("iso_3166", "mergekey", "year2", "question").agg(
+    return s.stored_cells.groupBy("iso_3166", "mergekey", "year2", "question").agg(
         (F.sum(F.col("yes") * F.col("option")) / F.sum("yes")).alias("avg_resp")
     )
 
@@ -275,7 +276,8 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     names = ["q5", "q25", "q50", "q95"]
-    return rounded(quantiles(s.outside, "concern", [0.05, 0.25, 0.5, 0.95], ["iso_3166"], names), *names, digits=4)
+    rows = materialise(s.outside.select("iso_3166", "concern"))
+    return rounded(quantiles(rows, "concern", [0.05, 0.25, 0.5, 0.95], ["iso_3166"], names), *names, digits=4)
 
 
 @query(
@@ -306,7 +308,7 @@ def _(s: Survey) -> DataFrame:
 
 @query("f13_thresholds", "SELECT question, max(option) - 1 AS kmin1 FROM cells GROUP BY 1")
 def _(s: Survey) -> DataFrame:
-    return A.n_thresholds(s.cells)
+    return A.n_thresholds(s.stored_cells)
 
 
 @query(
@@ -476,7 +478,7 @@ def _(s: Survey) -> DataFrame:
 
 @query("g12_integer_codes", "SELECT mergekey, iso_3166, regioncode_int FROM region_codes")
 def _(s: Survey) -> DataFrame:
-    return G.encode(s.cells.select("mergekey", "iso_3166").distinct(), "mergekey", "regioncode_int")
+    return G.encode(s.stored_cells.select("mergekey", "iso_3166").distinct(), "mergekey", "regioncode_int")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pollspark.functions import columns as C
 from pollspark.operators.aggregate import answer_stats, question_coverage
 from pollspark.operators.relate import left_join
-from pollspark.operators.shape import rescale01, standardise
+from pollspark.operators.shape import rescale01
 from pollspark.plans import reports as K
 from pollspark.plans.fixtures import FINAL, QUESTION_COLS, Survey
 from pollspark.plans.registry import query, r, rounded
@@ -109,7 +109,7 @@ def _(s: Survey) -> DataFrame:
         SELECT year2, {r("mean")} AS mean, {r("outside", 4)} AS outside, (SELECT round_even(corr(mean, outside), 2) + 0.0E0 FROM j) AS corr FROM j""",
 )
 def _(s: Survey) -> DataFrame:
-    other = s.outside.where(F.col("iso_3166") == "NATION_1").select("year", "concern")
+    other = materialise(s.outside.where(F.col("iso_3166") == "NATION_1").select("year", "concern"))
     return rounded(rounded(K.compare_national(s.est_nat, other, "NATION_1"), "mean"), "outside", digits=4)
 
 
@@ -122,7 +122,7 @@ _STATES = """o AS (SELECT split_part(mergekey, ':', 2) AS abb, concat(CAST(year
 
 def _states(s: Survey) -> DataFrame:
     abb = C.split_label("mergekey", ":", 2)[1]
-    other = s.outside.where(F.col("iso_3166") == "NATION_1").select(abb.alias("abb"), "year", "concern")
+    other = materialise(s.outside.where(F.col("iso_3166") == "NATION_1").select(abb.alias("abb"), "year", "concern"))
     return K.compare_subnational(rescale01(s.est_reg, "mean", "mean_scl"), other, "NATION_1", sep=":")
 
 
@@ -167,11 +167,11 @@ def _(s: Survey) -> DataFrame:
 
 
 def nations(s: Survey) -> DataFrame:
-    return rescale01(standardise(s.est_nat.drop("year_int"), "mean", name="mean_std"), "mean", "mean_scl")
+    return K.scale_estimates(s.est_nat).select("iso_3166", "year2", "mean", "mean_std", "mean_scl")
 
 
 def regions(s: Survey) -> DataFrame:
-    return rescale01(standardise(s.est_reg.drop("year_int", "n"), "mean", name="mean_std"), "mean", "mean_scl")
+    return K.scale_estimates(s.est_reg).select("iso_3166", "mergekey", "year2", "mean", "mean_std", "mean_scl")
 
 
 @query("k6_two_period_export", f"SELECT iso_3166, year2, {r('mean_scl')} AS mean_scl FROM nat_scaled WHERE year2 IN ('2002-03', '2008-09')")
@@ -319,7 +319,7 @@ MIN_REGION, MIN_NATION = 999, 6000
 
 def _sampled(s: Survey) -> DataFrame:
     reg = regions(s).where(F.col("year2") == FINAL).select("iso_3166", "mergekey", "mean_scl")
-    return K.sampled_regions(reg, s.cells, MIN_REGION, ("NATION_3:BUILDING",))
+    return K.sampled_regions(reg, s.stored_cells, MIN_REGION, ("NATION_3:BUILDING",))
 
 
 def _quotients(s: Survey) -> DataFrame:
@@ -363,7 +363,7 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     final = nations(s).where(F.col("year2") == FINAL)
-    out = K.cv_tables(_sampled(s), final, s.cells, ("NATION_1", "NATION_2", "NATION_4"), MIN_NATION)
+    out = K.cv_tables(_sampled(s), final, s.stored_cells, ("NATION_1", "NATION_2", "NATION_4"), MIN_NATION)
     return rounded(out, "nat_regionmean", "nat_regionsd", "nat_cv", "nat_mean_scl")
 
 

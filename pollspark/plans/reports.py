@@ -19,8 +19,8 @@ from pollspark.operators.aggregate import (
 from pollspark.operators.clean import any_answered
 from pollspark.operators.ranking import median, quantiles
 from pollspark.operators.regress import near_average_items, partial_r2
-from pollspark.operators.relate import inner_join, left_join, semi_join
-from pollspark.operators.shape import extremes, half_groups, reorder, rescale01, standardise
+from pollspark.operators.relate import inner_join, left_join, one_row, semi_join
+from pollspark.operators.shape import extremes, half_groups, reorder, standardise
 from pollspark.session import materialise
 
 # Continent groups of the interval tables.
@@ -42,10 +42,26 @@ UNSCORED_CONTINENTS = {"AO": "Africa", "XK": "Europe"}
 
 
 def scale_estimates(est: DataFrame, score: str = "mean") -> DataFrame:
-    """Standardised and 0-1 scores over the whole table, both binned."""
-    scaled = rescale01(standardise(est, score, name="mean_std"), score, "mean_scl")
-    return scaled.withColumn("mean_std_bin", C.cut("mean_std", C.STD_BREAKS, C.STD_LABELS)).withColumn(
-        "mean_scl_bin", C.cut("mean_scl", C.SCL_BREAKS, C.SCL_LABELS)
+    """Standardised and 0-1 scores over the whole table, both binned.
+
+    The same columns as ``standardise`` and ``rescale01``, from one aggregate row.
+    """
+    value = C.finite(score)
+    stats = est.agg(
+        F.avg(score).alias("mu"), F.stddev_samp(score).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi")
+    )
+    row = {c: F.col(f"__s.{c}") for c in stats.columns}
+    scaled = est.withColumn("__s", one_row(stats)).withColumns(
+        {
+            "mean_std": F.when(row["sd"] > 0, (F.col(score) - row["mu"]) / row["sd"]),
+            "mean_scl": F.try_divide(F.col(score) - row["lo"], row["hi"] - row["lo"]),
+        }
+    )
+    return scaled.drop("__s").withColumns(
+        {
+            "mean_std_bin": C.cut("mean_std", C.STD_BREAKS, C.STD_LABELS),
+            "mean_scl_bin": C.cut("mean_scl", C.SCL_BREAKS, C.SCL_LABELS),
+        }
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,13 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there.
+    """Write ``df`` as a table in the shared folder and read it from there.
 
-    Used where one plan reads the same intermediate twice and both readings
-    must agree even if an executor is lost in between.
+    Used for reduced tables that one plan reads several times: they are computed
+    once, every reading agrees, and nothing is recomputed when an executor is
+    lost. Being parquet, the table keeps column pruning and a known size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
