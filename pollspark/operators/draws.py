@@ -22,7 +22,7 @@ BLOCK = 512
 def summarise_draws(draws: DataFrame) -> DataFrame:
     """Mean, median, sd, mad and 5% and 95% quantiles per variable."""
     moments = draws.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    marks = quantiles(draws, "value", [0.05, 0.5, 0.95], ["variable"], ["q5", "median", "q95"])
+    marks = materialise(quantiles(draws, "value", [0.05, 0.5, 0.95], ["variable"], ["q5", "median", "q95"]))
     apart = left_join(draws, marks.select("variable", "median"), "variable").select(
         "variable", F.abs(F.col("value") - F.col("median")).alias("dev")
     )
@@ -224,7 +224,7 @@ def convergence(draws: DataFrame) -> DataFrame:
     derived series (ranks, distances from the median, tail indicators) go
     through each step together.
     """
-    marks = quantiles(draws, "value", [0.05, 0.5, 0.95], ["variable"], ["q5", "median", "q95"])
+    marks = materialise(quantiles(draws, "value", [0.05, 0.5, 0.95], ["variable"], ["q5", "median", "q95"]))
     marked = materialise(left_join(split_chains(draws), marks, "variable"))
     value = F.col("value")
     ranked = materialise(

@@ -56,7 +56,9 @@ def quantiles(
             for i, p in enumerate(probs)
         ]
     )
-    marked = marks.select(*by, brackets.alias("__b"))
+    # One row per group, written so that its size is known before the join: if it
+    # fits under the broadcast threshold, the values are not shuffled for it.
+    marked = materialise(marks.select(*by, brackets.alias("__b")))
     present = values.where(F.col("__v").isNotNull())
     joined = left_join(present, marked, by) if by else present.withColumn("__b", marked.select("__b").scalar())
     inside = (
@@ -81,7 +83,7 @@ def quantiles(
     value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share
     picked = [F.max(F.when(F.col("__i") == i, value)).alias(name) for i, name in enumerate(names)]
     result = found.groupBy(*by).agg(*picked) if by else found.agg(*picked)
-    return left_join(marks.select(*by), result, by) if by else result
+    return left_join(marked.select(*by), result, by) if by else result
 
 
 def median(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:

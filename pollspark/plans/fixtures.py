@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pollspark.functions.columns import biennium, paste
 from pollspark.operators.cells import ordinal_counts, region_weights
+from pollspark.operators.ranking import global_position
 from pollspark.operators.relate import inner_join, left_join, union_all
 from pollspark.operators.scores import poststratify
 from pollspark.operators.shape import encode
@@ -130,9 +131,9 @@ class Survey:
         )
 
     @cached_property
-    def draws(self) -> DataFrame:
-        """One row per variable, chain and iteration, from the event stream table."""
-        named = self.table("events").select(
+    def draw_values(self) -> DataFrame:
+        """Draws without iteration number, from the event stream table."""
+        return self.table("events").select(
             F.concat(
                 F.lit("region_alpha["),
                 (F.col("user_id") % 3 + 1).cast("string"),
@@ -144,8 +145,15 @@ class Survey:
             "event_id",
             "value",
         )
-        order = Window.partitionBy("variable", "chain").orderBy("event_id")
-        return named.withColumn("iteration", F.row_number().over(order)).drop("event_id")
+
+    @cached_property
+    def draws(self) -> DataFrame:
+        """One row per variable, chain and iteration; events are numbered by id.
+
+        There are only 24 chains, so they are numbered without a window over a chain.
+        """
+        placed = global_position(self.draw_values, [F.col("event_id")], by=["variable", "chain"], name="iteration")
+        return placed.withColumn("iteration", F.col("iteration") + 1).drop("event_id")
 
     @cached_property
     def exposure(self) -> DataFrame:

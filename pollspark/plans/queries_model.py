@@ -288,7 +288,7 @@ def _(s: Survey) -> DataFrame:
         FROM draws d JOIN m ON d.variable = m.variable GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
-    return rounded(R.summarise_draws(materialise(s.draws)), "mean", "median", "sd", "mad", "q5", "q95")
+    return rounded(R.summarise_draws(s.draw_values.select("variable", "value")), "mean", "median", "sd", "mad", "q5", "q95")
 
 
 @query(

@@ -178,12 +178,12 @@ def _(s: Survey) -> DataFrame:
 
 @query(
     "j9_emissions_per_head",
-    f"""WITH {_PERCAP} SELECT iso_3166 AS country, mergekey, {r("percap", 7)} AS percap, {r("percap_ln_std")} AS percap_ln_std
+    f"""WITH {_PERCAP} SELECT iso_3166 AS country, mergekey, {r("percap_ln")} AS percap_ln, {r("percap_ln_std")} AS percap_ln_std
         FROM pc""",
 )
 def _(s: Survey) -> DataFrame:
-    out = per_head(s).select("country", "mergekey", "percap", "percap_ln_std")
-    return rounded(rounded(out, "percap_ln_std"), "percap", digits=7)
+    # The logarithm is compared: money over a head count often ends in an exact half.
+    return rounded(per_head(s).select("country", "mergekey", "percap_ln", "percap_ln_std"), "percap_ln", "percap_ln_std")
 
 
 @query(

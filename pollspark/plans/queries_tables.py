@@ -270,7 +270,7 @@ def _(s: Survey) -> DataFrame:
     "SELECT regexp_replace(variable, '\\[.+\\]', '') AS parameter, count(*) AS n FROM draws GROUP BY 1",
 )
 def _(s: Survey) -> DataFrame:
-    return tally(s.draws.select(C.param_name("variable").alias("parameter")), "parameter")
+    return tally(s.draw_values.select(C.param_name("variable").alias("parameter")), "parameter")
 
 
 _VARIABLE_SQL = """SELECT CASE user_id % 4 WHEN 0 THEN concat('region_alpha[', CAST(user_id AS VARCHAR), ',', CAST(event_id % 7 AS VARCHAR), ']')
