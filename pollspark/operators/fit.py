@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pollspark.operators import scores as S
 from pollspark.operators.relate import union_all
-from pollspark.session import keep
+from pollspark.session import keep, materialise
 
 MAX_PARAMETERS = 5_000_000
 
@@ -136,7 +136,6 @@ def likelihood(table: DataFrame, d: Design, region_score, national_score, gamma,
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         regional, national, gam, bet, kmin1 = sent.value
-        total: dict[int, float] = {}
         for pdf in batches:
             level, slot = pdf["level"].to_numpy(), pdf["slot"].to_numpy()
             j, option = pdf["question"].to_numpy(), pdf["option"].to_numpy()
@@ -154,11 +153,8 @@ def likelihood(table: DataFrame, d: Design, region_score, national_score, gamma,
                 starts[4] + j * k + low,
                 starts[4] + j * k + high,
             ])
-            sums = np.bincount(places, np.concatenate([ll, ds, dg, dl, du]), minlength=1)
-            for at in np.unique(places):
-                total[int(at)] = total.get(int(at), 0.0) + float(sums[at])
-        if total:
-            yield pd.DataFrame({"at": list(total), "g": list(total.values())})
+            at, inverse = np.unique(places, return_inverse=True)
+            yield pd.DataFrame({"at": at, "g": np.bincount(inverse, np.concatenate([ll, ds, dg, dl, du]))})
 
     parts = table.mapInPandas(partial, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).toPandas()
     sent.unpersist()
@@ -317,7 +313,7 @@ def fit_map(
     ``weights``: regioncode_int, wt.
     """
     d = design(cells, nat, region_map, weights)
-    table = keep(model_cells(cells, nat, d.periods))
+    table = keep(materialise(model_cells(cells, nat, d.periods)))
     try:
         theta, value = ascend(lambda t: objective(t, d, lambda *p: likelihood(table, d, *p)), start(d), iters)
     finally:

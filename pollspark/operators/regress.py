@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pollspark.functions.columns import safe_ln
+from pollspark.functions.columns import PER_HEAD_BREAKS, PER_HEAD_LABELS, cut, safe_ln
 from pollspark.operators.aggregate import geo_mean
 from pollspark.operators.ranking import quantiles
 from pollspark.operators.relate import left_join, one_row, union_all
@@ -279,7 +279,7 @@ def quadrants(
 
 
 def emissions_per_capita(emissions: DataFrame, crosswalk: DataFrame, pop: DataFrame) -> DataFrame:
-    """Emissions per head by region, with standardised logarithm.
+    """Emissions per head by region, binned, and with standardised logarithm.
 
     ``emissions``: code, country, sector-filtered yearly ``kilotons``;
     ``crosswalk``: code, mergekey; ``pop``: mergekey, region_pop. Zero emissions
@@ -290,6 +290,7 @@ def emissions_per_capita(emissions: DataFrame, crosswalk: DataFrame, pop: DataFr
     by_region = merged.groupBy("country", "mergekey").agg(F.sum("tons").alias("tons"))
     heads = left_join(by_region, pop, "mergekey")
     ratio = heads.withColumn("percap", F.try_divide("tons", "region_pop"))
+    ratio = ratio.withColumn("percap_bin", cut("percap", PER_HEAD_BREAKS, PER_HEAD_LABELS))
     # One row per region, read for the moments and again for the rows.
     logged = materialise(ratio.withColumn("percap_ln", safe_ln("percap")))
     return standardise(logged, "percap_ln", name="percap_ln_std")

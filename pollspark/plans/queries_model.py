@@ -173,6 +173,29 @@ def _(s: Survey) -> DataFrame:
     return rounded(S.poststratify(_walks(s), s.weights, "region_alpha"), "country_poststrat")
 
 
+_REPLICATE = """rep AS (SELECT iso_3166, mergekey, year_int, l_linenumber % 3 AS draw,
+        avg((option - 1) / CASE WHEN question LIKE 'N%' THEN 2.0E0 ELSE 4.0E0 END) AS region_effect FROM respp GROUP BY 1, 2, 3, 4),
+    walk AS (SELECT iso_3166, year_int, draw, avg(region_effect) AS country_alpha FROM rep GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "i6_poststratify_per_draw",
+    f"""WITH {_REPLICATE}
+        SELECT p.iso_3166, p.year_int, p.draw, {r("sum((region_effect + country_alpha) * wt)")} AS country_poststrat
+        FROM rep p JOIN walk w ON p.iso_3166 = w.iso_3166 AND p.year_int = w.year_int AND p.draw = w.draw
+        JOIN weights g ON p.mergekey = g.mergekey GROUP BY 1, 2, 3""",
+)
+def _(s: Survey) -> DataFrame:
+    # Replicates by line number stand for draws of the two walks.
+    score = (F.col("option") - 1) / F.when(F.col("question").startswith("N"), 2.0).otherwise(4.0)
+    keys = ["iso_3166", "mergekey", "year_int", (F.col("l_linenumber") % 3).alias("draw")]
+    effect = materialise(s.answers.groupBy(*keys).agg(F.avg(score).alias("region_effect")))
+    walk = effect.groupBy("iso_3166", "year_int", "draw").agg(F.avg("region_effect").alias("country_alpha"))
+    regions = effect.select("mergekey", "iso_3166").distinct()
+    draws = S.region_scores(walk, effect.drop("iso_3166"), regions, ("year_int", "draw"))
+    return rounded(S.poststratify(draws, s.weights, "region_alpha", ("year_int", "draw")), "country_poststrat")
+
+
 _ITEMS = """g AS (SELECT question, kmin1, gamma_raw / (SELECT exp(avg(ln(gamma_raw))) FROM item_gamma) AS gamma FROM item_gamma),
     b0 AS (SELECT b.question, k, kmin1, (2 * beta_raw - (kmin1 + 1)) / CASE WHEN kmin1 <> 1 THEN kmin1 - 1 ELSE 1 END AS loose
            FROM item_beta b JOIN item_gamma i ON b.question = i.question),

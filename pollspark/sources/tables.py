@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 NA = "NA"
 
@@ -44,8 +44,10 @@ def write_table(df: DataFrame, root: str, name: str, variant: str | None = None)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
-    """CSV scan with an explicit schema; the text ``NA`` is missing in any column."""
-    return spark.read.schema(schema).option("header", header).option("nullValue", NA).csv(path)
+    """CSV scan with an explicit schema; the text ``NA`` and an empty field are missing in any column."""
+    df = spark.read.schema(schema).option("header", header).option("nullValue", NA).csv(path)
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text})
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:

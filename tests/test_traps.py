@@ -54,6 +54,9 @@ def test_csv_na_is_missing_but_not_other_text(spark, tmp_path):
     spark.createDataFrame([("NA", 1.0)], "iso string, v double").write.mode("overwrite").csv(str(tmp_path / "y"))
     back = T.read_csv(spark, str(tmp_path / "y"), "iso string, v double", header=False)
     assert rows(back) == [(None, 1.0)]
+    (tmp_path / "z.csv").write_text("a,,2\n,b,\n")
+    empty = T.read_csv(spark, str(tmp_path / "z.csv"), "x string, y string, n int", header=False)
+    assert rows(empty) == [("a", None, 2), (None, "b", None)]
 
 
 def test_write_table_replaces_one_variant_only(spark, tmp_path):
@@ -192,8 +195,10 @@ def test_log_of_zero_is_missing(spark):
     em = spark.createDataFrame([("x", "C", 0.0), ("y", "C", 2.0), ("z", "C", 4.0)], "code string, country string, kilotons double")
     xw = spark.createDataFrame([("x", "r1"), ("y", "r2"), ("z", "r3")], "code string, mergekey string")
     pop = spark.createDataFrame([("r1", 10), ("r2", 10), ("r3", 10)], "mergekey string, region_pop int")
-    got = dict(rows(regress.emissions_per_capita(em, xw, pop), "mergekey", "percap_ln_std"))
+    out = regress.emissions_per_capita(em, xw, pop)
+    got = dict(rows(out, "mergekey", "percap_ln_std"))
     assert got["r1"] is None and got["r2"] == pytest.approx(-(0.5**0.5))
+    assert dict(rows(out, "mergekey", "percap_bin")) == {"r1": "0-1", "r2": None, "r3": None}
 
 
 def test_name_clash_gets_suffixes(spark):
