@@ -43,46 +43,46 @@ def quantiles(
         F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("__e"),
     )
     small = F.col("__n") <= accuracy
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small | F.lit(edges[2 * i] == 0), -inf).otherwise(F.get("__e", F.lit(2 * i))).alias("low"),
-                F.when(small | F.lit(edges[2 * i + 1] == 1), inf)
-                .otherwise(F.get("__e", F.lit(2 * i + 1)))
-                .alias("high"),
-                ((F.col("__n") - 1) * F.lit(float(p))).alias("pos"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
+
+    def bracket(i: int) -> Column:
+        low, high = F.get("__e", F.lit(2 * i)), F.get("__e", F.lit(2 * i + 1))
+        return F.struct(
+            F.lit(i).alias("i"),
+            (F.lit(-inf) if edges[2 * i] == 0 else low).alias("low"),
+            (F.lit(inf) if edges[2 * i + 1] == 1 else high).alias("high"),
+        )
+
+    # A small group is ranked once for all probabilities: bracket -1, open on both sides.
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-inf).alias("low"), F.lit(inf).alias("high")))
+    brackets = F.when(small, whole).otherwise(F.array(*[bracket(i) for i in range(len(probs))]))
     # One row per group, written so that its size is known before the join: if it
     # fits under the broadcast threshold, the values are not shuffled for it.
-    marked = materialise(marks.select(*by, brackets.alias("__b")))
+    marked = materialise(marks.select(*by, F.struct("__n", brackets.alias("bs")).alias("__b")))
     present = values.where(F.col("__v").isNotNull())
     joined = left_join(present, marked, by) if by else present.withColumn("__b", marked.select("__b").scalar())
     inside = (
-        joined.select(*by, "__v", F.explode("__b").alias("b"))
+        joined.select(*by, "__v", F.col("__b.__n").alias("__n"), F.explode("__b.bs").alias("b"))
         .where(F.col("__v") <= F.col("b.high"))
         .select(
-            *by,
-            F.col("b.i").alias("__i"),
-            F.col("b.pos").alias("__pos"),
-            F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("__v"),
+            *by, "__n", F.col("b.i").alias("__i"), F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("__v")
         )
-        .groupBy(*by, "__i", "__pos", "__v")
+        .groupBy(*by, "__n", "__i", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = Window.partitionBy(*by, "__i", "__pos").orderBy(F.col("__v").asc_nulls_first())
+    upto = Window.partitionBy(*by, "__n", "__i").orderBy(F.col("__v").asc_nulls_first())
     ranked = inside.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    found = ranked.where(F.col("__v").isNotNull()).groupBy(*by, "__i", "__pos").agg(
-        F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col("__v"))).alias("__lo"),
-        F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col("__v"))).alias("__hi"),
-    )
-    share = F.col("__pos") - F.floor("__pos")
-    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share
-    picked = [F.max(F.when(F.col("__i") == i, value)).alias(name) for i, name in enumerate(names)]
-    result = found.groupBy(*by).agg(*picked) if by else found.agg(*picked)
+    picked, columns = [], []
+    for i, (p, name) in enumerate(zip(probs, names, strict=True)):
+        pos = (F.col("__n") - 1) * F.lit(float(p))
+        mine = F.col("__i").isin(-1, i)
+        picked += [
+            F.min(F.when(mine & (F.col("__cum") > F.floor(pos)), F.col("__v"))).alias(f"__lo{i}"),
+            F.min(F.when(mine & (F.col("__cum") > F.ceil(pos)), F.col("__v"))).alias(f"__hi{i}"),
+            F.max(pos - F.floor(pos)).alias(f"__f{i}"),
+        ]
+        low = F.col(f"__lo{i}")
+        columns.append((low + (F.col(f"__hi{i}") - low) * F.col(f"__f{i}")).alias(name))
+    result = (ranked.groupBy(*by).agg(*picked) if by else ranked.agg(*picked)).select(*by, *columns)
     return left_join(marked.select(*by), result, by) if by else result
 
 
