@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pollspark.llm.packing import op2_best_fit_packing
+from pollspark.llm.simhash import op7_simhash_near_dedup
 from pollspark.llm.token_files import op3_token_files
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_token_files)}
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_token_files, op7_simhash_near_dedup)}
 SQL: dict[str, str] = {}

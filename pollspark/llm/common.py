@@ -39,17 +39,18 @@ def map_batches(
     df: DataFrame,
     step: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
     schema: str,
+    rows: int = SLICE,
 ) -> DataFrame:
     """``mapInArrow`` whose function yields dicts of columns in the order of ``schema``.
 
-    Input batches come in slices of at most ``SLICE`` rows, so that a task holds a
+    Input batches come in slices of at most ``rows`` rows, so that a task holds a
     bounded number of texts at a time.
     """
-    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for columns in step(slices(batches)):
+        for columns in step(slices(batches, rows)):
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in zip(arrow, columns.values(), strict=True)],
                 schema=arrow,
