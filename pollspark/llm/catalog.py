@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pollspark.llm.packing import op2_best_fit_packing
-from pollspark.llm.simhash import op7_simhash_near_dedup
-from pollspark.llm.token_files import op3_token_files
+from pollspark.llm import merkle, mixing, packing, quality, simhash, token_files
 
-QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_token_files, op7_simhash_near_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        mixing.op1_temperature_mixing,
+        packing.op2_best_fit_packing,
+        token_files.op3_token_files,
+        simhash.op7_simhash_near_dedup,
+        quality.op8_quality_rules,
+        merkle.op10_merkle_fingerprints,
+    )
+}
+SQL = {"op1_temperature_mixing": mixing.ORACLE_SQL, "op10_merkle_fingerprints": merkle.ORACLE_SQL}
