@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pollspark.llm import merkle, mixing, packing, quality, simhash, token_files
+from pollspark.llm import chat, licences, merkle, mixing, packing, pii, quality, simhash, token_files, unigram
 
 QUERIES = {
     q.__name__: q
@@ -10,8 +10,12 @@ QUERIES = {
         mixing.op1_temperature_mixing,
         packing.op2_best_fit_packing,
         token_files.op3_token_files,
+        licences.op4_license_scan,
+        pii.op5_personal_data,
+        unigram.op6_token_counts,
         simhash.op7_simhash_near_dedup,
         quality.op8_quality_rules,
+        chat.op9_chat_formatting,
         merkle.op10_merkle_fingerprints,
     )
 }

@@ -38,7 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 def map_batches(
     df: DataFrame,
     step: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
-    schema: str,
+    schema: str | StructType,
     rows: int = SLICE,
 ) -> DataFrame:
     """``mapInArrow`` whose function yields dicts of columns in the order of ``schema``.
@@ -46,7 +46,7 @@ def map_batches(
     Input batches come in slices of at most ``rows`` rows, so that a task holds a
     bounded number of texts at a time.
     """
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):
