@@ -29,6 +29,18 @@ def texts(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``docs`` with ``__key``: the id and a hash of the text and ``more``, so rows of one id are told apart by content."""
+    return docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col, *more).alias("hash")))
+
+
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` docs whose key is not among ``removed``'s, which is shuffled or sent as its size asks."""
+    gone = removed.select(F.col("__key.id").alias("__id"), F.col("__key.hash").alias("__hash")).distinct()
+    same = F.col("__key.id").eqNullSafe(F.col("__id")) & (F.col("__key.hash") == F.col("__hash"))
+    return docs.join(gone, same, "left_anti").drop("__key")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
@@ -59,4 +71,4 @@ def map_batches(
     return df.mapInArrow(run, kind)
 
 
-__all__ = ["SLICE", "map_batches", "slices", "table", "texts"]
+__all__ = ["SLICE", "keyed", "map_batches", "slices", "table", "texts", "without"]

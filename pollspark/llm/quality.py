@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pollspark.llm.common import map_batches, table
+from pollspark.llm.common import keyed, map_batches, table, without
 from pollspark.session import materialise
 
 ORDER = 4
@@ -325,6 +325,13 @@ def judge(
     )
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, as they are."""
+    own = keyed(docs, id_col, text_col, lang_col)
+    rejected = judge(own, "__key", lang_col, text_col).where(~F.col("kept"))
+    return without(own, rejected)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict on every document."""
     return judge(table(spark, sf_dir, "documents")).select(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollspark.llm.common import map_batches, table, texts
+from pollspark.llm.common import keyed, map_batches, table, texts, without
 from pollspark.llm.graph import components
 from pollspark.session import materialise
 
@@ -185,6 +185,17 @@ def near_duplicates(
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each near-duplicate class: that of the smallest id (null before all), then hash of the text."""
+    own = keyed(docs, id_col, text_col)
+    found = materialise(near_duplicates(own, id_col="__key", text_col=text_col))
+    left = without(own, found.where("__key <> component_id"))
+    repeats = found.where("__key = component_id").groupBy("__key").count().where("count > 1")
+    if repeats.isEmpty():
+        return left
+    return keyed(left, id_col, text_col).dropDuplicates(["__key"]).drop("__key")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
