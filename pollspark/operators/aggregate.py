@@ -18,17 +18,11 @@ def tally(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 def n_unique(df: DataFrame, *cols: str) -> DataFrame:
     """Distinct non-missing values per column, one row.
 
-    Each column is de-duplicated on its own, so the shuffle carries distinct
-    values only and the rows are not expanded per column.
+    One scan: the distinct combinations are found first, map-side, and only they
+    are expanded per column.
     """
-    parts = [
-        df.select(F.col(c).cast("string").alias("value"), F.lit(c).alias("name"))
-        .where(F.col("value").isNotNull())
-        .distinct()
-        for c in cols
-    ]
-    counted = union_all(*parts).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(*[F.coalesce(F.max(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).alias(c) for c in cols])
+    combinations = df.select(*cols).distinct()
+    return combinations.agg(*[F.count_distinct(c).alias(c) for c in cols])
 
 
 def count_answers(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -44,7 +44,8 @@ def _distinct_count(dfs: Sequence[DataFrame], col: str, name: str) -> DataFrame:
 
 
 def model_dims(cells: DataFrame, nat: DataFrame, country: str, region: str) -> DataFrame:
-    """Sizes of the model: countries, periods, questions, regions, options, cells."""
+    """Sizes of the model: countries, periods, questions, regions (the largest code), options, cells;
+    ``thresholds`` has one number per question, in the order of ``question_int``."""
     both = [cells, nat]
     shape = union_all(*[d.select("year_int", "option") for d in both]).agg(
         F.max("year_int").alias("tt"), F.max("option").alias("k")
@@ -52,10 +53,15 @@ def model_dims(cells: DataFrame, nat: DataFrame, country: str, region: str) -> D
     counts = {
         "c": _distinct_count(both, country, "c"),
         "j": _distinct_count(both, "question", "j"),
-        "r": _distinct_count([cells], region, "r"),
+        "r": cells.agg(F.max(region).alias("r")),
         "rtjk": cells.agg(F.count(F.lit(1)).alias("rtjk")),
         "ctjk": nat.agg(F.count(F.lit(1)).alias("ctjk")),
     }
+    limits = union_all(*[d.select("question_int", "option") for d in both]).groupBy("question_int").agg(
+        (F.max("option") - 1).alias("kmin1")
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("question_int", "kmin1"))), lambda q: q["kmin1"].cast("string"))
+    counts["thresholds"] = limits.agg(F.array_join(ordered, ",").alias("thresholds"))
     return shape.select("tt", "k", *[counted.scalar().alias(name) for name, counted in counts.items()])
 
 

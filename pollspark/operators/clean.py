@@ -36,7 +36,3 @@ def null_negative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def rename_item_cols(df: DataFrame, rules: Sequence[tuple[str, str]] = COLUMN_RULES) -> DataFrame:
     """The ordered text replacements of item names, applied to the column names."""
     return df.toDF(*[reduce(lambda name, rule: name.replace(*rule), rules, c) for c in df.columns])
-
-
-def thresholds_met(df: DataFrame, col: str, minimum: float) -> DataFrame:
-    return df.where(F.col(col) >= minimum)

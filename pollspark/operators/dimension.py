@@ -8,14 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pollspark.operators.aggregate import correlation
 from pollspark.operators.clean import complete_cases
-from pollspark.operators.relate import union_all
-from pollspark.operators.shape import pivot_longer, pivot_wider, standardise
-from pollspark.session import materialise
+from pollspark.operators.relate import left_join
+from pollspark.operators.shape import pivot_longer, standardise
 
 
 def country_item_means(answers: DataFrame, items: Sequence[str], unit: str, period: str) -> DataFrame:
@@ -29,41 +28,48 @@ def country_item_means(answers: DataFrame, items: Sequence[str], unit: str, peri
     return scaled.groupBy(unit, "question").agg(F.avg("scaled").alias("val"))
 
 
-def corr_matrix(
-    long: DataFrame, unit: str, item: str, val: str, items: Sequence[str], skip_first: bool = False, chunk: int = 60
-) -> DataFrame:
+def item_pairs(entries: Column) -> Column:
+    """Rows (name_a, name_b, a, b) of all unordered pairs of an array of (name, value), each with itself too."""
+    return F.explode(
+        F.flatten(
+            F.transform(
+                entries,
+                lambda x, i: F.transform(
+                    F.slice(entries, i + 1, F.size(entries)),
+                    lambda y: F.struct(x["name"].alias("name_a"), y["name"].alias("name_b"), x["value"].alias("a"), y["value"].alias("b")),
+                ),
+            )
+        )
+    )
+
+
+def corr_matrix(long: DataFrame, unit: str, item: str, val: str, items: Sequence[str], skip_first: bool = False) -> DataFrame:
     """Pairwise-complete correlations of items, long ``(item_a, item_b, corr)``.
 
-    One row per unit with a column per item, then one aggregate per unordered
-    pair: units are never paired with each other. ``skip_first`` leaves out the
-    first item. ``chunk`` bounds the number of pairs in one aggregate.
+    One scan: a unit's items become one array, its pairs are added up per pair of
+    items before the shuffle, so units are never paired with each other and the plan
+    does not grow with the number of items. ``skip_first`` leaves out the first item.
     """
     used = list(items)[1:] if skip_first else list(items)
-    wide = pivot_wider(long, [unit], item, val, used)
-    if len(used) * (len(used) + 1) // 2 > chunk:
-        # Several aggregates read the unit rows.
-        wide = materialise(wide)
-    pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        rows = []
-        for a, b in pairs[start : start + chunk]:
-            value = correlation(a, b) if a != b else F.when(F.var_pop(a) > 0, 1.0)
-            rows.append(F.struct(F.lit(a).alias("item_a"), F.lit(b).alias("item_b"), value.alias("corr")))
-        names = [f"p{i}" for i in range(len(rows))]
-        found = wide.agg(*[row.alias(n) for row, n in zip(rows, names, strict=True)])
-        parts.append(found.select(F.inline(F.array(*names))))
-    half = union_all(*parts)
-    mirrored = half.where(F.col("item_a") != F.col("item_b")).select(
-        F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "corr"
-    )
-    return half.unionByName(mirrored)
+    listed = F.array(*[F.lit(i) for i in used])
+    one = long.where(F.col(item).isin(used)).groupBy(unit, item).agg(F.max(val).cast("double").alias("value"))
+    entry = F.struct(F.array_position(listed, F.col(item)).alias("at"), F.col(item).alias("name"), "value")
+    wide = one.where(F.col("value").isNotNull()).groupBy(unit).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    pairs = wide.select(item_pairs(F.col("entries")).alias("p")).select("p.*")
+    same = F.col("name_a") == F.col("name_b")
+    half = pairs.groupBy("name_a", "name_b").agg(correlation("a", "b").alias("c"), F.var_pop("a").alias("v"))
+    half = half.select("name_a", "name_b", F.when(same, F.when(F.col("v") > 0, 1.0)).otherwise(F.col("c")).alias("corr"))
+    mirrored = half.where(~same).select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), "corr")
+    # Pairs that no unit has are listed too.
+    grid = long.sparkSession.range(1).select(F.explode(listed).alias("item_a")).select("item_a", F.explode(listed).alias("item_b"))
+    return left_join(grid, half.unionByName(mirrored), [("item_a", "name_a"), ("item_b", "name_b")])
 
 
 def mean_correlation(matrix: DataFrame, digits: int = 2) -> DataFrame:
-    """Mean correlation per item (its own 1 included), and the item label with it."""
+    """Mean correlation per item (its own 1 included), and the label ``item: mean``."""
     mean = matrix.groupBy("item_b").agg(F.bround(F.avg("corr"), digits).alias("cor"))
-    return mean.select(F.col("item_b").alias("item"), "cor")
+    label = F.concat_ws(": ", F.col("item_b"), F.col("cor").cast("string"))
+    return mean.select(F.col("item_b").alias("item"), "cor", label.alias("label"))
 
 
 def positive_items(df: DataFrame, cols: Sequence[str]) -> list[str]:

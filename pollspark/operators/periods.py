@@ -58,25 +58,33 @@ def flag_drift(est_reg: DataFrame, est_nat: DataFrame, final: str, tol: float =
 
 def interpolate(flagged: DataFrame, end: int, step: int = 2) -> DataFrame:
     """Straight line for flagged regions from the last data year to ``end``,
-    where the region ends with the nation's change: ``(mergekey, year2, mean_interp)``."""
+    where the region ends with the nation's change: ``(mergekey, year2, mean_interp, later)``.
+
+    ``later`` marks the periods after the last data. A region with data up to ``end``
+    or after it needs no line.
+    """
     start = F.substring("year2", 1, 4).cast("int")
+    years = F.when(start < end, F.sequence(start, F.greatest(start, F.lit(end)), F.lit(step)))
     lines = flagged.where(F.col("toobig") == 1).select(
-        "mergekey", "reg_mean", "delta_nat", start.alias("y0"), F.explode(F.sequence(start, F.lit(end), F.lit(step))).alias("year")
+        "mergekey", "reg_mean", "delta_nat", start.alias("y0"), F.explode(years).alias("year")
     )
-    share = (F.col("year") - F.col("y0")) / (F.lit(end) - F.col("y0"))
+    share = F.try_divide(F.col("year") - F.col("y0"), F.lit(end) - F.col("y0"))
     return lines.select(
         "mergekey",
         biennium("year").alias("year2"),
         (F.col("reg_mean") + F.col("delta_nat") * share).alias("mean_interp"),
+        (F.col("year") > F.col("y0")).alias("later"),
     )
 
 
 def apply_interpolation(est: DataFrame, interp: DataFrame) -> DataFrame:
-    """Replace scores that differ from their interpolated value, and flag them."""
+    """Replace scores after the last data by their interpolated value, and flag them.
+
+    The line starts at the last observed score, so comparing values instead would
+    depend on the order in which an average was added up.
+    """
     joined = left_join(est, interp, ["mergekey", "year2"])
-    # A row without interpolated value counts as not interpolated.
-    changed = F.col("mean_interp").isNotNull() & (F.col("mean") != F.col("mean_interp"))
-    flagged = joined.withColumn("interpolated", F.when(changed, 1).otherwise(0))
+    flagged = joined.withColumn("interpolated", F.when(F.col("later"), 1).otherwise(0)).drop("later")
     return flagged.withColumn("mean", F.when(F.col("interpolated") == 1, F.col("mean_interp")).otherwise(F.col("mean")))
 
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollspark.operators.relate import left_join
+from pollspark.operators.relate import anti_join, left_join, semi_join
 from pollspark.session import materialise
 
 ACCURACY = 10_000
+#: Distinct values of one bracket that a task ranks; a bracket with more is placed by range partitions.
+BRACKET_ROWS = 1_000_000
 
 
 def quantiles(
@@ -20,25 +22,30 @@ def quantiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     accuracy: int = ACCURACY,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
-    """Exact interpolated (type 7) quantiles, one row per group.
+    """Exact interpolated (type 7) quantiles, one row per group; NaN is missing.
 
     Pass 1 keeps a mergeable sketch per group, which brackets every wanted order
     statistic (groups of up to ``accuracy`` values need no bracket). Pass 2 counts
     the values below each bracket, where partial aggregation folds them to one
-    row per task, and keeps the distinct values inside. Only about
-    ``8 / accuracy`` of a large group is then ranked. Any valid bracket gives the
-    same exact answer.
+    row per task, and keeps the distinct values inside; a task then ranks them. The
+    counts show whether a bracket holds the wanted positions. A group with one that
+    does not, or with more than ``bracket_rows`` values inside one, is placed by
+    range partitions instead, so the answer never depends on the sketch.
     """
-    by, names = list(by), list(names or [f"q{100 * p:g}" for p in probs])
+    names = list(names or [f"q{100 * p:g}" for p in probs])
+    keys = list(by) or ["__all"]
     inf = float("inf")
     slack = 3.0 / accuracy
+    number = F.col(col).cast("double")
     # A group with no value still gets a row, with missing quantiles.
-    values = df.select(*by, F.col(col).cast("double").alias("__v"))
+    rows = df.select(*by, F.when(~F.isnan(number), number).alias("__v"))
+    values = rows if by else rows.withColumn("__all", F.lit(0))
     edges = []
     for p in probs:
         edges += [max(p - slack, 0.0), min(p + slack, 1.0)]
-    marks = values.groupBy(*by).agg(
+    marks = values.groupBy(*keys).agg(
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("__e"),
     )
@@ -57,23 +64,36 @@ def quantiles(
     brackets = F.when(small, whole).otherwise(F.array(*[bracket(i) for i in range(len(probs))]))
     # One row per group, written so that its size is known before the join: if it
     # fits under the broadcast threshold, the values are not shuffled for it.
-    marked = materialise(marks.select(*by, F.struct("__n", brackets.alias("bs")).alias("__b")))
-    present = values.where(F.col("__v").isNotNull())
-    joined = left_join(present, marked, by) if by else present.withColumn("__b", marked.select("__b").scalar())
-    inside = (
-        joined.select(*by, "__v", F.col("__b.__n").alias("__n"), F.explode("__b.bs").alias("b"))
+    marked = materialise(marks.select(*keys, F.struct("__n", brackets.alias("bs")).alias("__b")))
+    joined = left_join(values.where(F.col("__v").isNotNull()), marked, keys)
+    inside = materialise(
+        joined.select(*keys, "__v", F.col("__b.__n").alias("__n"), F.explode("__b.bs").alias("b"))
         .where(F.col("__v") <= F.col("b.high"))
         .select(
-            *by, "__n", F.col("b.i").alias("__i"), F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("__v")
+            *keys, "__n", F.col("b.i").alias("__i"), F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("__v")
         )
-        .groupBy(*by, "__n", "__i", "__v")
+        .groupBy(*keys, "__n", "__i", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = Window.partitionBy(*by, "__n", "__i").orderBy(F.col("__v").asc_nulls_first())
+    positions = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
+
+    # Every bracket must hold its positions and be small enough for one task.
+    held = inside.groupBy(*keys, "__n", "__i").agg(
+        F.sum(F.when(F.col("__v").isNull(), F.col("__c")).otherwise(0)).alias("__below"),
+        F.sum("__c").alias("__upto"), F.count(F.lit(1)).alias("__rows"),
+    )
+    outside = F.lit(False)
+    for i, pos in enumerate(positions):
+        outside = outside | ((F.col("__i") == i) & ((F.col("__below") > F.floor(pos)) | (F.col("__upto") <= F.ceil(pos))))
+    wrong = materialise(held.where(outside | (F.col("__rows") > bracket_rows)).select(*keys).distinct())
+    any_wrong = not wrong.isEmpty()
+    if any_wrong:
+        inside = anti_join(inside, wrong, keys)
+
+    upto = Window.partitionBy(*keys, "__n", "__i").orderBy(F.col("__v").asc_nulls_first())
     ranked = inside.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     picked, columns = [], []
-    for i, (p, name) in enumerate(zip(probs, names, strict=True)):
-        pos = (F.col("__n") - 1) * F.lit(float(p))
+    for i, (pos, name) in enumerate(zip(positions, names, strict=True)):
         mine = F.col("__i").isin(-1, i)
         picked += [
             F.min(F.when(mine & (F.col("__cum") > F.floor(pos)), F.col("__v"))).alias(f"__lo{i}"),
@@ -82,8 +102,28 @@ def quantiles(
         ]
         low = F.col(f"__lo{i}")
         columns.append((low + (F.col(f"__hi{i}") - low) * F.col(f"__f{i}")).alias(name))
-    result = (ranked.groupBy(*by).agg(*picked) if by else ranked.agg(*picked)).select(*by, *columns)
-    return left_join(marked.select(*by), result, by) if by else result
+    found = ranked.groupBy(*keys).agg(*picked)
+    if any_wrong:
+        found = found.unionByName(_placed(semi_join(values, wrong, keys), marked, keys, positions))
+    result = left_join(marked.select(*keys), found.select(*keys, *columns), keys)
+    if by:
+        return result
+    # One row even where there is no value at all.
+    return result.agg(*[F.max(name).alias(name) for name in names])
+
+
+def _placed(values: DataFrame, marked: DataFrame, keys: Sequence[str], positions: Sequence[Column]) -> DataFrame:
+    """The order statistics next to each position, from the places of all values over range partitions."""
+    placed = global_position(values.where(F.col("__v").isNotNull()), [F.col("__v")], by=keys, name="__at")
+    sized = left_join(placed, marked.select(*keys, F.col("__b.__n").alias("__n")), keys)
+    picked = []
+    for i, pos in enumerate(positions):
+        picked += [
+            F.max(F.when(F.col("__at") == F.floor(pos), F.col("__v"))).alias(f"__lo{i}"),
+            F.max(F.when(F.col("__at") == F.ceil(pos), F.col("__v"))).alias(f"__hi{i}"),
+            F.max(pos - F.floor(pos)).alias(f"__f{i}"),
+        ]
+    return sized.groupBy(*keys).agg(*picked)
 
 
 def median(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:

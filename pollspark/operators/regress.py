@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from pollspark.functions.columns import PER_HEAD_BREAKS, PER_HEAD_LABELS, cut, safe_ln
 from pollspark.operators.aggregate import geo_mean
+from pollspark.operators.dimension import item_pairs
 from pollspark.operators.ranking import quantiles
-from pollspark.operators.relate import left_join, one_row, union_all
+from pollspark.operators.relate import left_join, one_row
 from pollspark.operators.shape import standardise
 from pollspark.session import materialise
 
@@ -202,36 +203,25 @@ def _share(sxy: Column, sxx: Column, syy: Column) -> Column:
     return F.when((sxx > 1e-12) & (syy > 1e-12), sxy * sxy / (sxx * syy))
 
 
-def pairwise_partial_r2(
-    wide: DataFrame, items: Sequence[str], unit: str, min_df: int = 10, chunk: int = 50
-) -> DataFrame:
+def pairwise_partial_r2(wide: DataFrame, items: Sequence[str], unit: str, min_df: int = 10) -> DataFrame:
     """Partial R2 of every pair of question series after ``unit`` effects.
 
-    ``wide`` has one row per unit and period and one column per question. Each
-    pair is a set of aggregates per unit over rows where both are present, so no
-    row is paired with another. Pairs go through in chunks to bound the width.
-    Kept: more rows than units and ``df > min_df``; ``df = n - units - 1``.
+    ``wide`` has one row per unit and period and one column per question. One scan:
+    a row's pairs of present questions are added up per unit and pair before the
+    shuffle, so no row is paired with another. Kept: more rows than units and
+    ``df > min_df``; ``df = n - units - 1``.
     """
-    pairs = [(x, y) for i, y in enumerate(items) for x in items[i + 1 :]]
-    if len(pairs) > chunk:
-        wide = materialise(wide)
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        some = pairs[start : start + chunk]
-        aggs = [
-            F.struct(
-                F.lit(x).alias("x"),
-                F.lit(y).alias("y"),
-                F.regr_count(y, x).alias("n"),
-                F.regr_sxx(y, x).alias("sxx"),
-                F.regr_syy(y, x).alias("syy"),
-                F.regr_sxy(y, x).alias("sxy"),
-            ).alias(f"p{i}")
-            for i, (x, y) in enumerate(some)
-        ]
-        per_unit = wide.groupBy(unit).agg(*aggs)
-        parts.append(per_unit.select(F.inline(F.array(*[f"p{i}" for i in range(len(some))]))).where(F.col("n") > 0))
-    total = union_all(*parts).groupBy("x", "y").agg(
+    entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in items])
+    present = wide.select(unit, F.filter(entries, lambda e: e["value"].isNotNull()).alias("entries"))
+    pairs = present.select(F.col(unit).alias("__unit"), item_pairs(F.col("entries")).alias("p")).select("__unit", "p.*")
+    # The earlier question of a pair is explained by the later one.
+    per_unit = pairs.where("name_a <> name_b").groupBy("__unit", F.col("name_b").alias("x"), F.col("name_a").alias("y")).agg(
+        F.regr_count("a", "b").alias("n"),
+        F.regr_sxx("a", "b").alias("sxx"),
+        F.regr_syy("a", "b").alias("syy"),
+        F.regr_sxy("a", "b").alias("sxy"),
+    )
+    total = per_unit.groupBy("x", "y").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("units"),
         F.sum("sxx").alias("sxx"),

@@ -56,31 +56,34 @@ def inner_join(
     right: DataFrame,
     on: Sequence[str] | None = None,
     suffixes: tuple[str, str] = (".x", ".y"),
+    null_safe: bool = True,
 ) -> DataFrame:
     """Inner join; without ``on``, natural join on all common columns.
 
-    Other columns present on both sides get the suffixes.
+    Missing keys match missing keys when ``null_safe``. Other columns present on
+    both sides get the suffixes.
     """
     common = [c for c in left.columns if c in right.columns]
     keys = common if on is None else list(on)
     clash = [c for c in common if c not in keys]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    return left.join(right, keys, "inner")
+    renamed, condition, others = _prepare(left, right, keys, null_safe)
+    return left.join(renamed, condition, "inner").drop(*others)
 
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left_join(left, right, [c for c in left.columns if c in right.columns])
 
 
-def semi_join(left: DataFrame, right: DataFrame, on: Keys, null_safe: bool = False) -> DataFrame:
+def semi_join(left: DataFrame, right: DataFrame, on: Keys, null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key is in ``right``."""
     pairs = _pairs(on)
     renamed, condition, keys = _prepare(left, right.select(*[r for _, r in pairs]), on, null_safe)
     return left.join(renamed, condition, "left_semi")
 
 
-def anti_join(left: DataFrame, right: DataFrame, on: Keys, null_safe: bool = False) -> DataFrame:
+def anti_join(left: DataFrame, right: DataFrame, on: Keys, null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right``."""
     pairs = _pairs(on)
     renamed, condition, keys = _prepare(left, right.select(*[r for _, r in pairs]), on, null_safe)

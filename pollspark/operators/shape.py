@@ -12,14 +12,21 @@ from pollspark.operators.ranking import global_position, median, row_numbers
 from pollspark.operators.relate import left_join, one_row, with_group
 
 
+#: A standard deviation below this part of the greatest absolute value is rounding noise.
+NOISE = 1e-12
+
+
 def standardise(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
-    """``(x - mean) / sd`` with the sample sd; missing where the sd is 0 or missing.
+    """``(x - mean) / sd`` with the sample sd; missing where the sd is missing or no more than
+    rounding noise (``NOISE`` times the greatest value).
 
     Over the whole table the two moments come from a scalar subquery; inside
     groups from an aggregate joined back.
     """
     name = name or col + "_std"
-    moments = [F.avg(col).alias("__mu"), F.stddev_samp(col).alias("__sd")]
+    noise = F.lit(NOISE) * F.max(F.abs(F.col(col)))
+    sd = F.stddev_samp(col)
+    moments = [F.avg(col).alias("__mu"), F.when(sd > noise, sd).alias("__sd")]
     if by:
         joined = with_group(df, by, *moments)
         return joined.withColumn(name, _scaled(col, F.col("__mu"), F.col("__sd"))).drop("__mu", "__sd")
@@ -94,8 +101,16 @@ def encode(df: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def pivot_wider(df: DataFrame, ids: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
-    """Long to wide over an explicit list of names."""
-    return df.groupBy(*ids).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+    """Long to wide over an explicit list of names.
+
+    A name that the list lacks is refused, not dropped (one aggregate row is read to
+    see). Of several values for one place the largest is taken, whatever the order.
+    """
+    listed = list(names)
+    unlisted = df.where(~F.col(name).isin(listed)).agg(F.min(name), F.count(F.lit(1))).first()
+    if unlisted[1]:
+        raise ValueError(f"{unlisted[1]} rows have names that are not listed, such as {unlisted[0]!r}")
+    return df.groupBy(*ids).pivot(name, listed).agg(F.max(value))
 
 
 def pivot_longer(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, value: str) -> DataFrame:

@@ -33,12 +33,12 @@ SCHEMAS = {
 PERIODS = ("2002-03", "2004-05", "2006-07", "2008-09")
 QUESTIONS = ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 QUESTION_COLS = ("q_a_f", "q_a_o", "q_n_f", "q_n_o", "q_r_f", "q_r_o")
-EMBEDDED = tuple(f"e{i}" for i in range(1, 7))
+EMBEDDED = tuple(f"e{i}" for i in range(1, 65))
 FINAL = "2008-09"
 
 
 class Survey:
-    """Lazy plans over one data folder; nothing is read until a query runs."""
+    """Plans over one data folder. Tables that several plans read are written when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -60,12 +60,18 @@ class Survey:
             F.concat_ws(":", "n_name", "c_mktsegment").alias("mergekey"),
         )
 
+    @cached_property
+    def placed_orders(self) -> DataFrame:
+        """Orders with their place: the small join first, so that line items are shuffled once."""
+        orders = self.table("orders")
+        joined = orders.join(self.places, orders.o_custkey == F.col("c_custkey"))
+        return joined.select("o_orderkey", "o_orderpriority", "o_orderstatus", "continent_name", "iso_3166", "mergekey")
+
     @cached_property
     def answers(self) -> DataFrame:
         """One answer per line item."""
-        lineitem, orders = self.table("lineitem"), self.table("orders")
-        joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        located = joined.join(self.places, joined.o_custkey == F.col("c_custkey"))
+        lineitem, orders = self.table("lineitem"), self.placed_orders
+        located = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
         rating = F.ceil(F.col("l_quantity") / 10)
         year = (F.year("l_shipdate") + 7).cast("int")
         return located.select(
@@ -89,18 +95,26 @@ class Survey:
         return ordinal_counts(regional, ["continent_name", "iso_3166", "mergekey"], ["year2", "year_int"])
 
     @cached_property
-    def stored_cells(self) -> DataFrame:
-        """The cells as a saved table, for queries that read them more than once."""
-        return materialise(self.cells)
+    def both_cells(self) -> DataFrame:
+        """Regional and national cells as one saved table, counted in one pass over the answers.
+
+        National answers have no region key.
+        """
+        national = F.col("orderstatus") == "P"
+        levels = self.answers.where(F.col("orderstatus").isNotNull()).withColumns(
+            {"national": national, "mergekey": F.when(~national, F.col("mergekey"))}
+        )
+        geo = ["national", "continent_name", "iso_3166", "mergekey"]
+        return materialise(ordinal_counts(levels, geo, ["year2", "year_int"]))
 
     @cached_property
-    def cells_nat(self) -> DataFrame:
-        national = self.answers.where(F.col("orderstatus") == "P")
-        return ordinal_counts(national, ["continent_name", "iso_3166"], ["year2", "year_int"])
+    def stored_cells(self) -> DataFrame:
+        """The regional cells of the saved table, for queries that read them more than once."""
+        return self.both_cells.where(~F.col("national")).drop("national")
 
     @cached_property
     def stored_nat(self) -> DataFrame:
-        return materialise(self.cells_nat)
+        return self.both_cells.where("national").drop("national", "mergekey")
 
     @cached_property
     def population(self) -> DataFrame:
@@ -168,10 +182,9 @@ class Survey:
     @cached_property
     def energy(self) -> DataFrame:
         """Line items of one part type with their place: the energy sector of the fixture."""
-        lineitem, part, orders = self.table("lineitem"), self.table("part"), self.table("orders")
+        lineitem, part, orders = self.table("lineitem"), self.table("part"), self.placed_orders
         sector = lineitem.join(part.where(F.col("p_type") == "ECONOMY"), lineitem.l_partkey == F.col("p_partkey"))
-        placed = sector.join(orders, sector.l_orderkey == orders.o_orderkey)
-        return placed.join(self.places, placed.o_custkey == F.col("c_custkey"))
+        return sector.join(orders, sector.l_orderkey == orders.o_orderkey)
 
     @cached_property
     def emissions(self) -> DataFrame:
@@ -210,7 +223,7 @@ class Survey:
 
     @cached_property
     def embedded(self) -> DataFrame:
-        """First six entries of the embeddings as columns."""
+        """The entries of the embeddings as columns."""
         return self.table("embeddings").select(
             "vec_id",
             F.col("label").alias("source"),

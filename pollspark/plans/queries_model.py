@@ -60,7 +60,7 @@ _DRIFT = """l AS (SELECT *, row_number() OVER (PARTITION BY mergekey ORDER BY ye
 _LINES = """lines AS (SELECT mergekey, reg_mean, dn, CAST(substring(year2, 1, 4) AS INT) AS y0,
                      unnest(generate_series(CAST(substring(year2, 1, 4) AS INT), 2008, 2)) AS y FROM flagged WHERE toobig = 1),
     interp AS (SELECT mergekey, concat(CAST(y AS VARCHAR), '-', lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0')) AS year2,
-                      reg_mean + dn * (y - y0) / (2008.0E0 - y0) AS mean_interp FROM lines)"""
+                      reg_mean + dn * (y - y0) / (2008.0E0 - y0) AS mean_interp, y > y0 AS later FROM lines)"""
 
 
 @query(
@@ -82,21 +82,19 @@ def _flagged(s: Survey) -> DataFrame:
     f"WITH {_DRIFT}, {_LINES} SELECT mergekey, year2, {r('mean_interp')} AS mean_interp FROM interp",
 )
 def _(s: Survey) -> DataFrame:
-    return rounded(H.interpolate(_flagged(s), end=2008), "mean_interp")
+    return rounded(H.interpolate(_flagged(s), end=2008).drop("later"), "mean_interp")
 
 
 @query(
     "h4_apply_interpolation",
     f"""WITH {_DRIFT}, {_LINES}
-        SELECT e.mergekey, e.year2, CASE WHEN mean_interp IS NOT NULL AND {r("mean", 9)} <> {r("mean_interp", 9)} THEN 1 ELSE 0 END AS interpolated,
+        SELECT e.mergekey, e.year2, CASE WHEN later THEN 1 ELSE 0 END AS interpolated,
                {r("coalesce(mean_interp, mean)")} AS mean
         FROM drifting e LEFT JOIN interp i ON e.mergekey = i.mergekey AND e.year2 = i.year2""",
 )
 def _(s: Survey) -> DataFrame:
-    # Rounded first, so that a line meets its own start point exactly.
-    est = rounded(s.drifting.select("mergekey", "year2", "mean"), "mean", digits=9)
-    lines = rounded(H.interpolate(_flagged(s), end=2008), "mean_interp", digits=9)
-    return rounded(H.apply_interpolation(est, lines).drop("mean_interp"), "mean")
+    est = s.drifting.select("mergekey", "year2", "mean")
+    return rounded(H.apply_interpolation(est, H.interpolate(_flagged(s), end=2008)).drop("mean_interp"), "mean")
 
 
 @query(
@@ -140,12 +138,14 @@ def _(s: Survey) -> DataFrame:
     """WITH b AS (SELECT iso_3166, question, option, year_int FROM cells WHERE size <> 0
                   UNION ALL SELECT iso_3166, question, option, year_int FROM cells_nat WHERE size <> 0)
        SELECT max(year_int) AS tt, max(option) AS k, count(DISTINCT iso_3166) AS c, count(DISTINCT question) AS j,
-              (SELECT count(DISTINCT mergekey) FROM cells) AS r, (SELECT count(*) FROM cells) AS rtjk,
+              (SELECT max(regioncode_int) FROM region_codes) AS r, (SELECT count(*) FROM cells) AS rtjk,
+              (SELECT string_agg(CAST(kmin1 AS VARCHAR), ',' ORDER BY question_int) FROM (SELECT question_int, max(option) - 1 AS kmin1
+               FROM b JOIN question_codes q ON b.question = q.question GROUP BY 1) t) AS thresholds,
               (SELECT count(*) FROM cells_nat) AS ctjk FROM b""",
 )
 def _(s: Survey) -> DataFrame:
-    cells, nat = I.drop_empty_cells(s.stored_cells), I.drop_empty_cells(s.stored_nat)
-    return I.model_dims(cells, nat, "iso_3166", "mergekey")
+    cells, nat = I.drop_empty_cells(s.coded_cells), I.drop_empty_cells(s.coded_nat)
+    return I.model_dims(cells, nat, "iso_3166", "regioncode_int")
 
 
 def _walks(s: Survey) -> DataFrame:
@@ -251,7 +251,7 @@ def _(s: Survey) -> DataFrame:
 def _(s: Survey) -> DataFrame:
     gamma, beta = _items(s)
     scores = s.est_nat.select("iso_3166", "year_int", "mean")
-    total = S.ordinal_loglik(s.cells_nat, scores, "mean", ["iso_3166", "year_int"], gamma, beta)
+    total = S.ordinal_loglik(s.stored_nat, scores, "mean", ["iso_3166", "year_int"], gamma, beta)
     return rounded(total, "loglik", digits=3)
 
 

@@ -49,8 +49,8 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     keys = ["iso_3166", "question", "year2"]
-    a = s.cells.where(F.col("year2") != "2008-09").groupBy(*keys).agg(F.sum("yes").alias("regional"))
-    b = s.cells_nat.where(F.col("year2") != "2002-03").groupBy(*keys).agg(F.sum("yes").alias("national"))
+    a = s.stored_cells.where(F.col("year2") != "2008-09").groupBy(*keys).agg(F.sum("yes").alias("regional"))
+    b = s.stored_nat.where(F.col("year2") != "2002-03").groupBy(*keys).agg(F.sum("yes").alias("national"))
     return D.full_join(a, b, keys)
 
 
@@ -85,14 +85,20 @@ def _(s: Survey) -> DataFrame:
     return rounded(joined.select("mergekey", "year2", "name", "mean"), "mean")
 
 
+def _even_regions(s: Survey) -> tuple[DataFrame, DataFrame]:
+    """Answers by region and question, counted once, and the regions with an even number of them."""
+    counts = materialise(A.tally(s.answers, "mergekey", "question"))
+    return counts, counts.groupBy("mergekey").agg(F.sum("n").alias("total")).where(F.col("total") % 2 == 0)
+
+
 @query(
     "d5_semi_join",
     """SELECT question, count(*) AS n FROM respp WHERE mergekey IN (
          SELECT mergekey FROM respp GROUP BY mergekey HAVING count(*) % 2 = 0) GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
-    listed = A.tally(s.answers, "mergekey").where(F.col("n") % 2 == 0)
-    return A.tally(D.semi_join(s.answers, listed, "mergekey"), "question")
+    counts, listed = _even_regions(s)
+    return D.semi_join(counts, listed, "mergekey").groupBy("question").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -101,8 +107,8 @@ def _(s: Survey) -> DataFrame:
          SELECT mergekey FROM respp GROUP BY mergekey HAVING count(*) % 2 = 0) GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
-    listed = A.tally(s.answers, "mergekey").where(F.col("n") % 2 == 0)
-    return A.tally(D.anti_join(s.answers, listed, "mergekey"), "question")
+    counts, listed = _even_regions(s)
+    return D.anti_join(counts, listed, "mergekey").groupBy("question").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -135,7 +141,7 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     cols = ["iso_3166", "year2", "question", "option", "yes"]
-    return D.union_all(s.cells.select(*cols), s.cells_nat.select(*cols))
+    return D.union_all(s.stored_cells.select(*cols), s.stored_nat.select(*cols))
 
 
 @query(
@@ -145,7 +151,7 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     cols = ["iso_3166", "mergekey", "year2", "question", "option", "yes", "size"]
-    return D.union_fill(s.cells, s.cells_nat).select(*cols)
+    return D.union_fill(s.stored_cells, s.stored_nat).select(*cols)
 
 
 @query(
@@ -154,7 +160,7 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     cols = ["iso_3166", "question", "year2"]
-    return D.union_distinct(s.cells.select(*cols), s.cells_nat.select(*cols))
+    return D.union_distinct(s.stored_cells.select(*cols), s.stored_nat.select(*cols))
 
 
 @query(
@@ -163,7 +169,7 @@ def _(s: Survey) -> DataFrame:
        SELECT iso_3166, question, year2, option FROM cells_nat""",
 )
 def _(s: Survey) -> DataFrame:
-    return D.set_difference(s.cells, s.cells_nat.select("iso_3166", "question", "year2", "option"))
+    return D.set_difference(s.stored_cells, s.stored_nat.select("iso_3166", "question", "year2", "option"))
 
 
 @query(
@@ -239,7 +245,7 @@ def _(s: Survey) -> DataFrame:
        SELECT iso_3166, year_int, obs FROM a FULL JOIN b USING (iso_3166, year_int, obs)""",
 )
 def _(s: Survey) -> DataFrame:
-    return A.country_obs(s.cells, s.cells_nat, "iso_3166", "year_int")
+    return A.country_obs(s.stored_cells, s.stored_nat, "iso_3166", "year_int")
 
 
 @query(
@@ -250,7 +256,7 @@ def _(s: Survey) -> DataFrame:
        FROM (SELECT question, size FROM a UNION ALL SELECT question, size FROM b) t GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
-    return A.question_obs(s.cells, s.cells_nat, "mergekey", "iso_3166", "year_int")
+    return A.question_obs(s.stored_cells, s.stored_nat, "mergekey", "iso_3166", "year_int")
 
 
 @query(
@@ -260,7 +266,7 @@ def _(s: Survey) -> DataFrame:
        SELECT a.n AS regional, a.n + b.n AS total FROM a, b""",
 )
 def _(s: Survey) -> DataFrame:
-    return A.total_responses(s.cells, s.cells_nat, "mergekey", "iso_3166", "year2")
+    return A.total_responses(s.stored_cells, s.stored_nat, "mergekey", "iso_3166", "year2")
 
 
 @query("f10_tally", "SELECT year2, iso_3166, question, count(*) AS n FROM respp GROUP BY 1, 2, 3")
@@ -276,8 +282,7 @@ def _(s: Survey) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     names = ["q5", "q25", "q50", "q95"]
-    rows = materialise(s.outside.select("iso_3166", "concern"))
-    return rounded(quantiles(rows, "concern", [0.05, 0.25, 0.5, 0.95], ["iso_3166"], names), *names, digits=4)
+    return rounded(quantiles(s.outside, "concern", [0.05, 0.25, 0.5, 0.95], ["iso_3166"], names), *names, digits=4)
 
 
 @query(
@@ -354,7 +359,8 @@ def _(s: Survey) -> DataFrame:
     "f16_mean_correlation",
     f"""WITH u AS ({_LONG}), m AS (SELECT a.question AS item_a, b.question AS item, corr(a.val, b.val) AS c
                FROM u a JOIN u b ON a.mergekey = b.mergekey GROUP BY 1, 2)
-        SELECT item, round_even(avg(c), 2) + 0.0E0 AS cor FROM m GROUP BY 1""",
+        SELECT item, round_even(avg(c), 2) + 0.0E0 AS cor, concat(item, ': ', CAST(round_even(avg(c), 2) + 0.0E0 AS VARCHAR)) AS label
+        FROM m GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
     return mean_correlation(_item_matrix(s))

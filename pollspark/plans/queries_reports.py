@@ -69,7 +69,7 @@ def _points(s: Survey, stats: DataFrame) -> DataFrame:
 )
 def _(s: Survey) -> DataFrame:
     cols = ["question", "year2", "source2", "discrimination", "continent_name", "iso_3166", "mean", "ncountries", "corr", "prop_scl"]
-    return rounded(_points(s, _stats(s)).select(*cols), "discrimination", "mean", "prop_scl")
+    return rounded(K.with_unscored_continents(_points(s, _stats(s))).select(*cols), "discrimination", "mean", "prop_scl")
 
 
 _RANKED = """o AS (SELECT question, row_number() OVER (ORDER BY median({by}) NULLS LAST, question) AS question_rank FROM f GROUP BY 1)
@@ -370,11 +370,11 @@ def _(s: Survey) -> DataFrame:
 @query(
     "k16_respondent_counts",
     """SELECT CAST(l_orderkey % 3 AS VARCHAR) AS constructed, count(*) AS respondents,
-              count(*) FILTER (WHERE coalesce(q_a_f, q_a_o) IS NOT NULL) AS answered FROM resp_wide GROUP BY 1""",
+              count(*) FILTER (WHERE coalesce(q_a_f, q_a_o, q_n_f, q_n_o, q_r_f, q_r_o) IS NOT NULL) AS answered FROM resp_wide GROUP BY 1""",
 )
 def _(s: Survey) -> DataFrame:
     coded = s.wide.withColumn("constructed", F.col("l_orderkey") % 3)
-    return K.respondent_counts(coded, ["q_a_f", "q_a_o"], "constructed")
+    return K.respondent_counts(coded, QUESTION_COLS, "constructed")
 
 
 @query(

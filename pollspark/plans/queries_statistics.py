@@ -12,6 +12,7 @@ from pollspark.operators.shape import pivot_longer, pivot_wider
 from pollspark.plans.fixtures import EMBEDDED, FINAL, QUESTION_COLS, QUESTIONS, Survey
 from pollspark.plans.queries_relations import region_means
 from pollspark.plans.registry import query, r, rounded
+from pollspark.session import materialise
 
 EMBEDDING_SIZE = 64
 
@@ -32,9 +33,11 @@ def exposed(s: Survey) -> DataFrame:
 def per_head(s: Survey) -> DataFrame:
     """Emissions per head: part returns stand for the finer outside regions."""
     code = F.concat_ws("/", "mergekey", "l_returnflag")
-    raw = s.energy.select(code.alias("code"), F.col("iso_3166").alias("country"), "mergekey", "l_extendedprice")
-    kilotons = raw.select("code", "country", (F.col("l_extendedprice") / 1000).alias("kilotons"))
-    crosswalk = raw.select("code", "mergekey").distinct()
+    lines = s.energy.select(code.alias("code"), F.col("iso_3166").alias("country"), "mergekey", "l_extendedprice")
+    # Summed once; both inputs are read from the sums.
+    sums = materialise(lines.groupBy("code", "country", "mergekey").agg((F.sum("l_extendedprice") / 1000).alias("kilotons")))
+    kilotons = sums.select("code", "country", "kilotons")
+    crosswalk = sums.select("code", "mergekey").distinct()
     return J.emissions_per_capita(kilotons, crosswalk, s.population.select("mergekey", "region_pop"))
 
 

@@ -99,9 +99,9 @@ VIEWS = {
         SELECT iso_3166, mergekey, CAST(year(o_orderdate) + 7 AS INT) AS year, o_totalprice AS concern
         FROM orders JOIN places ON o_custkey = c_custkey""",
     "embedded": """
-        SELECT vec_id, label AS source, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2,
-               CAST(embedding[3] AS DOUBLE) AS e3, CAST(embedding[4] AS DOUBLE) AS e4,
-               CAST(embedding[5] AS DOUBLE) AS e5, CAST(embedding[6] AS DOUBLE) AS e6 FROM embeddings""",
+        SELECT vec_id, label AS source, """
+    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(1, 65))
+    + " FROM embeddings",
     "region_means": """
         SELECT iso_3166, mergekey, year2, question, sum(yes * option) * 1.0E0 / sum(yes) AS avg_resp
         FROM cells GROUP BY 1, 2, 3, 4""",

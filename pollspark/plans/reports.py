@@ -82,11 +82,16 @@ def validation_table(
     if extra is not None:
         both = both.unionByName(extra, allowMissingColumns=True)
     scored = left_join(both, est.select("iso_3166", "year2", "mean", "continent_name"), ["iso_3166", "year2"])
-    placed = scored.withColumn(
-        "continent_name",
-        F.coalesce("continent_name", C.recode("iso_3166", UNSCORED_CONTINENTS, F.lit(None).cast("string"))),
-    )
-    return semi_join(left_join(placed, disc.select("question", "discrimination"), "question"), kept, "question")
+    return semi_join(left_join(scored, disc.select("question", "discrimination"), "question"), kept, "question")
+
+
+def with_unscored_continents(table: DataFrame) -> DataFrame:
+    """The continents of unscored countries, filled in for the published table only.
+
+    Panels are scaled and plotted before: an unscored country has no panel there.
+    """
+    known = C.recode("iso_3166", UNSCORED_CONTINENTS, F.lit(None).cast("string"))
+    return table.withColumn("continent_name", F.coalesce("continent_name", known))
 
 
 def with_correlations(val: DataFrame) -> DataFrame:

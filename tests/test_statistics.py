@@ -121,7 +121,7 @@ def test_pairwise_partial_r2(spark):
     rows = [(u, t, *np.where(rng.random(3) < 0.7, rng.normal(size=3) + u, np.nan)) for u in range(20) for t in range(4)]
     pdf = pd.DataFrame(rows, columns=["u", "t", "a", "b", "c"])
     wide = spark.createDataFrame(pdf).select("u", "t", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "abc"])
-    got = {(r.x, r.y): r for r in regress.pairwise_partial_r2(wide, ["a", "b", "c"], "u", min_df=10, chunk=2).collect()}
+    got = {(r.x, r.y): r for r in regress.pairwise_partial_r2(wide, ["a", "b", "c"], "u", min_df=10).collect()}
     assert set(got) == {("b", "a"), ("c", "a"), ("c", "b")}
     for (x, y), row in got.items():
         some = pdf[["u", x, y]].dropna()

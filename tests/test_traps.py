@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pollspark.functions import columns as C
 from pollspark.operators import aggregate as A
-from pollspark.operators import clean, dimension, periods, regress
+from pollspark.operators import clean, dimension, periods, ranking, regress
 from pollspark.operators import relate as D
 from pollspark.operators import scores as S
 from pollspark.operators import shape as G
@@ -170,8 +170,13 @@ def test_correlation_matrix_can_skip_the_first_item(spark):
     )
     assert dimension.corr_matrix(long, "u", "q", "v", "abc").count() == 9
     assert dimension.corr_matrix(long, "u", "q", "v", "abc", skip_first=True).count() == 4
-    chunked = dimension.corr_matrix(long, "u", "q", "v", "abc", chunk=2)
-    assert sorted(rows(chunked)) == sorted(rows(dimension.corr_matrix(long, "u", "q", "v", "abc")))
+    many = [f"i{k:02}" for k in range(80)]
+    plans = [
+        dimension.corr_matrix(long, "u", "q", "v", names)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+        for names in ("abc", many)
+    ]
+    assert plans[0] == plans[1] < 8
+    assert dimension.corr_matrix(long, "u", "q", "v", many).where("corr IS NULL").count() == 6400
 
 
 def test_half_even_rounding(spark):
@@ -279,3 +284,60 @@ def test_region_in_two_countries_is_refused(spark):
     bad = spark.createDataFrame([("A", 0.5), ("A", 0.4)], "iso string, wt double")
     with pytest.raises(ValueError):
         cells.check_weights(bad, "iso")
+
+
+def test_missing_keys_match_in_every_join(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, x int")
+    right = spark.createDataFrame([(None, 9), ("a", 8)], "k string, y int")
+    assert {tuple(r) for r in D.inner_join(left, right, ["k"]).select("k", "x", "y").collect()} == {(None, 1, 9), ("a", 2, 8)}
+    assert {tuple(r) for r in D.natural_left_join(left, right).select("k", "x", "y").collect()} == {(None, 1, 9), ("a", 2, 8), ("b", 3, None)}
+    assert {r.x for r in D.semi_join(left, right, "k").collect()} == {1, 2}
+    assert {r.x for r in D.anti_join(left, right, "k").collect()} == {3}
+    assert D.inner_join(left, right, ["k"], null_safe=False).count() == 1
+
+
+def test_unscored_country_is_patched_after_scaling(spark):
+    stats = spark.createDataFrame(
+        [("s", c, "2002-03", "q", 10, v) for c, v in (("NG", 1.0), ("GH", 2.0), ("AO", 9.0))],
+        "source2 string, iso_3166 string, year2 string, question string, size long, avg_resp double",
+    )
+    est = spark.createDataFrame([(c, "2002-03", m, "Africa") for c, m in (("NG", 0.1), ("GH", 0.3))], "iso_3166 string, year2 string, mean double, continent_name string")
+    disc = spark.createDataFrame([("q", 1.0)], "question string, discrimination double")
+    points = K.with_correlations(K.validation_table(stats, est, disc, disc.select("question")))
+    scaled = {r.iso_3166: r.prop_scl for r in points.collect()}
+    assert scaled["NG"] == pytest.approx(-0.5**0.5) and scaled["GH"] == pytest.approx(0.5**0.5)
+    kept = K.corr_points(points, spark.createDataFrame([("q-s",)], "qsource string"))
+    assert {r.iso_3166 for r in kept.collect()} == {"NG", "GH"}
+    published = {r.iso_3166: r.continent_name for r in K.with_unscored_continents(points).collect()}
+    assert published["AO"] == "Africa"
+
+
+def test_interpolation_without_room(spark):
+    rows = [("r1", "2008-09"), ("r2", "2010-11"), ("r3", "2004-05")]
+    flagged = spark.createDataFrame([(k, 0.5, 0.2, y, 1) for k, y in rows], "mergekey string, reg_mean double, delta_nat double, year2 string, toobig int")
+    lines = periods.interpolate(flagged, end=2008)
+    assert {(r.mergekey, r.year2, r.later) for r in lines.collect()} == {("r3", "2004-05", False), ("r3", "2006-07", True), ("r3", "2008-09", True)}
+    est = spark.createDataFrame([("r3", y, 0.4) for y in ("2004-05", "2006-07", "2008-09")], "mergekey string, year2 string, mean double")
+    done = {r.year2: (r.interpolated, round(r.mean, 9)) for r in periods.apply_interpolation(est, lines).collect()}
+    assert done == {"2004-05": (0, 0.4), "2006-07": (1, 0.6), "2008-09": (1, 0.7)}
+
+
+def test_quantiles_with_nan_and_bad_brackets(spark, monkeypatch):
+    rows = [(k, float(v)) for k in ("a", "b") for v in range(1, 1001)] + [("a", float("nan"))] * 10 + [("c", float("nan")), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    expected = {"a": (500.5, 950.05), "b": (500.5, 950.05), "c": (None, None)}
+    for accuracy, limit in ((10_000, 10**6), (20, 10**6), (20, 5)):
+        got = {r.k: (r.q50, r.q95) for r in ranking.quantiles(df, "v", [0.5, 0.95], ["k"], accuracy=accuracy, bracket_rows=limit).collect()}
+        assert got["c"] == expected["c"] and all(got[k] == pytest.approx(expected[k]) for k in "ab")
+    plain = F.percentile_approx
+    monkeypatch.setattr(ranking.F, "percentile_approx", lambda c, edges, acc: F.transform(plain(c, edges, acc), lambda e: e + 300))
+    got = {r.k: (r.q50, r.q95) for r in ranking.quantiles(df, "v", [0.5, 0.95], ["k"], accuracy=20).collect()}
+    assert all(got[k] == pytest.approx(expected[k]) for k in "ab")
+    assert ranking.quantiles(df.where("v < 0"), "v", [0.5]).collect()[0].q50 is None
+
+
+def test_pivot_refuses_unlisted_names(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0), ("a", "y", 3.0)], "k string, n string, v double")
+    with pytest.raises(ValueError):
+        G.pivot_wider(df, ["k"], "n", "v", ["x"])
+    assert [tuple(r) for r in G.pivot_wider(df, ["k"], "n", "v", ["x", "y"]).collect()] == [("a", 2.0, 3.0)]
