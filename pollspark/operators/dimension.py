@@ -73,9 +73,9 @@ def mean_correlation(matrix: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def positive_items(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns whose total is positive; one row of totals comes back."""
-    row = df.agg(*[F.sum(c).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] is not None and row[c] > 0]
+    """Columns that vary and whose total is positive; one row of totals comes back."""
+    row = df.agg(*[F.struct(F.sum(c).alias("t"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c].t is not None and row[c].t > 0 and row[c].lo < row[c].hi]
 
 
 def screen_items(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -96,7 +96,7 @@ def eigenvalues(df: DataFrame, cols: Sequence[str]) -> list[float]:
 
     The matrix is summed over the cluster; only its p x p numbers reach the driver.
     """
-    features = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(df)
+    features = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="error").transform(df)
     matrix = Correlation.corr(features.select("features"), "features").first()[0].toArray()
     return sorted(np.linalg.eigvalsh(matrix).tolist(), reverse=True)
 

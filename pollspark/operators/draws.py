@@ -31,13 +31,6 @@ def summarise_draws(draws: DataFrame) -> DataFrame:
     return joined.select("variable", "mean", "median", "sd", "mad", "q5", "q95")
 
 
-def equal_chains(draws: DataFrame) -> DataFrame:
-    """Cut every chain of a variable to the length of its shortest chain."""
-    length = draws.groupBy("variable", "chain").agg(F.count(F.lit(1)).alias("n"))
-    shortest = length.groupBy("variable").agg(F.min("n").alias("__n"))
-    return left_join(draws, shortest, "variable").where(F.col("iteration") <= F.col("__n")).drop("__n")
-
-
 def split_chains(draws: DataFrame) -> DataFrame:
     """Halve each chain: ``(variable, half, pos, value)``, the middle draw of an odd chain left out."""
     length = draws.groupBy("variable", "chain").agg(F.max("iteration").alias("n"))
@@ -59,12 +52,21 @@ def chain_moments(halves: DataFrame) -> DataFrame:
 
 
 def _variance_parts(moments: DataFrame) -> DataFrame:
-    """Per variable: chains, draws per chain, within and pooled variance."""
-    parts = moments.groupBy("variable").agg(
+    """Per variable: chains, mean, shortest and total draws, within and pooled variance.
+
+    Chains of any length are used whole: variances are weighted by their degrees of
+    freedom, squared distances of chain means by the chains' draws. With equal
+    lengths these are the plain means.
+    """
+    centres = moments.groupBy("variable").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("centre"))
+    apart = F.col("m") - F.col("centre")
+    parts = inner_join(moments, centres, ["variable"]).groupBy("variable").agg(
         F.count(F.lit(1)).alias("chains"),
-        F.min("n").alias("n"),
-        F.avg("v").alias("within"),
-        F.var_samp("m").alias("between"),
+        F.avg("n").alias("n"),
+        F.min("n").alias("shortest"),
+        F.sum("n").alias("total"),
+        F.try_divide(F.sum((F.col("n") - 1) * F.col("v")), F.sum(F.col("n") - 1)).alias("within"),
+        F.try_divide(F.sum(F.col("n") * apart * apart), (F.count(F.lit(1)) - 1) * F.avg("n")).alias("between"),
     )
     n = F.col("n")
     return parts.withColumn("pooled", (n - 1) / n * F.col("within") + F.col("between"))
@@ -126,7 +128,9 @@ def _autocovariance(blocks: DataFrame, shift: int, block: int) -> DataFrame:
 
 
 def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Effective sample size per variable from split chains of equal length.
+    """Effective sample size per variable from split chains.
+
+    Lags go up to the shortest chain; products of longer chains count by their draws.
 
     Autocorrelations are summed in pairs up to the first negative pair, each pair
     capped by the smallest before it (Geyer's initial monotone sequence). Lags
@@ -146,9 +150,9 @@ def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
     done, pending, history = [], varied.select("variable"), None
     for shift in range(longest + 1):
         summed = _autocovariance(inner_join(blocks, pending, ["variable"]), shift, block)
-        per_lag = summed.groupBy("variable", "lag").agg(F.avg("s").alias("s"))
-        rho = 1 - (F.col("within") - F.col("s") / F.col("n")) / F.col("pooled")
-        found = inner_join(per_lag, varied, ["variable"]).where(F.col("lag") < F.col("n"))
+        per_lag = summed.groupBy("variable", "lag").agg(F.sum("s").alias("s"))
+        rho = 1 - (F.col("within") - F.col("s") / F.col("total")) / F.col("pooled")
+        found = inner_join(per_lag, varied, ["variable"]).where(F.col("lag") < F.col("shortest"))
         found = found.select("variable", "lag", F.when(F.col("lag") == 0, 1.0).otherwise(rho).alias("rho"))
         if history is not None:
             found = union_all(inner_join(history, pending, ["variable"]), found)
@@ -159,7 +163,7 @@ def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
         if pending.limit(1).count() == 0:
             break
     joined = left_join(parts, union_all(*done).select("variable", "tau"), "variable")
-    total = F.col("chains") * F.col("n")
+    total = F.col("total")
     # Lower bound of the autocorrelation time, for antithetic chains.
     bounded = F.greatest(F.col("tau"), 1 / F.log10(total.cast("double")))
     return joined.select("variable", F.when(F.col("tau").isNotNull(), total / bounded).alias("ess"))
@@ -176,7 +180,7 @@ def _geyer(rho: DataFrame, parts: DataFrame, known: int) -> DataFrame:
         F.max(F.when(F.col("lag") % 2 == 0, F.col("rho"))).alias("even"),
         F.count(F.lit(1)).alias("c"),
     )
-    sized = inner_join(paired, parts.select("variable", "n"), ["variable"])
+    sized = inner_join(paired, parts.select("variable", F.col("shortest").alias("n")), ["variable"])
     # Lags too close to the chain length are not used.
     usable = sized.where((F.col("c") == 2) & ((F.col("pair") == 0) | (2 * F.col("pair") < F.col("n") - 3)))
     listed = usable.groupBy("variable", "n").agg(F.array_sort(F.array_agg(F.struct("pair", "sum", "even"))).alias("ps"))
@@ -220,8 +224,7 @@ def _of_kind(df: DataFrame, kind: str) -> DataFrame:
 def convergence(draws: DataFrame) -> DataFrame:
     """Rank-normalised split R-hat, bulk and tail effective size per variable.
 
-    Chains of a variable must have equal length (see ``equal_chains``). The
-    derived series (ranks, distances from the median, tail indicators) go
+    Chains may differ in length. The derived series (ranks, distances from the median, tail indicators) go
     through each step together.
     """
     marks = materialise(quantiles(draws, "value", [0.05, 0.5, 0.95], ["variable"], ["q5", "median", "q95"]))

@@ -17,11 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pollspark.operators import scores as S
-from pollspark.operators.relate import union_all
+from pollspark.operators.relate import inner_join, union_all
 from pollspark.session import keep, materialise
 
-MAX_PARAMETERS = 5_000_000
-
 
 @dataclass(frozen=True)
 class Design:
@@ -56,15 +54,13 @@ class Design:
 
 
 def design(cells: DataFrame, nat: DataFrame, region_map: DataFrame, weights: DataFrame) -> Design:
-    """Read the dimension tables. Their number of rows is checked before they are fetched."""
+    """Read the dimension tables; the driver holds one number per region, country, period and question."""
     both = union_all(*[d.select("question_int", "option", "year_int", "iso_3166_int") for d in (cells, nat)])
     sizes = both.agg(
         F.max("year_int"), F.max("option"), F.max("iso_3166_int"), F.max("question_int")
     ).first()
     regions = region_map.join(weights, "regioncode_int").select("regioncode_int", "iso_3166_int", "wt")
     n = regions.count()
-    if (n + sizes[2]) * sizes[0] + sizes[3] * sizes[1] > MAX_PARAMETERS:
-        raise ValueError(f"more than {MAX_PARAMETERS} parameters")
     placed = regions.toPandas().sort_values("regioncode_int")
     if list(placed["regioncode_int"]) != list(range(1, n + 1)):
         raise ValueError("region codes must be dense from 1, each with one country and weight")
@@ -126,6 +122,35 @@ def model_cells(cells: DataFrame, nat: DataFrame, periods: int) -> DataFrame:
     return union_all(narrow(cells, "regioncode_int", 0), narrow(nat, "iso_3166_int", 1))
 
 
+def score_gradient(
+    cells: DataFrame, scores: DataFrame, score: str, on: list[str], gamma: DataFrame, beta: DataFrame
+) -> DataFrame:
+    """``(on, loglik, d_score)``: log-likelihood and its slope in each score, at given parameters.
+
+    The tables are those of ``cell_probabilities``. Cells stay distributed and are
+    added up per score before the shuffle.
+    """
+    cuts = beta.groupBy("question").agg(F.map_from_entries(F.array_agg(F.struct(F.col("k").cast("int"), "beta"))).alias("cuts"))
+    items = inner_join(gamma.select("question", "gamma", "kmin1"), cuts, ["question"])
+    joined = inner_join(inner_join(cells, items, ["question"]), scores.select(*on, F.col(score).alias("score")), on)
+    option = F.col("option").cast("int")
+    rows = joined.select(
+        *on, F.col("yes").cast("double").alias("yes"), option.alias("option"), "score", "gamma",
+        F.coalesce(F.try_element_at("cuts", option - 1), F.lit(0.0)).alias("lower"),
+        F.coalesce(F.try_element_at("cuts", option), F.lit(0.0)).alias("upper"), (option == F.col("kmin1") + 1).alias("last"),
+    )
+    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in on)
+
+    def slopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            columns = [pdf[c].to_numpy() for c in ("yes", "option", "score", "gamma", "lower", "upper", "last")]
+            ll, d_score, *_ = cell_gradient(*columns)
+            yield pdf[on].assign(loglik=ll, d_score=d_score)
+
+    sums = [F.sum(c).alias(c) for c in ("loglik", "d_score")]
+    return rows.mapInPandas(slopes, f"{kinds}, loglik double, d_score double").groupBy(*on).agg(*sums)
+
+
 def likelihood(table: DataFrame, d: Design, region_score, national_score, gamma, beta):
     """Log-likelihood and gradients for region scores, national scores, gamma and beta."""
     sc = table.sparkSession.sparkContext
@@ -266,7 +291,7 @@ def start(d: Design) -> np.ndarray:
 
 
 def ascend(fn: Callable, theta: np.ndarray, iters: int, memory: int = 8, tol: float = 1e-8):
-    """Limited-memory quasi-Newton ascent with step halving."""
+    """Limited-memory quasi-Newton ascent with step halving: parameters, value, greatest slope, settled or not."""
     value, grad = fn(theta)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(iters):
@@ -299,8 +324,8 @@ def ascend(fn: Callable, theta: np.ndarray, iters: int, memory: int = 8, tol: fl
             steps = [*steps, (s, y)][-memory:]
         theta, value, grad = trial, new_value, new_grad
         if gain < tol * (1 + abs(value)):
-            break
-    return theta, value
+            return theta, value, float(np.abs(grad).max()), True
+    return theta, value, float(np.abs(grad).max()), False
 
 
 def fit_map(
@@ -310,16 +335,18 @@ def fit_map(
 
     ``cells``: regioncode_int, iso_3166_int, year_int, question_int, option, yes;
     ``nat`` the same without region. ``region_map``: regioncode_int, iso_3166_int.
-    ``weights``: regioncode_int, wt.
+    ``weights``: regioncode_int, wt. ``converged__`` is 1 only if the ascent settled
+    within ``iters`` steps; otherwise the values are those of the last step, and
+    ``slope__``, the greatest slope there, tells how far from the mode.
     """
     d = design(cells, nat, region_map, weights)
     table = keep(materialise(model_cells(cells, nat, d.periods)))
     try:
-        theta, value = ascend(lambda t: objective(t, d, lambda *p: likelihood(table, d, *p)), start(d), iters)
+        theta, value, slope, settled = ascend(lambda t: objective(t, d, lambda *p: likelihood(table, d, *p)), start(d), iters)
     finally:
         table.unpersist()
     m = unpack(theta, d)
-    names, values = ["lp__"], [value]
+    names, values = ["lp__", "slope__", "converged__"], [value, slope, float(settled)]
     for name in ("country_step", "region_step"):
         names.append(name)
         values.append(float(m[name]))

@@ -10,7 +10,7 @@ from pollspark.operators import draws as R
 from pollspark.operators import periods as H
 from pollspark.operators import scores as S
 from pollspark.operators.aggregate import n_thresholds
-from pollspark.operators.fit import fit_map
+from pollspark.operators.fit import fit_map, score_gradient
 from pollspark.operators.ranking import row_numbers
 from pollspark.operators.relate import inner_join
 from pollspark.operators.shape import rescale01
@@ -317,21 +317,42 @@ def _(s: Survey) -> DataFrame:
 @query(
     "i12_split_rhat",
     f"""WITH s AS (SELECT variable, chain, count(*) AS n FROM draws GROUP BY 1, 2),
-        m AS (SELECT variable, min(n) AS n FROM s GROUP BY 1),
-        d AS (SELECT d.variable, chain, iteration, value, n // 2 AS h, n FROM draws d JOIN m ON d.variable = m.variable
-              WHERE iteration <= n),
-        p AS (SELECT variable, chain, iteration > n - h AS second, avg(value) AS mu, var_samp(value) AS v, any_value(h) AS h FROM d
+        d AS (SELECT d.variable, d.chain, iteration, value, n // 2 AS h, n FROM draws d JOIN s ON d.variable = s.variable AND d.chain = s.chain),
+        p AS (SELECT variable, chain, iteration > n - h AS second, avg(value) AS mu, var_samp(value) AS v, count(*) * 1.0E0 AS h FROM d
               WHERE iteration <= h OR iteration > n - h GROUP BY 1, 2, 3),
-        w AS (SELECT variable, avg(v) AS within, var_samp(mu) AS between, any_value(h) AS h FROM p GROUP BY 1)
+        g AS (SELECT variable AS name, sum(h * mu) / sum(h) AS mid FROM p GROUP BY 1),
+        w AS (SELECT variable, sum((h - 1) * v) / sum(h - 1) AS within, avg(h) AS h,
+                     sum(h * (mu - mid) * (mu - mid)) / ((count(*) - 1) * avg(h)) AS between FROM p JOIN g ON variable = name GROUP BY 1)
         SELECT variable, {r("sqrt(((h - 1.0E0) / h * within + between) / within)")} AS rhat FROM w""",
 )
 def _(s: Survey) -> DataFrame:
-    return rounded(R.split_rhat(R.equal_chains(s.draws)), "rhat")
+    return rounded(R.split_rhat(s.draws), "rhat")
 
 
 @query("i12_convergence")
 def _(s: Survey) -> DataFrame:
-    return R.convergence(materialise(R.equal_chains(s.draws)))
+    return R.convergence(s.draws)
+
+
+@query(
+    "i13_gradient",
+    f"""WITH {_ITEMS},
+        x AS (SELECT c.mergekey, c.year_int, option, yes, g.kmin1, gamma, 1 / (1 + exp(-gamma * (e.mean - lo.beta))) AS a,
+                     1 / (1 + exp(-gamma * (e.mean - up.beta))) AS z
+              FROM cells c JOIN est_reg e ON c.mergekey = e.mergekey AND c.year_int = e.year_int JOIN g ON c.question = g.question
+              LEFT JOIN b lo ON lo.question = c.question AND lo.k = option - 1
+              LEFT JOIN b up ON up.question = c.question AND up.k = option)
+        SELECT mergekey, year_int,
+               {r("sum(yes * CASE WHEN option = 1 THEN ln(1 - z) WHEN option = kmin1 + 1 THEN ln(a) ELSE ln(a - z) END)", 4)} AS loglik,
+               {r("""sum(yes * gamma * CASE WHEN option = 1 THEN -z WHEN option = kmin1 + 1 THEN 1 - a
+                         ELSE (a * (1 - a) - z * (1 - z)) / (a - z) END)""", 4)} AS d_score
+        FROM x GROUP BY 1, 2""",
+)
+def _(s: Survey) -> DataFrame:
+    gamma, beta = _items(s)
+    scores = s.est_reg.select("mergekey", "year_int", "mean")
+    found = score_gradient(s.stored_cells.drop("iso_3166"), scores, "mean", ["mergekey", "year_int"], gamma, beta)
+    return rounded(found, "loglik", "d_score", digits=4)
 
 
 @query("i13_posterior_mode")

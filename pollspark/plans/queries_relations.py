@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pollspark.operators import aggregate as A
 from pollspark.operators import shape as G
 from pollspark.operators.dimension import corr_matrix, mean_correlation
-from pollspark.operators.ranking import approx_quantiles, median, quantiles
+from pollspark.operators.ranking import ACCURACY, approx_quantiles, median, quantiles
 from pollspark.operators import relate as D
 from pollspark.plans.fixtures import FINAL, PERIODS, QUESTION_COLS, QUESTIONS, Survey
 from pollspark.plans.registry import query, r, rounded
@@ -297,6 +297,26 @@ def _(s: Survey) -> DataFrame:
     return rounded(found, *names, digits=4)
 
 
+@query(
+    "f11_approximate_ranks",
+    """SELECT iso_3166, count(concern) AS n, true AS q5, true AS q50, true AS q95 FROM outside GROUP BY 1""",
+)
+def _(s: Survey) -> DataFrame:
+    """Whether each approximate quantile has a rank within the promised bound."""
+    probs = {"q5": 0.05, "q50": 0.5, "q95": 0.95}
+    marks = materialise(approx_quantiles(s.outside, "concern", list(probs.values()), ["iso_3166"]))
+    rows = D.left_join(s.outside.select("iso_3166", "concern"), marks, "iso_3166")
+    n = F.count("concern")
+    bound = n / ACCURACY + 1
+
+    def near(name: str, p: float):
+        below = F.sum((F.col("concern") < F.col(name)).cast("long"))
+        upto = F.sum((F.col("concern") <= F.col(name)).cast("long"))
+        return ((below <= p * n + bound) & (upto >= p * n - bound)).alias(name)
+
+    return rows.groupBy("iso_3166").agg(n.alias("n"), *[near(name, p) for name, p in probs.items()])
+
+
 @query("f11_quantiles_approximate")
 def _(s: Survey) -> DataFrame:
     return approx_quantiles(s.outside, "concern", [0.05, 0.5, 0.95], ["iso_3166"])

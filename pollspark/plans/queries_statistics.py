@@ -99,9 +99,21 @@ def _(s: Survey) -> DataFrame:
     return rounded(fit, "intercept_t", "slope_t", digits=4)
 
 
-@query("j3_coefficient_table")
+# Two-sided p value: Student's density summed by Simpson's rule between 0 and the t value.
+@query(
+    "j3_coefficient_table",
+    f"""{_CLUSTER}, terms AS (SELECT 'intercept' AS term, a AS est, ase AS se, a / ase AS t, clusters - 1.0E0 AS df FROM o
+               UNION ALL SELECT 'slope', b, bse, b / bse, clusters - 1.0E0 FROM o),
+        points AS (SELECT *, unnest(range(0, 4001)) AS i FROM terms),
+        areas AS (SELECT term, est, se, t, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * abs(t) / 4000 / 3
+                     * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
+                     * pow(1 + pow(abs(t) * i / 4000.0E0, 2) / df, -(df + 1) / 2) AS area FROM points)
+        SELECT term, {r("any_value(est)")} AS estimate, {r("any_value(se)")} AS std_error, {r("any_value(t)", 4)} AS t_value,
+               {r("1 - 2 * sum(area)")} AS p_value FROM areas GROUP BY 1""",
+)
 def _(s: Survey) -> DataFrame:
-    return J.coefficient_table(J.ols_cluster(burnt(s), "mean", "percap_ln_std", "iso_3166"))
+    found = J.coefficient_table(J.ols_cluster(burnt(s), "mean", "percap_ln_std", "iso_3166"))
+    return rounded(rounded(found, "estimate", "std_error", "p_value"), "t_value", digits=4)
 
 
 @query(
@@ -221,6 +233,25 @@ def _screened(s: Survey) -> tuple[DataFrame, list[str]]:
     return N.screen_items(wide, names)
 
 
+# The eigenvalues add up to the number of items, their squares to the sum of squared correlations.
+@query(
+    "j12_eigenvalue_sums",
+    f"""WITH e AS (SELECT vec_id, unnest(range(1, {EMBEDDING_SIZE + 1})) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+        k AS (SELECT i FROM e GROUP BY 1 HAVING sum(v) > 0 AND min(v) < max(v)),
+        z AS (SELECT e.vec_id, e.i, (v - avg(v) OVER g) / stddev_samp(v) OVER g AS z FROM e JOIN k ON e.i = k.i WINDOW g AS (PARTITION BY e.i)),
+        c AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS c FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY 1, 2)
+        SELECT CAST(count(DISTINCT i) AS BIGINT) AS items, {r("count(DISTINCT i)", 4)} AS total, {r("sum(c * c)", 4)} AS squares FROM c""",
+)
+def _(s: Survey) -> DataFrame:
+    scaled, kept = _screened(s)
+    eigen = N.eigen_table(s.spark, N.eigenvalues(scaled, kept))
+    sums = eigen.agg(
+        F.count(F.lit(1)).alias("items"), F.sum("eigenvalue").alias("total"),
+        F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares"),
+    )
+    return rounded(sums, "total", "squares", digits=4)
+
+
 @query("j12_eigenvalues")
 def _(s: Survey) -> DataFrame:
     scaled, kept = _screened(s)

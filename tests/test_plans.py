@@ -7,7 +7,7 @@ import pytest
 from pollspark.plans.catalog import QUERIES
 
 # Steps that need numpy: lagged products, cell gradients, small eigenvalue problems.
-PYTHON = {"i12_convergence", "i13_posterior_mode", "j13_parallel_analysis", "j14_number_of_factors"}
+PYTHON = {"i12_convergence", "i13_gradient", "i13_posterior_mode", "j13_parallel_analysis", "j14_number_of_factors"}
 # Windows without partition over the handful of rows of an eigenvalue table. Others may
 # only add up ``__total``, which has one row per partition of the data.
 TINY = {"j14_number_of_factors"}
@@ -59,3 +59,19 @@ def test_top_rows_per_group_are_limited_before_the_shuffle(spark):
 def test_cells_are_counted_before_the_shuffle(spark):
     plan = plan_of(QUERIES["i1_ordinal_counts"](spark, "/root/testdata/sf0.001"))
     assert "partial_count" in plan
+
+
+def test_line_items_are_read_and_shuffled_once(spark):
+    """Without broadcasting: one scan, one shuffle of rows for the join, and counts made before the next shuffle."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["i1_ordinal_counts"](spark, "/root/testdata/sf0.001"))
+        both = {name: plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")) for name in ("d2_full_join", "e1_union_all", "f7_country_obs", "f9_total_responses")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("lineitem.parquet") == 1
+    assert len(re.findall(r"hashpartitioning\(l_orderkey", plan)) == 1
+    assert not re.search(r"hashpartitioning\(o_custkey[^\n]*\n[^\n]*l_orderkey", plan)
+    # Both levels come from one stored table of cells.
+    assert all("lineitem" not in p for p in both.values())

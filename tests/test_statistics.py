@@ -210,6 +210,21 @@ def test_convergence(spark):
     assert plain["stuck"] == pytest.approx(rhat(split(stuck)))
 
 
+def test_split_rhat_keeps_unequal_chains_whole(spark):
+    rng = np.random.default_rng(12)
+    chains = [rng.normal(size=n) for n in (100, 61, 40)]
+    rows = [("v", c, i + 1, float(x)) for c, chain in enumerate(chains) for i, x in enumerate(chain)]
+    draws = spark.createDataFrame(rows, "variable string, chain long, iteration long, value double")
+    halves = [h for x in chains for h in (x[: len(x) // 2], x[len(x) - len(x) // 2 :])]
+    n = np.array([len(h) for h in halves])
+    m = np.array([h.mean() for h in halves])
+    within = sum((k - 1) * h.var(ddof=1) for k, h in zip(n, halves, strict=True)) / (n - 1).sum()
+    between = (n * (m - (n * m).sum() / n.sum()) ** 2).sum() / (len(n) - 1) / n.mean()
+    expected = math.sqrt(((n.mean() - 1) / n.mean() * within + between) / within)
+    assert R.split_rhat(draws).first().rhat == pytest.approx(expected)
+    assert 0 < R.convergence(draws).first().ess_bulk < 2 * n.sum()
+
+
 def test_draw_summary(spark):
     rng = np.random.default_rng(9)
     x = rng.gamma(2, size=500)
