@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from pollspark.functions import columns as C
 from pollspark.operators.aggregate import answer_stats, question_coverage
-from pollspark.operators.relate import left_join
+from pollspark.operators.draws import summarise_draws
+from pollspark.operators.relate import inner_join, left_join
+from pollspark.operators.scores import decode_region, item_lookup
 from pollspark.operators.shape import rescale01
 from pollspark.plans import reports as K
 from pollspark.plans.fixtures import FINAL, QUESTION_COLS, Survey
+from pollspark.plans.queries_model import _DRIFT, _LINES
 from pollspark.plans.registry import query, r, rounded
 from pollspark.session import materialise
 
@@ -166,6 +169,54 @@ def _(s: Survey) -> DataFrame:
     return rounded(out, "mean", "mean_std", "mean_scl")
 
 
+_CORRECTED = f"""WITH {_DRIFT}, {_LINES},
+    fixed AS (SELECT e.iso_3166, e.mergekey, e.year2, obs, CASE WHEN later THEN 1 ELSE 0 END AS interpolated,
+                     CASE WHEN later THEN mean_interp ELSE mean END AS mean
+              FROM drifting e LEFT JOIN interp i ON e.mergekey = i.mergekey AND e.year2 = i.year2),
+    corrected AS (SELECT *, (mean - avg(mean) OVER ()) / stddev_samp(mean) OVER () AS mean_std,
+                         (mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()) AS mean_scl FROM fixed)"""
+
+
+def corrected(s: Survey) -> DataFrame:
+    seen = s.drifting.where(F.col("obs") > 0).select("mergekey", "year2", "obs")
+    est = s.drifting.select("iso_3166", "mergekey", "year2", "mean")
+    return K.clean_estimates(est, seen, s.est_nat, FINAL, end=2008, tol=0.02)
+
+
+@query("k5_corrected_regions", f"{_CORRECTED} {_scaled_sql('corrected', 'iso_3166, mergekey, obs, interpolated')}")
+def _(s: Survey) -> DataFrame:
+    out = corrected(s).select("iso_3166", "mergekey", "obs", "interpolated", *_SCALED)
+    return rounded(out, "mean", "mean_std", "mean_scl")
+
+
+@query(
+    "k6_corrected_export",
+    f"{_CORRECTED} SELECT iso_3166, mergekey, year2, {r('mean_scl')} AS mean_scl FROM corrected WHERE year2 IN ('2002-03', '2008-09')",
+)
+def _(s: Survey) -> DataFrame:
+    out = K.export_periods(corrected(s), "year2", *PAIR).select("iso_3166", "mergekey", "year2", "mean_scl")
+    return rounded(out, "mean_scl")
+
+
+@query(
+    "k10_intervals_from_draws",
+    f"""WITH v AS (SELECT variable, avg(value) AS mean, quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.95) AS q95 FROM draws GROUP BY 1),
+        x AS (SELECT iso_3166, mergekey, mean, q5, q95 FROM v JOIN region_codes c ON variable = concat('region_alpha[', c.regioncode_int, ',1]')),
+        y AS (SELECT *, row_number() OVER (ORDER BY mean DESC, mergekey) AS hi, row_number() OVER (ORDER BY mean, mergekey) AS lo FROM x),
+        e AS (SELECT *, 'top' AS side FROM y WHERE hi <= 2 UNION ALL SELECT *, 'bottom' FROM y WHERE lo <= 2),
+        o AS (SELECT mergekey, row_number() OVER (ORDER BY any_value(mean), mergekey) AS place FROM e GROUP BY mergekey)
+        SELECT e.iso_3166, e.mergekey, side, {r("mean")} AS mean, {r("q5")} AS q5, {r("q95")} AS q95, place
+        FROM e JOIN o ON e.mergekey = o.mergekey""",
+)
+def _(s: Survey) -> DataFrame:
+    summary = summarise_draws(s.draw_values.select("variable", "value"))
+    places = inner_join(s.region_codes, s.stored_cells.select("mergekey", "iso_3166").distinct(), ["mergekey"])
+    periods = item_lookup(s.stored_cells, s.stored_nat, "year_int", "year2")
+    est = decode_region(summary, places, periods).where(F.col("year2") == "2002-03")
+    table = K.interval_table(est.select("iso_3166", "mergekey", "mean", "q5", "q95"), 2, ["mergekey"], "mergekey")
+    return rounded(table.select("iso_3166", "mergekey", "side", "mean", "q5", "q95", "place"), "mean", "q5", "q95")
+
+
 def nations(s: Survey) -> DataFrame:
     return K.scale_estimates(s.est_nat).select("iso_3166", "year2", "mean", "mean_std", "mean_scl")
 

@@ -17,6 +17,7 @@ from pollspark.operators.aggregate import (
     validation_corr,
 )
 from pollspark.operators.clean import any_answered
+from pollspark.operators.periods import apply_interpolation, flag_drift, interpolate
 from pollspark.operators.ranking import median, quantiles
 from pollspark.operators.regress import near_average_items, partial_r2
 from pollspark.operators.relate import inner_join, left_join, one_row, semi_join
@@ -65,6 +66,21 @@ def scale_estimates(est: DataFrame, score: str = "mean") -> DataFrame:
     )
 
 
+def clean_estimates(
+    est: DataFrame, obs: DataFrame, nat: DataFrame, final: str, end: int, tol: float = 0.1
+) -> DataFrame:
+    """The cleaning stage: observation counts attached (0 for none), drifting regions
+    interpolated after their last data, then scaled and binned.
+
+    ``est``: iso_3166, mergekey, year2, mean. ``obs``: mergekey, year2, obs. ``nat``:
+    iso_3166, year2, mean. The regional rows are read four times, hence written once.
+    """
+    counted = left_join(est, obs.select("mergekey", "year2", "obs"), ["mergekey", "year2"])
+    counted = materialise(counted.withColumn("obs", F.coalesce("obs", F.lit(0))))
+    lines = interpolate(flag_drift(counted, nat, final, tol), end)
+    return scale_estimates(apply_interpolation(counted, lines).drop("mean_interp"))
+
+
 def export_periods(est: DataFrame, period: str, first: str, last: str) -> DataFrame:
     return est.where(F.col(period).isin(first, last))
 
