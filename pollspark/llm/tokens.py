@@ -9,7 +9,9 @@ chunks; only unseen chunks go through the library, many in one call.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +31,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -46,11 +55,21 @@ class ChunkEncoder:
         self.memo, self.limit, self.longest = {}, memo, longest
         self.endings: dict[str, bytes] = {"": b""}
         self.feed = len(self.ids("\n"))
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        probes = ["the", "Zebra", "été", "日本語", "ñandú", "x" * 40]
+        self.plain = array("I").itemsize == 4 and sys.byteorder == "little"
+        self.plain = self.plain and all(self._word(p) == self.ids(" " + p) for p in probes)
+        self.plain = self.plain and not any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def ids(self, text: str) -> bytes:
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(found, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters: one pre-token, so the library's merge model alone decides."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(self.letters[32] + piece)]).tobytes()
+
     def _together(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks: many in one string, cut where the token widths reach the chunk ends."""
         joined = ["".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
@@ -72,8 +91,12 @@ class ChunkEncoder:
             if core is not part and (core[1:] if core[:1] == "\n" else core).isalpha():
                 cut[part] = core
         cores = {c for c in cut.values() if c not in memo}
-        new = [*cores.difference(parts), *(p for p in parts if p not in cut)]
-        learnt = dict(zip(new, self._together([p if p[0] == "\n" else " " + p for p in new]), strict=True)) if new else {}
+        words, others = [], []
+        for part in [*cores.difference(parts), *(p for p in parts if p not in cut)]:
+            (words if self.plain and part.isalpha() else others).append(part)
+        learnt = dict(zip(words, map(self._word, words), strict=True))
+        if others:
+            learnt |= zip(others, self._together([p if p[0] == "\n" else " " + p for p in others]), strict=True)
         for part, core in cut.items():
             tail = part[len(core) :]
             if tail not in endings:
