@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pollspark.llm import chat, licences, merkle, mixing, packing, pii, quality, simhash, token_files, unigram
+from pollspark.llm import chat, licences, merkle, mixing, packing, pii, quality, simhash, spelling, token_files, topk, trie, unigram
 
 QUERIES = {
     q.__name__: q
@@ -17,6 +17,15 @@ QUERIES = {
         quality.op8_quality_rules,
         chat.op9_chat_formatting,
         merkle.op10_merkle_fingerprints,
+        topk.op11_exact_top_k,
+        spelling.op12_spelling_variants,
+        trie.op13_conversation_trie,
     )
 }
-SQL = {"op1_temperature_mixing": mixing.ORACLE_SQL, "op10_merkle_fingerprints": merkle.ORACLE_SQL}
+SQL = {
+    "op1_temperature_mixing": mixing.ORACLE_SQL,
+    "op10_merkle_fingerprints": merkle.ORACLE_SQL,
+    "op11_exact_top_k": topk.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_conversation_trie": trie.ORACLE_SQL,
+}

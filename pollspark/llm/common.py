@@ -71,4 +71,12 @@ def map_batches(
     return df.mapInArrow(run, kind)
 
 
-__all__ = ["SLICE", "keyed", "map_batches", "slices", "table", "texts", "without"]
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of the UTF-8 bytes of the column ``text``, bit by bit."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    bits = f"list_transform(range(octet_length(encode({text}))), lambda i: list_transform(range(8), lambda j: ({byte} >> j) & 1))"
+    step = "lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))"
+    return f"xor(list_reduce([4294967295::BIGINT] || flatten({bits}), {step}), 4294967295)"
+
+
+__all__ = ["SLICE", "crc32_sql", "keyed", "map_batches", "slices", "table", "texts", "without"]
