@@ -10,7 +10,7 @@ Files are written and read by Spark (parquet rows with a binary payload), so the
 lie wherever Spark can write, survive lost executors and never appear half written.
 
 Cases: a null text is an empty one (its end id alone); an empty table gives files
-without rows; repeated rows are kept, equal ids in the order of their texts.
+without rows; repeated rows are kept, equal ids in the order of a hash of their texts.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def encode_words(values: np.ndarray) -> bytes:
 
 def decode_words(payload: bytes) -> np.ndarray:
     """All values of a block, selector by selector."""
-    if payload[:4] != MAGIC:
+    if bytes(memoryview(payload)[:4]) != MAGIC:
         raise ValueError("not a block of this format")
     n, n_words, n_escaped = struct.unpack_from("<QQQ", payload, 4)
     subs = -(-n // SUB)
@@ -171,7 +171,9 @@ def write_token_files(
         if keys:
             yield close()
 
-    ordered = texts(docs, text_col, id_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
+    # The hash lets rows of one id, however many, be dealt to several tasks.
+    order = [F.col(id_col), F.xxhash64(text_col)]
+    ordered = texts(docs, text_col, id_col).repartitionByRange(*order).sortWithinPartitions(*order, text_col)
     coded = map_batches(ordered, code, FILE.format(id=kind))
     coded.write.option("compression", "none").parquet(folder)
 
@@ -187,14 +189,16 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, i
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = decode_words(row["payload"]).astype("<u4")
-                ends = np.cumsum(row["n_tokens"])
-                begins = ends - row["n_tokens"]
+            shards, firsts = (batch.column(i).to_pylist() for i in (0, 1))
+            for i in range(batch.num_rows):
+                doc_ids, lengths = batch.column(2)[i].values, batch.column(3)[i].values.to_numpy()
+                ids = decode_words(batch.column(4)[i].as_buffer()).astype("<u4")
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
                 parts = [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 out = {
-                    "shard": [row["shard"]] * len(parts), "id": row["doc_ids"], "start": begins + row["first_id"],
-                    "n": row["n_tokens"], "crc": [zlib.crc32(p.tobytes()) for p in parts],
+                    "shard": [shards[i]] * len(parts), "id": doc_ids, "start": begins + firsts[i],
+                    "n": lengths, "crc": [zlib.crc32(p) for p in parts],
                 }
                 yield out | ({"ids": [p.astype("<i4") for p in parts]} if with_ids else {})
 
@@ -207,7 +211,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, i
     totals = blocks.groupBy(F.col("shard").alias("__shard")).agg(F.sum("n_ids").alias("__n"))
     shift = totals.select("__shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return (
-        read.join(F.broadcast(shift), "__shard")  # one row a file
+        read.join(shift, "__shard")  # one row a file, which Spark broadcasts while it is small
         .withColumn("start", F.col("start") + F.col("__before"))
         .drop("__shard", "__before")
     )

@@ -2,8 +2,8 @@
 
 In a byte-level vocabulary with the usual split pattern, a space or line feed
 before a character that is not white space always starts a new pre-token, so the
-ids of a text are the ids of its chunks in order. A task remembers the ids of
-chunks; only unseen chunks go through the library, many in one call.
+ids of a text are the ids of its chunks in order. A worker remembers the ids of
+chunks; only unseen chunks go through the library.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import os
 import sys
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +24,6 @@ from tokenizers import Tokenizer  # noqa: E402
 VOCABULARY = "byte_bpe_50k.json"
 #: Punctuation split off unseen words, so that a word is encoded once for all its endings.
 ENDINGS = ".,!?;:*%$&#|"
-#: Unseen chunks joined into one string for the library.
-TOGETHER = 100
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,6 +37,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Memo(dict):
+    """Remembered chunks; an unseen one is learnt when it is first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]):
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes | None:
+        return self.learn(part)
+
+
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -48,11 +57,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, memo: int = 500_000, longest: int = 32):
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for piece, i in vocab.items():
-            self.width[i] = len(piece)
-        self.memo, self.limit, self.longest = {}, memo, longest
+        self.memo, self.limit, self.longest = Memo(self.learn), memo, longest
         self.endings: dict[str, bytes] = {"": b""}
         self.feed = len(self.ids("\n"))
         self.model, self.letters = self.tokenizer.model, byte_letters()
@@ -70,64 +75,38 @@ class ChunkEncoder:
         piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(self.letters[32] + piece)]).tobytes()
 
-    def _together(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks: many in one string, cut where the token widths reach the chunk ends."""
-        joined = ["".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
-        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        found = np.fromiter((i for e in coded for i in e.ids), dtype="<u4")
-        ends = np.cumsum([len(c.encode()) for c in chunks])
-        reached = np.cumsum(self.width[found])
-        cuts = np.searchsorted(reached, ends) + 1
-        if len(found) < len(chunks) or cuts[-1] > len(found) or not np.array_equal(reached[cuts - 1], ends):
-            return [self.ids(c) for c in chunks]  # a vocabulary of another kind
-        raw, cuts = found.tobytes(), (cuts * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        memo, endings = self.memo, self.endings
-        cut = {}
-        for part in parts:
+    def learn(self, part: str) -> bytes | None:
+        """Ids of an unseen chunk, remembered if it is short; None where no chunk begins."""
+        if self.plain and part.isalpha():
+            raw = self._word(part)
+        elif part == "\n" or unicodedata.category(part[part[:1] == "\n"] if part else " ")[0] in "ZC":
+            raw = None  # white space follows: no boundary here
+        else:
             core = part.rstrip(ENDINGS)
             if core is not part and (core[1:] if core[:1] == "\n" else core).isalpha():
-                cut[part] = core
-        cores = {c for c in cut.values() if c not in memo}
-        words, others = [], []
-        for part in [*cores.difference(parts), *(p for p in parts if p not in cut)]:
-            (words if self.plain and part.isalpha() else others).append(part)
-        learnt = dict(zip(words, map(self._word, words), strict=True))
-        if others:
-            learnt |= zip(others, self._together([p if p[0] == "\n" else " " + p for p in others]), strict=True)
-        for part, core in cut.items():
-            tail = part[len(core) :]
-            if tail not in endings:
-                if len(endings) > 10_000:
-                    endings.clear()
-                endings[tail] = self.ids(tail)
-            learnt[part] = (learnt[core] if core in learnt else memo[core]) + endings[tail]
-        return learnt
+                tail = part[len(core) :]
+                if tail not in self.endings:
+                    if len(self.endings) > 10_000:
+                        self.endings.clear()
+                    self.endings[tail] = self.ids(tail)
+                raw = self.memo[core] + self.endings[tail]
+            else:
+                raw = self.ids(part if part[:1] == "\n" else " " + part)
+        if len(part) <= self.longest:
+            self.memo[part] = raw
+        return raw
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [("\n" + t).replace("\n", " \n").split(" ") for t in texts]
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
-        fresh = []
-        for part in set().union(*split).difference(memo):
-            if part == "\n" or unicodedata.category(part[part[:1] == "\n"] if part else " ")[0] in "ZC":
-                memo[part] = None  # white space follows: no boundary here
-            else:
-                fresh.append(part)
-        learnt = self._learn(fresh)
-        memo.update(learnt)
         out = []
-        for text, parts in zip(texts, split, strict=True):
+        for text in texts:
+            parts = ("\n" + text).replace("\n", " \n").split(" ")
             try:  # the first part is empty, the second has the line feed put in front
                 out.append(b"".join(map(memo.__getitem__, parts[1:]))[self.feed :])
             except TypeError:
                 out.append(self._glued(text, parts))
-        for part in learnt:
-            if len(part) > self.longest:
-                del memo[part]
         return out
 
     def _glued(self, text: str, parts: list[str]) -> bytes:
