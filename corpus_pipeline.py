@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each over what the one before kept."""
+"""From raw documents to packed training sequences: five stages, each over what the one before kept.
+
+Every stage takes null in any column and empty, white and very long texts; repeated rows are
+rows of their own until ``near_dedup`` leaves one; a null source is a source; columns beyond
+those of ``documents`` pass through all stages but the last; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollspark.llm import mixing, packing, pii, quality, shingles, simhash
+from pollspark.llm import mixing, packing, pii, quality, simhash
+from pollspark.llm.common import free
 from pollspark.session import shared_dir
 
 
@@ -17,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of texts that share 0.8 of their five-word shingles."""
-    return simhash.keep_one(docs, classes=shingles.near_duplicates)
+    """The document with the smallest id of each class of fingerprints that differ in at most 3 bits; null ids come first."""
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to twice, as the weights ask."""
-    counted = docs.withColumn("__tokens_of_row", mixing.token_count(F.col("text")))
-    return mixing.mix(counted, "source", "__tokens_of_row", "doc_id").select(*docs.columns)
+    tokens = free("tokens", docs.columns)
+    counted = docs.withColumn(tokens, mixing.token_count(F.col("text")))
+    return mixing.mix(counted, "source", tokens, "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
