@@ -71,6 +71,20 @@ def map_batches(
     return df.mapInArrow(run, kind)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with an underscore for each column of that name that the caller already has."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def as_one(df: DataFrame, **more: str) -> DataFrame:
+    """All columns as the struct ``__row``, and the named ones of ``more`` beside it, so that no other name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    return df.select(whole, *[F.col(f"`{c}`").alias(name) for name, c in more.items()])
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of the UTF-8 bytes of the column ``text``, bit by bit."""
     byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
@@ -79,4 +93,4 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || flatten({bits}), {step}), 4294967295)"
 
 
-__all__ = ["SLICE", "crc32_sql", "keyed", "map_batches", "slices", "table", "texts", "without"]
+__all__ = ["SLICE", "as_one", "crc32_sql", "free", "keyed", "map_batches", "slices", "table", "texts", "without"]

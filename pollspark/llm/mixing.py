@@ -13,7 +13,7 @@ source is spread over most tasks; only block totals are summed along a source.
 
 Cases: a null source is a source; a null text has no tokens; a source without tokens
 gets weight 0 and its rows are read once; repeated rows are read as often as they
-occur; an empty table gives no rows. Further columns are passed through.
+occur; an empty table gives no rows. Further columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pollspark.llm.common import table
+from pollspark.llm.common import as_one, free, table
 from pollspark.session import materialise
 
 BLOCK = 4096
@@ -129,42 +129,44 @@ def mix(
     ``start`` is the row's place in its source's stream, in tokens; ``place`` is that
     over the budget, so sorting by ``place`` interleaves the sources at their weights
     in every prefix. ``key`` is what the permutation hashes. ``rows`` is read three times.
+    Where ``rows`` has a column of such a name, it stays and ours gets an underscore more.
+    The running sum over a pass's blocks is one task's work: one row for ``block`` rows.
     """
-    plan = materialise(weights(rows, source, tokens, max_repeats, entropy, budget))
+    names = [free(n, rows.columns) for n in ("pass", "start", "place")]
+    rows = as_one(rows, __own=source, __n=tokens, __key=key)
+    plan = materialise(weights(rows, "__own", "__n", max_repeats, entropy, budget))
     plan = plan.select(
-        "__source", "__tokens", "budget", F.ceil(F.col("__rows") / block).cast("long").alias("__blocks"),
+        "__source", "__tokens", F.col("budget").alias("__budget"), F.ceil(F.col("__rows") / block).cast("long").alias("__blocks"),
         F.when(F.col("__tokens") > 0, F.floor(F.col("budget") / F.col("__tokens"))).otherwise(1).cast("long").alias("__full"),
         F.when(F.col("__tokens") > 0, F.pmod(F.col("budget"), F.col("__tokens"))).otherwise(0).cast("long").alias("__rest"),
     )
-    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("__source")))
+    joined = rows.join(plan, F.col("__own").eqNullSafe(F.col("__source")))
     dealt = joined.withColumn(
-        "__block", F.pmod(F.conv(F.substring(_dice(F.col(key)), 1, 8), 16, 10).cast("long"), F.col("__blocks"))
+        "__block", F.pmod(F.conv(F.substring(_dice(F.col("__key")), 1, 8), 16, 10).cast("long"), F.col("__blocks"))
     )
     last = F.col("__full") + (F.col("__rest") > 0).cast("long") - 1
     passes = F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>")))
     sums = (
-        dealt.groupBy("__source", "__block", "__full", "__rest").agg(F.sum(tokens).alias("__sum"))
-        .withColumn("pass", passes).select("__source", "pass", "__block", "__sum")
+        dealt.groupBy("__source", "__block", "__full", "__rest").agg(F.sum("__n").alias("__sum"))
+        .withColumn("__pass", passes).select("__source", "__pass", "__block", "__sum")
     )
-    order = Window.partitionBy("__source", "pass").orderBy(_dice(F.col("pass"), F.lit("block"), F.col("__block")), "__block")
+    order = Window.partitionBy("__source", "__pass").orderBy(_dice(F.col("__pass"), F.lit("block"), F.col("__block")), "__block")
     before = sums.select(
-        F.col("__source").alias("__s"), F.col("pass").alias("__p"), F.col("__block").alias("__b"),
+        F.col("__source").alias("__s"), F.col("__pass").alias("__p"), F.col("__block").alias("__b"),
         (F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"),
     )
-    copies = dealt.withColumn("pass", passes).join(
-        before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("pass") == F.col("__p")) & (F.col("__block") == F.col("__b"))
+    copies = dealt.withColumn("__pass", passes).join(
+        before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__pass") == F.col("__p")) & (F.col("__block") == F.col("__b"))
     )
-    within = Window.partitionBy("__source", "pass", "__block").orderBy(_dice(F.col("pass"), F.col(key)), key, tokens)
-    end = F.col("__before") + F.sum(tokens).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.col("pass") * F.col("__tokens") + F.col("__end") - F.col(tokens)
+    within = Window.partitionBy("__source", "__pass", "__block").orderBy(_dice(F.col("__pass"), F.col("__key")), "__key", "__n")
+    end = F.col("__before") + F.sum("__n").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.col("__pass") * F.col("__tokens") + F.col("__end") - F.col("__n")
+    place = F.when(F.col("__budget") > 0, start / F.col("__budget")).otherwise(0.0)
     return (
         copies.withColumn("__end", end)
-        .where((F.col("pass") < F.col("__full")) | (F.col("__end") <= F.col("__rest")))
-        .select(
-            *[F.col(c) for c in rows.columns], "pass", start.alias("start"),
-            F.when(F.col("budget") > 0, start / F.col("budget")).otherwise(0.0).alias("place"),
-        )
-    )
+        .where((F.col("__pass") < F.col("__full")) | (F.col("__end") <= F.col("__rest")))
+        .select("__row.*", *[c.alias(n) for c, n in zip((F.col("__pass"), start, place), names, strict=True)])
+    )
 
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

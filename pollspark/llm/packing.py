@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pollspark.llm.common import map_batches, table, texts
+from pollspark.llm.common import as_one, free, map_batches, table, texts
 from pollspark.llm.tokens import encoder, vocabulary_path
 from pollspark.session import materialise
 
@@ -146,23 +146,27 @@ def pack(rows: DataFrame, order: Sequence[str], capacity: int = CAPACITY, length
 
     ``rows`` should be cheap to read several times (``materialise`` it). On the
     driver: one count per length, and the plan made from them; neither grows with
-    the number of rows.
+    the number of rows. Columns of ``rows`` stay, whatever their names; where one is
+    called like ours, ours gets an underscore more.
     """
     spark = rows.sparkSession
-    counts = {r[0]: r[1] for r in rows.groupBy(length).agg(F.count(F.lit(1))).collect()}
+    names = [free(n, rows.columns) for n in ("sequence_id", "offset")]
+    keys = {f"__order{i}": c for i, c in enumerate(order)}
+    rows = as_one(rows, __size=length, **keys)
+    counts = {r[0]: r[1] for r in rows.groupBy("__size").agg(F.count(F.lit(1))).collect()}
     if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     runs, _ = best_fit(counts, capacity)
     plan = spark.createDataFrame(runs, RUNS).withColumnRenamed("length", "__length")
     if len(runs) <= BROADCAST_RUNS:
         plan = F.broadcast(plan)
-    placed = ranked(rows, length, [F.col(c) for c in order], max(counts.values(), default=0))
-    inside = (F.col(length) == F.col("__length")) & F.col("__rank").between(F.col("first_rank"), F.col("last_rank"))
+    placed = ranked(rows, "__size", [F.col(c) for c in keys], max(counts.values(), default=0))
+    inside = (F.col("__size") == F.col("__length")) & F.col("__rank").between(F.col("first_rank"), F.col("last_rank"))
     step = F.col("__rank") - F.col("first_rank")
     return placed.join(plan, inside).select(
-        *[F.col(c) for c in rows.columns],
-        (F.col("first_sequence") + F.floor(step / F.col("per_sequence"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + F.pmod(step, F.col("per_sequence")) * F.col(length)).cast("long").alias("offset"),
+        "__row.*",
+        (F.col("first_sequence") + F.floor(step / F.col("per_sequence"))).cast("long").alias(names[0]),
+        (F.col("first_offset") + F.pmod(step, F.col("per_sequence")) * F.col("__size")).cast("long").alias(names[1]),
     )
 
 

@@ -19,7 +19,7 @@ rows of their own with the same component; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,10 +185,10 @@ def near_duplicates(
     return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """One row of ``docs`` of each class that ``classes`` finds: that of the smallest id (null before all), then hash of the text."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each class of near-duplicates: that of the smallest id (null before all), then hash of the text."""
     own = keyed(docs, id_col, text_col)
-    found = materialise(classes(own, id_col="__key", text_col=text_col))
+    found = materialise(near_duplicates(own, id_col="__key", text_col=text_col))
     left = without(own, found.where("__key <> component_id"))
     repeats = found.where("__key = component_id").groupBy("__key").count().where("count > 1")
     if repeats.isEmpty():

@@ -111,3 +111,22 @@ def test_roots_branches_and_likeness(spark):
     assert got[4, 0].d == [0] and got[4, 0].like > 0.95
     assert got[0, 5].like == 0 and got[6, 7].like == 0 and got[6, 6].like == 1
     assert all(0 <= r.like <= 1 and r.like == got[r.b, r.a].like for r in got.values())
+
+
+def test_columns_that_are_called_like_ours(spark):
+    rows = spark.createDataFrame(ROWS[:500], "k long, source string, n int")
+    plain = sorted(tuple(r) for r in mix(rows, "source", "n", "k", block=16).collect())
+    names = ["pass", "start", "place", "budget", "__block", "__n", "__source", "weight"]
+    more = rows.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    got = mix(more, "source", "n", "k", block=16)
+    assert got.columns == [*more.columns, "pass_", "start_", "place_"]
+    found = got.collect()
+    assert all(r[c] == f"own {c}" for r in found for c in names)
+    assert sorted((r.k, r.source, r.n, r.pass_, r.start_, r.place_) for r in found) == plain
+
+
+def test_a_very_long_text_is_mixed(spark):
+    rows = spark.createDataFrame([(1, "a", "word " * 400_000), (2, "a", None), (3, "b", "")], "doc_id long, source string, text string")
+    counted = rows.withColumn("n", mixing.token_count(F.col("text")))
+    got = mix(counted, "source", "n", "doc_id").collect()
+    assert sorted((r.doc_id, r.n) for r in got) == [(1, 400_000), (2, 0), (3, 0)]

@@ -149,3 +149,31 @@ def test_files_of_odd_rows(spark, tokenizer, tmp_path):
     assert all(zlib.crc32(np.asarray(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in rows)
     write_token_files(docs.limit(0), str(tmp_path / "b"))
     assert read_token_files(spark, str(tmp_path / "b")).collect() == []
+
+
+def test_columns_that_are_called_like_ours(spark):
+    rows = [(i, i % 7 + 1, "mine", -1, -2, -3, -4) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, length int, sequence_id string, first_rank int, per_sequence int, offset int, __size int")
+    placed = pack(df, ["k"], 16)
+    assert placed.columns == [*df.columns, "sequence_id_", "offset_"]
+    found = placed.collect()
+    assert sorted(tuple(r)[:7] for r in found) == rows
+    filled = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id_, r.offset_)):
+        assert filled.get(r.sequence_id_, 0) == r.offset_
+        filled[r.sequence_id_] = r.offset_ + r.length
+    assert max(filled.values()) <= 16
+
+
+def test_many_rows_of_one_id_in_several_files(spark, tmp_path):
+    from pollspark.llm.token_files import read_token_files, write_token_files
+
+    df = spark.createDataFrame([(1 if i % 3 else None, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    write_token_files(df.repartition(8), str(tmp_path / "files"))
+    found = read_token_files(spark, str(tmp_path / "files")).collect()
+    assert len(found) == 3000
+    end = 0
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == end
+        end += r.n_tokens
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [None] * 1000 + [1] * 2000
