@@ -51,6 +51,7 @@ def biennium(year: Column | str) -> Column:
 def five_year(year: Column | str) -> Column:
     """Alternative collapse: up to 2004, 2005-2009, 2010-2014, 2015-2021."""
     y = _col(year)
+    # Last years and labels of the spans.
     return (
         F.when(y <= 2004, "1998-2004")
         .when(y <= 2009, "2005-2009")

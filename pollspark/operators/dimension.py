@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from pollspark.operators.aggregate import correlation
 from pollspark.operators.clean import complete_cases
 from pollspark.operators.relate import left_join
-from pollspark.operators.shape import pivot_longer, standardise
+from pollspark.operators.shape import NOISE, pivot_longer, standardise
+from pollspark.session import materialise
 
 
 def country_item_means(answers: DataFrame, items: Sequence[str], unit: str, period: str) -> DataFrame:
@@ -78,11 +81,17 @@ def positive_items(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if row[c].t is not None and row[c].t > 0 and row[c].lo < row[c].hi]
 
 
+def _spread(col: str) -> Column:
+    """Sample deviation; missing where it is no more than rounding noise."""
+    sd = F.stddev_samp(col)
+    return F.when(sd > NOISE * F.max(F.abs(F.col(col))), sd)
+
+
 def screen_items(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Positive-total columns, complete rows, standardised; with the column list."""
     kept = positive_items(df, cols)
     rows = complete_cases(df.select(*[F.col(c).cast("double").alias(c) for c in kept]))
-    moments = rows.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in kept])
+    moments = rows.agg(*[F.struct(F.avg(c).alias("m"), _spread(c).alias("s")).alias(c) for c in kept])
     stats = moments.select(F.struct(*kept).alias("row")).scalar()
     scaled = rows.withColumn("__s", stats)
     centred = [
@@ -136,6 +145,62 @@ def parallel_analysis(
     )
 
 
+def permuted_analysis(
+    df: DataFrame, cols: Sequence[str], reps: int = 100, cent: float = 0.05, seed: int = 1, block: int = 4096
+) -> DataFrame:
+    """Eigenvalue quantile by rank over ``reps`` copies of the table whose columns are permuted on their own.
+
+    Rows are dealt at random into blocks of at most ``block`` and each column of a block is
+    shuffled, which breaks the columns' ties with each other and keeps their values. Every
+    replicate's p x p products are summed over the blocks, so all come from one pass over
+    the rows; tables with fewer rows than columns are allowed. Constant columns have no part.
+    """
+    p = len(cols)
+    wide = [F.col(c).cast("double").alias(c) for c in cols]
+    rows = materialise(complete_cases(df.select(*wide)).withColumn("__id", F.monotonically_increasing_id()))
+    order = F.xxhash64(F.lit(seed), "__id")
+    dealt = rows.repartition(order).sortWithinPartitions(order, "__id").select(*cols)
+
+    def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        held = np.zeros((0, p))
+        sums = np.zeros((reps, 1 + p + p * p))
+
+        def take(x: np.ndarray) -> None:
+            nonlocal number
+            for rep in range(reps):
+                y = np.random.default_rng([seed, part, number, rep]).permuted(x, axis=0)
+                sums[rep] += np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y).ravel()])
+            number += 1
+
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            while len(held) >= block:
+                take(held[:block])
+                held = held[block:]
+        if len(held):
+            take(held)
+        yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["rep", "sums"])
+
+    def roots(key: tuple, parts: pa.Table) -> pa.Table:
+        total = sum(np.asarray(x.as_py()) for x in parts.column("sums"))
+        n, s, xx = total[0], total[1 : 1 + p], total[1 + p :].reshape(p, p)
+        cov = xx - np.outer(s, s) / max(n, 1)
+        scale = np.sqrt(np.maximum(np.diag(cov), 0))
+        some = scale > 1e-12 * np.sqrt(np.maximum(np.diag(xx), 0))
+        found = np.zeros(0)
+        if some.any():
+            found = np.linalg.eigvalsh(cov[np.ix_(some, some)] / np.outer(scale[some], scale[some]))[::-1]
+        return pa.table({"rank": pa.array(np.arange(1, len(found) + 1), pa.int32()), "value": found})
+
+    # A replicate's rows are as many as there are partitions, each p x p numbers.
+    sums = dealt.mapInArrow(shuffled, "rep int, sums array<double>")
+    draws = sums.groupBy("rep").applyInArrow(roots, "rank int, value double")
+    return draws.groupBy("rank").agg(
+        F.percentile("value", F.lit(cent)).alias("parallel"), F.avg("value").alias("parallel_mean")
+    )
+
+
 def n_factors(eigen: DataFrame, parallel: DataFrame) -> DataFrame:
     """Number of factors by four rules, one row.
 

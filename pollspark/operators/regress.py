@@ -13,7 +13,7 @@ from pollspark.operators.aggregate import geo_mean
 from pollspark.operators.dimension import item_pairs
 from pollspark.operators.ranking import quantiles
 from pollspark.operators.relate import left_join, one_row
-from pollspark.operators.shape import standardise
+from pollspark.operators.shape import NOISE, standardise
 from pollspark.session import materialise
 
 # Countries always labelled in the quadrant chart.
@@ -187,20 +187,25 @@ def partial_r2(df: DataFrame, y: str, x: str, fe: str, by: Sequence[str] = ()) -
 
     Sums of squares inside each ``fe`` group, added up: no dummies and no solver.
     """
-    groups = _pairs(df, y, x, *by, fe).groupBy(*by, fe).agg(*_line_stats())
-    total = groups.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("groups"),
-        F.sum("sxx").alias("sxx"),
-        F.sum("syy").alias("syy"),
-        F.sum("sxy").alias("sxy"),
+    groups = _pairs(df, y, x, *by, fe).groupBy(*by, fe).agg(
+        *_line_stats(), F.max(F.abs("__x")).alias("ax"), F.max(F.abs("__y")).alias("ay")
     )
-    return total.select(*by, "n", "groups", _share(F.col("sxy"), F.col("sxx"), F.col("syy")).alias("partial_r2"))
+    total = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), *_summed())
+    return total.select(*by, "n", "groups", _share().alias("partial_r2"))
+
+
+def _summed() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")] + [F.max(c).alias(c) for c in ("ax", "ay")]
 
 
-def _share(sxy: Column, sxx: Column, syy: Column) -> Column:
-    # Sums that are 0 up to rounding mean a constant column.
-    return F.when((sxx > 1e-12) & (syy > 1e-12), sxy * sxy / (sxx * syy))
+def _share() -> Column:
+    """Squared correlation from summed squares; missing where either is rounding noise, whatever the units.
+
+    Noise is a deviation of no more than ``NOISE`` times the greatest value, as in ``standardise``.
+    """
+    sxx, syy, sxy = (F.col(c) for c in ("sxx", "syy", "sxy"))
+    varies = [s > F.col("n") * (NOISE * F.col(a)) * (NOISE * F.col(a)) for s, a in ((sxx, "ax"), (syy, "ay"))]
+    return F.when(varies[0] & varies[1], (sxy / sxx) * (sxy / syy))
 
 
 def pairwise_partial_r2(wide: DataFrame, items: Sequence[str], unit: str, min_df: int = 10) -> DataFrame:
@@ -220,18 +225,13 @@ def pairwise_partial_r2(wide: DataFrame, items: Sequence[str], unit: str, min_df
         F.regr_sxx("a", "b").alias("sxx"),
         F.regr_syy("a", "b").alias("syy"),
         F.regr_sxy("a", "b").alias("sxy"),
+        F.max(F.abs("b")).alias("ax"),
+        F.max(F.abs("a")).alias("ay"),
     )
-    total = per_unit.groupBy("x", "y").agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("units"),
-        F.sum("sxx").alias("sxx"),
-        F.sum("syy").alias("syy"),
-        F.sum("sxy").alias("sxy"),
-        F.max("n").alias("n_years"),
-    )
+    total = per_unit.groupBy("x", "y").agg(F.count(F.lit(1)).alias("units"), F.max("n").alias("n_years"), *_summed())
     freedom = F.col("n") - F.col("units") - 1
     return total.where((F.col("n") > F.col("units")) & (freedom > min_df)).select(
-        "x", "y", _share(F.col("sxy"), F.col("sxx"), F.col("syy")).alias("partial_r2"), freedom.alias("df"), "n_years"
+        "x", "y", _share().alias("partial_r2"), freedom.alias("df"), "n_years"
     )
 
 

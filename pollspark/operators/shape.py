@@ -103,11 +103,11 @@ def encode(df: DataFrame, col: str, name: str) -> DataFrame:
 def pivot_wider(df: DataFrame, ids: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
     """Long to wide over an explicit list of names.
 
-    A name that the list lacks is refused, not dropped (one aggregate row is read to
-    see). Of several values for one place the largest is taken, whatever the order.
+    A name that the list lacks, a missing one too, is refused, not dropped (one aggregate
+    row is read to see). Of several values for one place the largest is taken, whatever the order.
     """
     listed = list(names)
-    unlisted = df.where(~F.col(name).isin(listed)).agg(F.min(name), F.count(F.lit(1))).first()
+    unlisted = df.where(~F.coalesce(F.col(name).isin(listed), F.lit(False))).agg(F.min(name), F.count(F.lit(1))).first()
     if unlisted[1]:
         raise ValueError(f"{unlisted[1]} rows have names that are not listed, such as {unlisted[0]!r}")
     return df.groupBy(*ids).pivot(name, listed).agg(F.max(value))

@@ -37,6 +37,15 @@ EMBEDDED = tuple(f"e{i}" for i in range(1, 65))
 FINAL = "2008-09"
 
 
+#: Normal quantile of a 90 % interval.
+Z90 = 1.6448536269514722
+
+
+def interval(df: DataFrame, sd: str) -> DataFrame:
+    """``q5`` and ``q95`` of normal scores ``mean`` with deviation ``sd``."""
+    return df.withColumn("q5", F.col("mean") - Z90 * F.col(sd)).withColumn("q95", F.col("mean") + Z90 * F.col(sd))
+
+
 class Survey:
     """Plans over one data folder. Tables that several plans read are written when first asked for."""
 
@@ -133,6 +142,27 @@ class Survey:
             F.sum("yes").alias("n"),
         )
 
+    @cached_property
+    def spread_reg(self) -> DataFrame:
+        """Direct scores with the deviation of a mean of that many answers and the interval it gives."""
+        steps = F.when(F.col("question").startswith("N"), 2.0).otherwise(4.0)
+        value, n = (F.col("option") - 1) / steps, F.sum("yes")
+        sums = self.stored_cells.groupBy("iso_3166", "mergekey", "year2", "year_int").agg(
+            (F.sum(F.col("yes") * value) / n).alias("mean"), (F.sum(F.col("yes") * value * value) / n).alias("square"), n.alias("n")
+        )
+        sd = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)) / F.col("n"))
+        return interval(sums.withColumn("sd", sd).drop("square", "n"), "sd")
+
+    @cached_property
+    def spread_nat(self) -> DataFrame:
+        """Poststratified scores with the deviation of their weighted sum and its interval."""
+        joined = inner_join(self.spread_reg, self.weights.select("mergekey", "wt"), ["mergekey"])
+        wt, total = F.col("wt"), F.sum("wt")
+        sums = joined.groupBy("iso_3166", "year2", "year_int").agg(
+            (F.sum(F.col("mean") * wt) / total).alias("mean"), (F.sqrt(F.sum((wt * F.col("sd")) * (wt * F.col("sd")))) / total).alias("sd")
+        )
+        return interval(sums, "sd")
+
     @cached_property
     def est_nat(self) -> DataFrame:
         return poststratify(self.est_reg, self.weights, "mean", ("year2", "year_int"), renormalise=True, name="mean")

@@ -10,9 +10,9 @@ from pollspark.operators import draws as R
 from pollspark.operators import periods as H
 from pollspark.operators import scores as S
 from pollspark.operators.aggregate import n_thresholds
-from pollspark.operators.fit import fit_map, score_gradient
+from pollspark.operators.fit import Fit, cell_gradient, fit, item_gradient, score_gradient, step_gradient
 from pollspark.operators.ranking import row_numbers
-from pollspark.operators.relate import inner_join
+from pollspark.operators.relate import inner_join, union_all
 from pollspark.operators.shape import rescale01
 from pollspark.plans.fixtures import FINAL, Survey
 from pollspark.plans.registry import query, r, rounded
@@ -355,14 +355,66 @@ def _(s: Survey) -> DataFrame:
     return rounded(found, "loglik", "d_score", digits=4)
 
 
-@query("i13_posterior_mode")
+# Slopes of a cell's log-likelihood; NULL marks a cutpoint that the option does not have.
+_SLOPES = f"""{_ITEMS},
+        x AS (SELECT c.*, g.kmin1, gamma, e.mean AS score, e.mean - lo.beta AS sl, e.mean - up.beta AS su,
+                     1 / (1 + exp(-gamma * (e.mean - lo.beta))) AS a, 1 / (1 + exp(-gamma * (e.mean - up.beta))) AS z
+              FROM cells c JOIN est_reg e ON c.mergekey = e.mergekey AND c.year_int = e.year_int JOIN g ON c.question = g.question
+              LEFT JOIN b lo ON lo.question = c.question AND lo.k = option - 1
+              LEFT JOIN b up ON up.question = c.question AND up.k = option),
+        y AS (SELECT *, CASE WHEN option = 1 THEN NULL WHEN option = kmin1 + 1 THEN 1 - a ELSE a * (1 - a) / (a - z) END AS da,
+                     CASE WHEN option = 1 THEN z WHEN option = kmin1 + 1 THEN NULL ELSE z * (1 - z) / (a - z) END AS dz FROM x)"""
+
+
+def _cell_slopes(s: Survey) -> DataFrame:
+    gamma, beta = _items(s)
+    scores = s.est_reg.select("mergekey", "year_int", "mean")
+    return cell_gradient(s.stored_cells, scores, "mean", ["mergekey", "year_int"], gamma, beta)
+
+
+@query(
+    "i13_item_gradient",
+    f"""WITH {_SLOPES},
+        u AS (SELECT question, NULL AS k, yes * (coalesce(da * sl, 0) - coalesce(dz * su, 0)) AS d FROM y
+              UNION ALL SELECT question, option - 1, -yes * gamma * da FROM y WHERE da IS NOT NULL
+              UNION ALL SELECT question, option, yes * gamma * dz FROM y WHERE dz IS NOT NULL)
+        SELECT question, CAST(k AS INT) AS k, {r("sum(d)", 4)} AS slope FROM u GROUP BY 1, 2""",
+)
 def _(s: Survey) -> DataFrame:
+    return rounded(item_gradient(_cell_slopes(s)), "slope", digits=4)
+
+
+@query(
+    "i13_step_gradient",
+    f"""WITH {_SLOPES},
+        v AS (SELECT yes * gamma * (coalesce(da, 0) - coalesce(dz, 0)) AS d, score - n.mean AS effect, n.mean AS walk
+              FROM y JOIN est_nat n ON y.iso_3166 = n.iso_3166 AND y.year_int = n.year_int)
+        SELECT 'country' AS step, {r("sum(d * walk)", 4)} AS slope FROM v
+        UNION ALL SELECT 'region', {r("sum(d * effect)", 4)} FROM v""",
+)
+def _(s: Survey) -> DataFrame:
+    gamma, beta = _items(s)
+    on = ["mergekey", "year_int"]
+    slopes = score_gradient(s.stored_cells.drop("iso_3166"), s.est_reg.select(*on, "mean"), "mean", on, gamma, beta)
+    walks = s.est_nat.select("iso_3166", "year_int", F.col("mean").alias("walk"))
+    placed = inner_join(s.est_reg.select("iso_3166", *on, "mean"), walks, ["iso_3166", "year_int"])
+    rows = materialise(inner_join(slopes, placed.withColumn("effect", F.col("mean") - F.col("walk")), on))
+    both = [step_gradient(rows, c).withColumn("step", F.lit(n)) for n, c in (("country", "walk"), ("region", "effect"))]
+    return rounded(union_all(*[b.select("step", "slope") for b in both]), "slope", digits=4)
+
+
+def fitted(s: Survey) -> Fit:
+    """The posterior mode over all cells of the survey."""
     cells = materialise(s.coded_cells.select("regioncode_int", "iso_3166_int", "year_int", "question_int", "option", "yes"))
     nat = s.coded_nat.select("iso_3166_int", "year_int", "question_int", "option", "yes")
     region_map = cells.select("regioncode_int", "iso_3166_int").distinct()
-    seen = inner_join(s.region_codes, s.weights, ["mergekey"])
-    weights = seen.select("regioncode_int", "wt")
-    return fit_map(cells, nat, region_map, weights, iters=12)
+    weights = inner_join(s.region_codes, s.weights, ["mergekey"]).select("regioncode_int", "wt")
+    return fit(cells, nat, region_map, weights)
+
+
+@query("i13_posterior_mode")
+def _(s: Survey) -> DataFrame:
+    return fitted(s).variables()
 
 
 def _periods(s: Survey) -> DataFrame:

@@ -12,8 +12,8 @@ from pollspark.operators.relate import inner_join, left_join
 from pollspark.operators.scores import decode_region, item_lookup
 from pollspark.operators.shape import rescale01
 from pollspark.plans import reports as K
-from pollspark.plans.fixtures import FINAL, QUESTION_COLS, Survey
-from pollspark.plans.queries_model import _DRIFT, _LINES
+from pollspark.plans.fixtures import FINAL, QUESTION_COLS, Survey, interval
+from pollspark.plans.queries_model import _DRIFT, _LINES, fitted
 from pollspark.plans.registry import query, r, rounded
 from pollspark.session import materialise
 
@@ -272,23 +272,21 @@ def _(s: Survey) -> DataFrame:
 
 
 def _intervals(s: Survey) -> DataFrame:
-    est = s.est_reg.where(F.col("year2") == FINAL).select("iso_3166", "mergekey", "mean")
-    named = left_join(est, s.continents, "iso_3166").withColumn(
-        "continent_name", C.recode(F.initcap("continent_name"), K.CONTINENT_GROUPS)
-    )
-    return named.withColumn("q5", F.col("mean") - 0.1).withColumn("q95", F.col("mean") + 0.1)
+    est = s.spread_reg.where(F.col("year2") == FINAL).select("iso_3166", "mergekey", "mean", "q5", "q95")
+    named = left_join(est, s.continents, "iso_3166").withColumn("continent_name", F.initcap("continent_name"))
+    return named.withColumn("continent_name", K.continent_group())
 
 
 def _interval_sql(by: str, n: int) -> str:
     part = f"PARTITION BY {by} " if by else ""
     return f"""WITH x AS (SELECT e.iso_3166, e.mergekey, CASE continent_name WHEN 'ASIA' THEN 'Asia, Oceania' WHEN 'EUROPE' THEN 'Europe, Eurasia'
-                          WHEN 'AFRICA' THEN 'Africa' WHEN 'AMERICA' THEN 'America' ELSE 'Middle East' END AS continent_name, mean
-                   FROM est_reg e JOIN continents k ON e.iso_3166 = k.iso_3166 WHERE year2 = '2008-09'),
+                          WHEN 'AFRICA' THEN 'Africa' WHEN 'AMERICA' THEN 'America' ELSE 'Middle East' END AS continent_name, mean, q5, q95
+                   FROM spread_reg e JOIN continents k ON e.iso_3166 = k.iso_3166 WHERE year2 = '2008-09'),
         y AS (SELECT *, row_number() OVER ({part}ORDER BY mean DESC, mergekey) AS hi, row_number() OVER ({part}ORDER BY mean, mergekey) AS lo FROM x),
         z AS (SELECT *, 'top' AS side FROM y WHERE hi <= {n} UNION ALL SELECT *, 'bottom' FROM y WHERE lo <= {n}),
         f AS (SELECT concat(mergekey, ', ', iso_3166) AS fullname, * FROM z),
         o AS (SELECT fullname, row_number() OVER (ORDER BY median(mean), fullname) AS place FROM f GROUP BY 1)
-        SELECT f.fullname, continent_name, {r("mean")} AS mean, {r("mean - 0.1E0")} AS q5, {r("mean + 0.1E0")} AS q95, side, place
+        SELECT f.fullname, continent_name, {r("mean")} AS mean, {r("q5")} AS q5, {r("q95")} AS q95, side, place
         FROM f JOIN o ON f.fullname = o.fullname"""
 
 
@@ -321,13 +319,36 @@ def _(s: Survey) -> DataFrame:
 
 @query(
     "k11_trend_bands",
-    f"""SELECT n.iso_3166, year2, {r("mean")} AS mean, {r("mean - 0.1E0")} AS q5, {r("mean + 0.1E0")} AS q95, continent_name AS name
-        FROM est_nat n LEFT JOIN continents k ON n.iso_3166 = k.iso_3166 ORDER BY 1, 2""",
+    f"""SELECT n.iso_3166, year2, {r("mean")} AS mean, {r("q5")} AS q5, {r("q95")} AS q95, continent_name AS name
+        FROM spread_nat n LEFT JOIN continents k ON n.iso_3166 = k.iso_3166 ORDER BY 1, 2""",
 )
 def _(s: Survey) -> DataFrame:
-    est = s.est_nat.withColumn("q5", F.col("mean") - 0.1).withColumn("q95", F.col("mean") + 0.1)
     names = s.continents.select("iso_3166", F.col("continent_name").alias("name"))
-    return rounded(K.trend_bands(est, names), "mean", "q5", "q95")
+    return rounded(K.trend_bands(s.spread_nat, names), "mean", "q5", "q95")
+
+
+@query("k10_fit_intervals")
+def _(s: Survey) -> DataFrame:
+    """Regions of the last period with the highest and lowest scores of the fit, and their intervals."""
+    found = interval(fitted(s).region_scores(), "sd")
+    last = _coded_period(s).where(F.col("year2") == FINAL)
+    placed = inner_join(inner_join(found, last, ["year_int"]), s.region_codes, ["regioncode_int"])
+    named = inner_join(inner_join(placed, s.country_codes, ["iso_3166_int"]), s.continents, ["iso_3166"])
+    out = K.interval_table(named.drop("year_int", "regioncode_int", "iso_3166_int", "sd"), 20, ["mergekey", "iso_3166"], "mergekey")
+    return rounded(out.select(*_INTERVAL_COLS), "mean", "q5", "q95", digits=4)
+
+
+@query("k11_fit_bands")
+def _(s: Survey) -> DataFrame:
+    """Poststratified scores of the fit over the periods, with their intervals."""
+    found = interval(fitted(s).national_scores(), "sd")
+    named = inner_join(inner_join(found, _coded_period(s), ["year_int"]), s.country_codes, ["iso_3166_int"])
+    names = s.continents.select("iso_3166", F.col("continent_name").alias("name"))
+    return rounded(K.trend_bands(named, names), "mean", "q5", "q95", digits=4)
+
+
+def _coded_period(s: Survey) -> DataFrame:
+    return item_lookup(s.stored_cells, s.stored_nat, "year_int", "year2")
 
 
 @query(
@@ -428,6 +449,20 @@ def _(s: Survey) -> DataFrame:
     return K.respondent_counts(coded, QUESTION_COLS, "constructed")
 
 
+@query(
+    "k16_full_sample",
+    """SELECT count(*) FILTER (WHERE coalesce(q_a_f, q_a_o, q_n_f, q_n_o, q_r_f, q_r_o) IS NOT NULL AND o_orderstatus <> 'P') AS shared,
+              count(*) FILTER (WHERE o_orderstatus = 'P') AS withheld,
+              count(*) FILTER (WHERE o_orderstatus = 'P' OR coalesce(q_a_f, q_a_o, q_n_f, q_n_o, q_r_f, q_r_o) IS NOT NULL) AS total
+       FROM resp_wide JOIN orders ON l_orderkey = o_orderkey""",
+)
+def _(s: Survey) -> DataFrame:
+    orders = s.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    rows = materialise(inner_join(s.wide, orders, ["l_orderkey"]).select("o_orderstatus", *QUESTION_COLS))
+    own = F.col("o_orderstatus") == "P"
+    return K.full_sample(rows.where(~own), QUESTION_COLS, rows.where(own))
+
+
 @query(
     "k16_place_counts",
     """SELECT count(DISTINCT iso_3166) AS iso_3166,

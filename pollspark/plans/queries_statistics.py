@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pollspark.operators import dimension as N
 from pollspark.operators import regress as J
+from pollspark.operators.ranking import row_numbers
 from pollspark.operators.relate import inner_join
 from pollspark.operators.shape import pivot_longer, pivot_wider
 from pollspark.plans.fixtures import EMBEDDED, FINAL, QUESTION_COLS, QUESTIONS, Survey
@@ -264,8 +265,39 @@ def _(s: Survey) -> DataFrame:
     return N.parallel_analysis(s.spark, scaled.count(), len(kept))
 
 
+@query("j14_permuted_null")
+def _(s: Survey) -> DataFrame:
+    scaled, kept = _screened(s)
+    return N.permuted_analysis(scaled, kept)
+
+
 @query("j14_number_of_factors")
 def _(s: Survey) -> DataFrame:
+    """Factor counts of the embeddings' entries, against the same columns shuffled."""
     scaled, kept = _screened(s)
-    eigen = N.eigen_table(s.spark, N.eigenvalues(scaled, kept))
-    return N.n_factors(eigen, N.parallel_analysis(s.spark, scaled.count(), len(kept)))
+    rows = materialise(scaled)
+    return N.n_factors(N.eigen_table(s.spark, N.eigenvalues(rows, kept)), N.permuted_analysis(rows, kept))
+
+
+@query(
+    "j14_factor_rules",
+    """WITH n AS (SELECT iso_3166, sum(yes) AS n FROM cells GROUP BY 1),
+        v AS (SELECT row_number() OVER (ORDER BY n DESC, iso_3166) AS rank, round(n * n * n / avg(n * n * n) OVER (), 6) AS v FROM n),
+        e AS (SELECT rank, v, round(1.2E0 - 0.04E0 * rank, 6) AS par, count(*) OVER () AS p, avg(v) OVER () AS mu,
+                     lead(v) OVER o AS after, lag(v) OVER o AS before, lag(rank) OVER o AS r0 FROM v WINDOW o AS (ORDER BY rank)),
+        f AS (SELECT *, (SELECT v FROM e x ORDER BY rank DESC LIMIT 1) AS final, before >= round(1.2E0 - 0.04E0 * r0, 6) AS ok,
+                     after - 2 * v + before AS bend FROM e),
+        g AS (SELECT *, after - CASE WHEN p - rank - 1 = 0 OR after IS NULL THEN 0 ELSE (final - after) / (p - rank - 1) END AS line FROM f)
+        SELECT CAST(count(*) FILTER (WHERE v >= mu) AS BIGINT) AS kaiser,
+               coalesce(min(rank) FILTER (WHERE v < par), max(rank) + 1) - 1 AS parallel,
+               coalesce(min(rank) FILTER (WHERE NOT (v >= par AND rank < p AND coalesce(v >= line, false))), max(rank) + 1) - 1 AS optimal_coordinates,
+               arg_max(rank, CASE WHEN ok THEN bend END) - 1 AS acceleration FROM g""",
+)
+def _(s: Survey) -> DataFrame:
+    """The four rules on the sample sizes of the countries, taken as eigenvalues."""
+    sizes = s.stored_cells.groupBy("iso_3166").agg(F.sum("yes").alias("n"))
+    cubed = F.col("n").cast("double") * F.col("n") * F.col("n")
+    mean = sizes.agg(F.avg(cubed)).scalar()
+    placed = row_numbers(sizes, [F.col("n").desc(), F.col("iso_3166")], "rank")
+    eigen = materialise(placed.select("rank", F.round(cubed / mean, 6).alias("eigenvalue")))
+    return N.n_factors(eigen, eigen.select("rank", F.round(1.2 - 0.04 * F.col("rank"), 6).alias("parallel")))

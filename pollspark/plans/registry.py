@@ -52,6 +52,15 @@ VIEWS = {
     "est_nat": """
         SELECT e.iso_3166, year2, year_int, sum(mean * wt) / sum(wt) AS mean
         FROM est_reg e JOIN weights w ON e.mergekey = w.mergekey GROUP BY 1, 2, 3""",
+    "spread_reg": """
+        SELECT *, mean - 1.6448536269514722E0 * sd AS q5, mean + 1.6448536269514722E0 * sd AS q95 FROM (
+          SELECT iso_3166, mergekey, year2, year_int, sum(yes * v) / sum(yes) AS mean,
+                 sqrt(greatest(sum(yes * v * v) / sum(yes) - (sum(yes * v) / sum(yes)) * (sum(yes * v) / sum(yes)), 0.0E0) / sum(yes)) AS sd
+          FROM (SELECT *, (option - 1) / CASE WHEN question LIKE 'N%' THEN 2.0E0 ELSE 4.0E0 END AS v FROM cells) t GROUP BY 1, 2, 3, 4) u""",
+    "spread_nat": """
+        SELECT *, mean - 1.6448536269514722E0 * sd AS q5, mean + 1.6448536269514722E0 * sd AS q95 FROM (
+          SELECT s.iso_3166, year2, year_int, sum(mean * wt) / sum(wt) AS mean, sqrt(sum((wt * sd) * (wt * sd))) / sum(wt) AS sd
+          FROM spread_reg s JOIN weights w ON s.mergekey = w.mergekey GROUP BY 1, 2, 3) u""",
     "draws": """
         SELECT variable, chain, row_number() OVER (PARTITION BY variable, chain ORDER BY event_id) AS iteration, value
         FROM (SELECT concat('region_alpha[', CAST(user_id % 3 + 1 AS VARCHAR), ',',

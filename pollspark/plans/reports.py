@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,11 @@ from pollspark.operators.aggregate import (
     tally,
     validation_corr,
 )
-from pollspark.operators.clean import any_answered
 from pollspark.operators.periods import apply_interpolation, flag_drift, interpolate
 from pollspark.operators.ranking import median, quantiles
 from pollspark.operators.regress import near_average_items, partial_r2
 from pollspark.operators.relate import inner_join, left_join, one_row, semi_join
-from pollspark.operators.shape import extremes, half_groups, reorder, standardise
+from pollspark.operators.shape import NOISE, extremes, half_groups, reorder, standardise
 from pollspark.session import materialise
 
 # Continent groups of the interval tables.
@@ -48,8 +48,9 @@ def scale_estimates(est: DataFrame, score: str = "mean") -> DataFrame:
     The same columns as ``standardise`` and ``rescale01``, from one aggregate row.
     """
     value = C.finite(score)
+    sd, noise = F.stddev_samp(score), F.lit(NOISE) * F.max(F.abs(F.col(score)))
     stats = est.agg(
-        F.avg(score).alias("mu"), F.stddev_samp(score).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        F.avg(score).alias("mu"), F.when(sd > noise, sd).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi")
     )
     row = {c: F.col(f"__s.{c}") for c in stats.columns}
     scaled = est.withColumn("__s", one_row(stats)).withColumns(
@@ -274,10 +275,24 @@ def cv_tables(
 
 
 def respondent_counts(answers: DataFrame, questions: Sequence[str], constructed: str) -> DataFrame:
-    """Respondents, respondents with an answer, and the construction tally."""
-    total = tally(answers.withColumn(constructed, F.col(constructed).cast("string")), constructed, name="respondents")
-    kept = any_answered(answers, questions).withColumn(constructed, F.col(constructed).cast("string"))
-    return left_join(total, tally(kept, constructed, name="answered"), constructed)
+    """Respondents and respondents with an answer by construction code, from one scan."""
+    return answers.groupBy(F.col(constructed).cast("string").alias(constructed)).agg(
+        F.count(F.lit(1)).alias("respondents"), F.count_if(_answered(questions)).alias("answered")
+    )
+
+
+def _answered(questions: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(q).isNotNull() for q in questions])
+
+
+def full_sample(answers: DataFrame, questions: Sequence[str], withheld: DataFrame) -> DataFrame:
+    """One row: respondents with an answer, rows that may not be shared, and both together.
+
+    ``withheld`` has a row for each respondent whose answers are not in ``answers``.
+    """
+    here = answers.agg(F.count_if(_answered(questions)).alias("shared"))
+    rows = withheld.agg(F.count(F.lit(1)).alias("withheld"))
+    return here.withColumn("withheld", rows.scalar()).withColumn("total", F.col("shared") + F.col("withheld"))
 
 
 def place_counts(cells: DataFrame) -> DataFrame:

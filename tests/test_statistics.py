@@ -268,27 +268,80 @@ def _toy(spark, seed=10, countries=4, per=3, periods=4, questions=4, yes=400):
     return cells, nat, places, weights, alpha, gamma, beta
 
 
-def test_fit_gradient(spark):
-    cells, nat, places, weights, *_ = _toy(spark, countries=2, per=2, periods=2, questions=3, yes=20)
-    d = fit.design(cells, nat, places, weights)
-    table = fit.model_cells(cells, nat, d.periods)
-    rng = np.random.default_rng(11)
-    theta = fit.start(d) + rng.normal(size=sum(d.sizes)) * 0.1
+def _parts(cells, places, weights, d):
+    """Region rows as plain arrays: cells, country, weight."""
+    rows = fit.region_rows(cells, places, weights).orderBy("unit").toPandas()
+    n = rows["t"].map(len).to_numpy()
+    flat = [np.concatenate([np.asarray(x) for x in rows[c]]) for c in ("t", "question", "option", "yes")]
+    return (np.repeat(np.arange(len(rows)), n), *flat), rows["country"].to_numpy(), rows["wt"].to_numpy()
+
+
+def _objective(spark, toy, d):
+    """The log posterior as a plain function of region scores, walks and phi."""
+    cells, nat, places, weights, *_ = toy
+    regional, country, wt = _parts(cells, places, weights, d)
+    packed = fit._packed(nat, "iso_3166_int").orderBy("unit").toPandas()
+    n = packed["t"].map(len).to_numpy()
+    national = (np.repeat(packed["unit"].to_numpy() - 1, n), *[np.concatenate([np.asarray(x) for x in packed[c]]) for c in ("t", "question", "option", "yes")])
+
+    def value(alpha, a, phi):
+        score = np.zeros_like(a)
+        np.add.at(score, country, wt[:, None] * alpha)
+        total = fit.slot_sums(regional, alpha, phi, d)["ll"] + fit.slot_sums(national, score, phi, d)["ll"] + fit.items_prior(phi, d)
+        for x, log_step, start, (shape, rate) in ((a, phi[0], 5, (2, 8)), (alpha - a[country], phi[1], 3, (1, 8))):
+            raw = np.diff(x, axis=1, prepend=0) / np.exp(log_step)
+            raw[:, 0] /= start
+            total += -0.5 * np.sum(raw**2) + shape * log_step - rate * np.exp(log_step)
+        return total
+
+    return value
 
-    def value(t):
-        return fit.objective(t, d, lambda *p: fit.likelihood(table, d, *p))
 
-    _, grad = value(theta)
-    for i in range(0, len(theta), 3):
-        step = np.zeros_like(theta)
-        step[i] = 1e-5
-        slope = (value(theta + step)[0] - value(theta - step)[0]) / 2e-5
-        assert grad[i] == pytest.approx(slope, rel=1e-4, abs=1e-4), i
+def test_fit_gradient(spark):
+    """The value is the model's, and its slope is 0 in every direction where the fit settles."""
+    toy = _toy(spark, countries=2, per=2, periods=2, questions=3, yes=20)
+    found = fit.fit(*toy[:4])
+    assert found.settled and found.passes < 60
+    d, value = found.design, _objective(spark, toy, found.design)
+    alpha = np.array([r.alpha for r in found.regions.orderBy("unit").collect()])
+    here = value(alpha, found.at.a, found.at.phi)
+    assert here == pytest.approx(found.system.value, rel=1e-12)
+    theta = np.concatenate([alpha.ravel(), found.at.a.ravel(), found.at.phi])
+    cut = [alpha.size, alpha.size + found.at.a.size]
+
+    def split(x):
+        return x[: cut[0]].reshape(alpha.shape), x[cut[0] : cut[1]].reshape(found.at.a.shape), x[cut[1] :]
+
+    for i in range(len(theta)):
+        e = np.zeros(len(theta))
+        e[i] = 1e-4
+        up, down = value(*split(theta + e)), value(*split(theta - e))
+        assert abs(up - down) / 2e-4 < 1e-4, i
+        assert up < here and down < here, i
+    # The spread of scores at given phi is that of the inverse curvature.
+    n = cut[1]
+    curve = np.zeros((n, n))
+    steps = np.eye(len(theta)) * 1e-3
+    for i in range(n):
+        for j in range(n):
+            f = [value(*split(theta + x * steps[i] + y * steps[j])) for x, y in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
+            curve[i, j] = -(f[0] - f[1] - f[2] + f[3]) / 4e-6
+    cov = np.linalg.inv(curve)
+    sd = np.array([r.sd for r in found.regions.orderBy("unit").collect()])
+    assert np.allclose(sd.ravel(), np.sqrt(np.diag(cov))[: cut[0]], rtol=1e-3)
+    wt = np.asarray(toy[3].orderBy("regioncode_int").toPandas()["wt"])
+    lift = np.zeros((found.at.a.size, n))
+    for r in range(len(alpha)):
+        for t in range(d.periods):
+            lift[r // 2 * d.periods + t, r * d.periods + t] = wt[r]
+    national = np.array([r.sd for r in found.national_scores().orderBy("iso_3166_int", "year_int").collect()])
+    assert np.allclose(national, np.sqrt(np.diag(lift @ cov @ lift.T)), rtol=1e-3)
 
 
 def test_fit_recovers_parameters(spark):
     cells, nat, places, weights, alpha, gamma, beta = _toy(spark)
     got = dict(fit.fit_map(cells.repartition(4), nat, places, weights, iters=60).collect())
+    assert got["converged__"] == 1 and got["slope__"] < 1e-3
     fitted = np.array([[got[f"region_alpha[{r + 1},{t + 1}]"] for t in range(alpha.shape[1])] for r in range(len(alpha))])
     assert np.corrcoef(fitted.ravel(), alpha.ravel())[0, 1] > 0.99
     assert np.abs(fitted - alpha).max() < 0.35
@@ -300,29 +353,54 @@ def test_fit_recovers_parameters(spark):
     assert max(abs(got[f"beta[{j + 1},{k + 1}]"] - v) for j, b in enumerate(beta) for k, v in enumerate(b)) < 0.3
 
 
+def test_fit_does_not_depend_on_the_start(spark, monkeypatch):
+    toy = _toy(spark, countries=3, per=2, periods=3, questions=3, yes=50)
+
+    def elsewhere(d):
+        rng = np.random.default_rng(1)
+        p = fit.start(d)
+        return fit.Point(p.a + rng.normal(size=p.a.shape), p.phi + rng.normal(size=len(p.phi)) * 0.3)
+
+    one = dict(fit.fit_map(*toy[:4]).collect())
+    monkeypatch.setattr(fit, "BATCH", 100)  # a region at a time
+    found = fit.fit(*toy[:4], begin=elsewhere)
+    other = dict(found.variables().collect())
+    assert found.settled
+    assert max(abs(one[k] - other[k]) for k in one if "[" in k) < 1e-6
+
+
+def test_fit_of_regions_without_cells(spark):
+    cells, nat, places, weights, *_ = _toy(spark, countries=2, per=2, periods=2, questions=3, yes=20)
+    found = fit.fit(cells.where("regioncode_int <> 2"), nat.where("iso_3166_int <> 2"), places, weights)
+    rows = {(r.regioncode_int, r.year_int): r for r in found.region_scores().collect()}
+    assert found.settled and len(rows) == 8
+    assert rows[2, 1].sd > rows[1, 1].sd
+
+
 def test_likelihood_expression_matches_the_fit(spark):
-    cells, nat, places, weights, alpha, gamma, beta = _toy(spark, countries=2, per=2, periods=2, questions=3, yes=20)
-    d = fit.design(cells, nat, places, weights)
-    width = max(len(b) for b in beta)
-    padded = np.array([np.concatenate([b, np.full(width - len(b), 99.0)]) for b in beta])
-    national = np.zeros((d.countries, d.periods))
-    np.add.at(national, d.region_to_country, alpha * d.region_weight[:, None])
-    value = fit.likelihood(fit.model_cells(cells, nat, d.periods), d, alpha, national, gamma, padded)[0]
-    items = frame(spark, question=[str(j + 1) for j in range(3)], gamma=gamma, kmin1=[len(b) for b in beta])
-    cuts = frame(
-        spark,
-        question=[str(j + 1) for j, b in enumerate(beta) for _ in b],
-        k=[k + 1 for b in beta for k in range(len(b))],
-        beta=np.concatenate(beta),
-    )
-    total = 0.0
-    for table, key, score in ((cells, "regioncode_int", alpha), (nat, "iso_3166_int", national)):
-        scores = spark.createDataFrame(
-            [(u + 1, t + 1, float(v)) for (u, t), v in np.ndenumerate(score)], f"{key} int, year_int int, mean double"
-        )
-        named = table.withColumn("question", F.col("question_int").cast("string"))
-        total += S.ordinal_loglik(named, scores, "mean", [key, "year_int"], items, cuts).first().loglik
-    assert total == pytest.approx(value, rel=1e-10)
+    toy = _toy(spark, countries=2, per=2, periods=2, questions=3, yes=20)
+    cells, nat, places, weights, alpha, gamma, beta = toy
+    d = fit.design(cells, nat, places)
+    rng = np.random.default_rng(4)
+    phi = fit.start(d).phi + rng.normal(size=d.free) * 0.2
+    m = fit.items_of(phi, d)
+    regional, country, wt = _parts(cells, places, weights, d)
+    plain = fit.slot_sums(regional, alpha, phi, d)
+    items = frame(spark, question=[str(j + 1) for j in range(3)], gamma=m["gamma"], kmin1=[int(k) for k in d.kmin1])
+    at = [(str(j + 1), k + 1, float(m["beta"][j, k])) for j in range(3) for k in range(d.kmin1[j])]
+    cuts = spark.createDataFrame(at, "question string, k int, beta double")
+    scores = spark.createDataFrame([(u + 1, t + 1, float(v)) for (u, t), v in np.ndenumerate(alpha)], "regioncode_int int, year_int int, mean double")
+    named = cells.withColumn("question", F.col("question_int").cast("string"))
+    on = ["regioncode_int", "year_int"]
+    assert S.ordinal_loglik(named, scores, "mean", on, items, cuts).first().loglik == pytest.approx(plain["ll"], rel=1e-10)
+    slopes = fit.cell_gradient(named, scores, "mean", on, items, cuts)
+    got = {tuple(r[c] for c in on): r for r in fit.score_gradient(named, scores, "mean", on, items, cuts).collect()}
+    assert all(got[u + 1, t + 1].d_score == pytest.approx(v, rel=1e-8, abs=1e-8) for (u, t), v in np.ndenumerate(plain["g"]))
+    by_item = {(r.question, r.k): r.slope for r in fit.item_gradient(slopes).collect()}
+    assert [by_item[str(j + 1), None] for j in range(3)] == pytest.approx(plain["item"][:3].tolist(), rel=1e-8)
+    flat = plain["item"][3:].reshape(3, -1)
+    assert all(by_item[q, k] == pytest.approx(flat[int(q) - 1, k - 1], rel=1e-8) for q, k in by_item if k)
+    assert sum(k is not None for _, k in by_item) == d.kmin1.sum()
 
 
 def test_cell_probabilities_sum_to_one_and_do_not_underflow(spark):
@@ -377,3 +455,26 @@ def test_parallel_analysis_has_the_distribution_of_random_tables(spark):
         assert got[i + 1].parallel == pytest.approx(np.quantile(direct[:, i], 0.05), abs=0.05)
     again = {r["rank"]: r for r in N.parallel_analysis(spark, n, p, reps=reps, seed=2).collect()}
     assert all(again[k].parallel == got[k].parallel for k in got)
+
+
+def test_permuted_columns_have_the_distribution_of_random_tables(spark):
+    rng = np.random.default_rng(3)
+    n, p = 300, 5
+    x = rng.normal(size=(n, 2)) @ rng.normal(size=(2, p)) + rng.normal(size=(n, p)) * 0.5  # far from independent
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"c{i} double" for i in range(p)))
+    got = {r["rank"]: r for r in N.permuted_analysis(df, df.columns, reps=200).collect()}
+    direct = np.array([np.linalg.eigvalsh(np.corrcoef(rng.permuted(x, axis=0), rowvar=False))[::-1] for _ in range(400)])
+    for i in range(p):
+        assert got[i + 1].parallel_mean == pytest.approx(direct[:, i].mean(), abs=0.02)
+        assert got[i + 1].parallel == pytest.approx(np.quantile(direct[:, i], 0.05), abs=0.04)
+    blocked = {r["rank"]: r for r in N.permuted_analysis(df, df.columns, reps=100, block=50).collect()}
+    assert blocked[1].parallel_mean == pytest.approx(direct[:, 0].mean(), abs=0.05)
+
+
+def test_permuted_columns_of_few_rows_and_constants(spark):
+    rows = [(float(i), float(i % 2), 1.0, float(-i), float(i * i)) for i in range(4)]  # fewer rows than columns
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = N.permuted_analysis(df, df.columns, reps=20).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4]  # the constant has no part
+    assert sum(r.parallel_mean for r in got) == pytest.approx(4)
+    assert N.permuted_analysis(df.limit(0), df.columns, reps=3).collect() == []

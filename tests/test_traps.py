@@ -341,3 +341,37 @@ def test_pivot_refuses_unlisted_names(spark):
     with pytest.raises(ValueError):
         G.pivot_wider(df, ["k"], "n", "v", ["x"])
     assert [tuple(r) for r in G.pivot_wider(df, ["k"], "n", "v", ["x", "y"]).collect()] == [("a", 2.0, 3.0)]
+
+
+def test_scores_that_differ_by_rounding_only_have_no_standard_score(spark):
+    """0.3 and 0.1 + 0.2 are one value to every operator that standardises."""
+    df = spark.createDataFrame([(i, 0.3 if i % 2 else 0.1 + 0.2) for i in range(10)], "i int, mean double")
+    got = K.scale_estimates(df).collect()
+    assert all(r.mean_std is None and r.mean_std_bin is None for r in got)
+    scaled, kept = dimension.screen_items(df.withColumn("other", F.col("i").cast("double")), ["mean", "other"])
+    assert all(r["mean"] is None for r in scaled.collect())
+
+
+def test_partial_r2_does_not_depend_on_units(spark):
+    rows = [(f"g{i % 5}", float((i * 7) % 13), float((i * 5) % 11 + i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    plain = regress.partial_r2(df, "y", "x", "g").first().partial_r2
+    for scale in (1e-8, 1e8, 1e-150):
+        other = regress.partial_r2(df.withColumn("x", F.col("x") * scale), "y", "x", "g").first().partial_r2
+        assert other == pytest.approx(plain, rel=1e-9)
+    level = df.withColumn("x", F.lit(0.1) + F.lit(0.2) + (F.col("x") > 100).cast("int"))
+    assert regress.partial_r2(level, "y", "x", "g").first().partial_r2 is None
+
+
+def test_pivot_refuses_a_missing_name(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, None, 2.0)], "id int, name string, value double")
+    with pytest.raises(ValueError):
+        G.pivot_wider(df, ["id"], "name", "value", ["a", "b"])
+
+
+def test_respondents_are_counted_in_one_scan(spark):
+    df = spark.createDataFrame([(1, None, 2), (1, None, None), (None, 3, None)], "code int, a int, b int")
+    out = K.respondent_counts(df, ["a", "b"], "code")
+    assert {tuple(r) for r in out.collect()} == {("1", 2, 1), (None, 1, 1)}
+    total = K.full_sample(df, ["a", "b"], df.limit(1)).first()
+    assert tuple(total) == (2, 1, 3)
