@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +15,8 @@ from pollspark.session import materialise
 # Fixed value: scale that makes the median absolute deviation consistent for a normal sample.
 MAD_SCALE = 1.4826
 BLOCK = 512
+#: Lags of the first round.
+FIRST_LAGS = 32
 
 
 def summarise_draws(draws: DataFrame) -> DataFrame:
@@ -87,44 +87,37 @@ def rank_normalise(halves: DataFrame) -> DataFrame:
     return left_join(halves, scores, ["variable", "value"]).withColumn("value", F.col("z")).drop("z")
 
 
-def _lag_sums(block: int):
-    """Task function: sums of lagged products of each block with the stretch that follows it."""
+def _autocovariance(blocks: DataFrame, lags: range, block: int) -> DataFrame:
+    """``(variable, lag, s)``: lagged product sums over all chains, for ``lags`` that begin in one block.
 
-    def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sums: dict[tuple, np.ndarray] = {}
-            for row in pdf.itertuples(index=False):
-                own = np.asarray(row.own, dtype=float)
-                ahead = np.zeros(2 * block)
-                ahead[: len(row.near)] = row.near
-                ahead[block : block + len(row.far)] = row.far
-                products = np.correlate(ahead, own, mode="full")[len(own) - 1 : len(own) - 1 + block]
-                key = (row.variable, row.half, row.shift)
-                sums[key] = sums.get(key, 0.0) + products
-            for (variable, half, shift), s in sums.items():
-                lags = shift * block + np.arange(block)
-                yield pd.DataFrame({"variable": variable, "half": half, "lag": lags, "s": s})
-
-    return sums_of
-
-
-def _autocovariance(blocks: DataFrame, shift: int, block: int) -> DataFrame:
-    """Lagged product sums for the ``block`` lags from ``shift * block`` on.
-
-    Each task row holds three blocks at most, so memory does not depend on the
-    length of a chain.
+    Each row holds a block and the two that its lags reach, so memory does not depend on
+    the length of a chain.
     """
+    shift = lags.start // block
     follow = blocks.select("variable", "half", "block", F.col("values").alias("near"))
     near = follow.withColumn("block", F.col("block") - shift)
     far = follow.select("variable", "half", (F.col("block") - shift - 1).alias("block"), F.col("near").alias("far"))
     keys = ["variable", "half", "block"]
     joined = blocks.withColumnRenamed("values", "own").join(near, keys, "inner").join(far, keys, "left")
-    rows = joined.select(
-        "variable", "half", "own", "near", F.coalesce("far", F.array().cast("array<double>")).alias("far"),
-        F.lit(shift).alias("shift"),
-    )
-    sums = rows.mapInPandas(_lag_sums(block), "variable string, half long, lag long, s double")
-    return sums.groupBy("variable", "half", "lag").agg(F.sum("s").alias("s"))
+    rows = joined.select("variable", "own", F.concat("near", F.coalesce("far", F.array().cast("array<double>"))).alias("ahead"))
+
+    def product(lag: Column) -> Column:
+        beside = F.slice("ahead", lag - shift * block + 1, F.size("own"))
+        both = F.zip_with("own", beside, lambda x, y: x * F.coalesce(y, F.lit(0.0)))
+        return F.aggregate(both, F.lit(0.0), lambda total, x: total + x)
+
+    each = F.transform(F.sequence(F.lit(lags.start), F.lit(lags.stop - 1)), lambda lag: F.struct(lag.cast("long").alias("lag"), product(lag).alias("s")))
+    return rows.select("variable", F.inline(each)).groupBy("variable", "lag").agg(F.sum("s").alias("s"))
+
+
+def _rounds(longest: int, block: int) -> Iterator[range]:
+    """Lags of each round: a few first, since most sequences end early, then the rest block by block."""
+    first = min(FIRST_LAGS, block)
+    yield range(first)
+    if first < block:
+        yield range(first, block)
+    for shift in range(1, longest + 1):
+        yield range(shift * block, (shift + 1) * block)
 
 
 def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -144,23 +137,23 @@ def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
         inner_join(halves, moments.select("variable", "half", "m"), ["variable", "half"])
         .groupBy("variable", "half", F.floor((F.col("pos") - 1) / block).alias("block"))
         .agg(F.array_sort(F.array_agg(F.struct("pos", (F.col("value") - F.col("m")).alias("x")))).alias("xs"))
-        .select("variable", F.col("half").cast("long").alias("half"), "block", F.col("xs.x").alias("values"))
+        .select("variable", "half", "block", F.col("xs.x").alias("values"))
     )
     longest = blocks.agg(F.max("block")).first()[0] or 0
-    done, pending, history = [], varied.select("variable"), None
-    for shift in range(longest + 1):
-        summed = _autocovariance(inner_join(blocks, pending, ["variable"]), shift, block)
-        per_lag = summed.groupBy("variable", "lag").agg(F.sum("s").alias("s"))
+    done, pending, history = [], None, None
+    for lags in _rounds(longest, block):
+        open_blocks = blocks if pending is None else inner_join(blocks, pending, ["variable"])
+        per_lag = _autocovariance(open_blocks, lags, block)
         rho = 1 - (F.col("within") - F.col("s") / F.col("total")) / F.col("pooled")
         found = inner_join(per_lag, varied, ["variable"]).where(F.col("lag") < F.col("shortest"))
-        found = found.select("variable", "lag", F.when(F.col("lag") == 0, 1.0).otherwise(rho).alias("rho"))
+        found = found.select("variable", "lag", F.when(F.col("lag") == 0, 1.0).otherwise(rho).alias("rho"), "shortest")
         if history is not None:
             found = union_all(inner_join(history, pending, ["variable"]), found)
         history = materialise(found)
-        state = materialise(_geyer(history, varied, (shift + 1) * block))
+        state = _geyer(history, lags.stop)
         done.append(state.where("finished"))
         pending = state.where(~F.col("finished")).select("variable")
-        if pending.limit(1).count() == 0:
+        if pending.isEmpty():
             break
     joined = left_join(parts, union_all(*done).select("variable", "tau"), "variable")
     total = F.col("total")
@@ -169,18 +162,17 @@ def effective_size(halves: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.select("variable", F.when(F.col("tau").isNotNull(), total / bounded).alias("ess"))
 
 
-def _geyer(rho: DataFrame, parts: DataFrame, known: int) -> DataFrame:
+def _geyer(rho: DataFrame, known: int) -> DataFrame:
     """Autocorrelation time per variable, and whether the known lags settle it.
 
     The pairs of one variable form an array of at most ``known / 2`` numbers.
     The pair that ends the sequence adds its even member only.
     """
-    paired = rho.groupBy("variable", F.floor(F.col("lag") / 2).alias("pair")).agg(
+    sized = rho.groupBy("variable", F.col("shortest").alias("n"), F.floor(F.col("lag") / 2).alias("pair")).agg(
         F.sum("rho").alias("sum"),
         F.max(F.when(F.col("lag") % 2 == 0, F.col("rho"))).alias("even"),
         F.count(F.lit(1)).alias("c"),
     )
-    sized = inner_join(paired, parts.select("variable", F.col("shortest").alias("n")), ["variable"])
     # Lags too close to the chain length are not used.
     usable = sized.where((F.col("c") == 2) & ((F.col("pair") == 0) | (2 * F.col("pair") < F.col("n") - 3)))
     listed = usable.groupBy("variable", "n").agg(F.array_sort(F.array_agg(F.struct("pair", "sum", "even"))).alias("ps"))
@@ -216,9 +208,11 @@ def _series(df: DataFrame, kind: str, value: Column) -> DataFrame:
     return df.select(F.concat(F.lit(kind + ":"), "variable").alias("variable"), "half", "pos", value.alias("value"))
 
 
-def _of_kind(df: DataFrame, kind: str) -> DataFrame:
-    chosen = df.where(F.col("variable").startswith(kind + ":"))
-    return chosen.withColumn("variable", F.substring("variable", F.lit(len(kind) + 2), F.length("variable")))
+def _by_kind(df: DataFrame, value: str, *kinds: str) -> DataFrame:
+    """One row a variable with a column for each kind of its series."""
+    split = F.split("variable", ":", 2)
+    chosen = [F.max(F.when(F.col("kind") == k, F.col(value))).alias(k) for k in kinds]
+    return df.select(split[0].alias("kind"), split[1].alias("variable"), value).groupBy("variable").agg(*chosen)
 
 
 def convergence(draws: DataFrame) -> DataFrame:
@@ -239,14 +233,12 @@ def convergence(draws: DataFrame) -> DataFrame:
     ratios = parts.select("variable", F.sqrt(F.try_divide(F.col("pooled"), F.col("within"))).alias("rhat"))
     tails = [_series(marked, q, (value <= F.col(q)).cast("double")) for q in ("q5", "q95")]
     bulk = ranked.where(F.col("variable").startswith("bulk:"))
-    sizes = materialise(effective_size(union_all(bulk, *tails)))
-    found = _of_kind(ratios, "bulk").withColumnRenamed("rhat", "r_bulk")
-    found = inner_join(found, _of_kind(ratios, "folded").withColumnRenamed("rhat", "r_folded"), ["variable"])
-    for kind in ("bulk", "q5", "q95"):
-        found = inner_join(found, _of_kind(sizes, kind).withColumnRenamed("ess", "ess_" + kind), ["variable"])
-    return found.select(
+    sizes = effective_size(union_all(bulk, *tails))
+    ratio, size = _by_kind(ratios, "rhat", "bulk", "folded"), _by_kind(sizes, "ess", "bulk", "q5", "q95")
+    joined = inner_join(ratio.withColumnsRenamed({"bulk": "r_bulk", "folded": "r_folded"}), size, ["variable"])
+    return joined.select(
         "variable",
         F.greatest("r_bulk", "r_folded").alias("rhat"),
-        "ess_bulk",
-        F.least("ess_q5", "ess_q95").alias("ess_tail"),
+        F.col("bulk").alias("ess_bulk"),
+        F.least("q5", "q95").alias("ess_tail"),
     )

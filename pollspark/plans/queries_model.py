@@ -329,6 +329,34 @@ def _(s: Survey) -> DataFrame:
     return rounded(R.split_rhat(s.draws), "rhat")
 
 
+@query(
+    "i12_effective_size",
+    f"""WITH s AS (SELECT variable, chain, count(*) AS n FROM draws GROUP BY 1, 2),
+        d AS (SELECT d.variable, d.chain, iteration, value, n // 2 AS h, n FROM draws d JOIN s ON d.variable = s.variable AND d.chain = s.chain),
+        h AS (SELECT variable, chain * 2 + CAST(iteration > n - h AS INT) AS half, CASE WHEN iteration > n - h THEN iteration - (n - h) ELSE iteration END AS pos,
+                     value FROM d WHERE iteration <= h OR iteration > n - h),
+        m AS (SELECT variable, half, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM h GROUP BY 1, 2),
+        g AS (SELECT variable AS name, sum(n * m) / sum(n) AS mid FROM m GROUP BY 1),
+        p AS (SELECT variable, min(n) AS shortest, sum(n) AS total, sum((n - 1) * v) / sum(n - 1) AS within, avg(n) AS n,
+                     sum(n * (m - mid) * (m - mid)) / ((count(*) - 1) * avg(n)) AS between FROM m JOIN g ON variable = name GROUP BY 1),
+        x AS (SELECT h.variable, h.half, pos, value - m AS x FROM h JOIN m ON h.variable = m.variable AND h.half = m.half),
+        l AS (SELECT a.variable, b.pos - a.pos AS lag, sum(a.x * b.x) AS s FROM x a JOIN x b ON a.variable = b.variable AND a.half = b.half
+              AND b.pos >= a.pos GROUP BY 1, 2),
+        c AS (SELECT l.variable, lag, shortest, CASE WHEN lag = 0 THEN 1.0E0
+                     ELSE 1 - (within - s / total) / ((n - 1) / n * within + between) END AS rho
+              FROM l JOIN p ON l.variable = p.variable WHERE lag < shortest),
+        k AS (SELECT variable, lag // 2 AS k, sum(rho) AS pair, max(CASE WHEN lag % 2 = 0 THEN rho END) AS even FROM c
+              GROUP BY variable, shortest, lag // 2 HAVING count(*) = 2 AND (lag // 2 = 0 OR 2 * (lag // 2) < shortest - 3)),
+        e AS (SELECT *, min(pair) OVER (PARTITION BY variable ORDER BY k ROWS UNBOUNDED PRECEDING) AS low,
+                     min(CASE WHEN pair < 0 THEN k END) OVER (PARTITION BY variable) AS stop, max(k) OVER (PARTITION BY variable) AS last FROM k),
+        t AS (SELECT variable, sum(CASE WHEN k < coalesce(stop, last) THEN low ELSE 0 END) AS total,
+                     max(CASE WHEN k = stop THEN greatest(even, 0) WHEN stop IS NULL AND k = last THEN even END) AS even FROM e GROUP BY 1)
+        SELECT t.variable, {r("p.total / greatest(-1 + 2 * t.total + even, 1 / log10(p.total))", 3)} AS ess FROM t JOIN p ON t.variable = p.variable""",
+)
+def _(s: Survey) -> DataFrame:
+    return rounded(R.effective_size(materialise(R.split_chains(s.draws))), "ess", digits=3)
+
+
 @query("i12_convergence")
 def _(s: Survey) -> DataFrame:
     return R.convergence(s.draws)

@@ -6,8 +6,8 @@ import pytest
 
 from pollspark.plans.catalog import QUERIES
 
-# Steps that need numpy: lagged products, Newton steps, small eigenvalue problems.
-PYTHON = {"i12_convergence", "i13_posterior_mode", "j13_parallel_analysis", "j14_permuted_null", "j14_number_of_factors"}
+# Steps that need numpy: Newton steps, small eigenvalue problems.
+PYTHON = {"i13_posterior_mode", "j13_parallel_analysis", "j14_permuted_null", "j14_number_of_factors"}
 # Windows without partition over the handful of rows of an eigenvalue table. Others may
 # only add up ``__total``, which has one row per partition of the data.
 TINY = {"j14_number_of_factors", "j14_factor_rules"}
