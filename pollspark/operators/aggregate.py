@@ -25,6 +25,42 @@ def n_unique(df: DataFrame, *cols: str) -> DataFrame:
     return combinations.agg(*[F.count_distinct(c).alias(c) for c in cols])
 
 
+#: Codes that one bitmap holds, and bitmaps of a column that one aggregate may build side by side.
+BITS, BESIDE = 32768, 16
+
+
+def bitmaps(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Exact sets of dense integer codes (``encode``) as bitmaps: ``(by, bucket, cols)``, null where a column has none.
+
+    One aggregate over the rows. Bitmaps of parts of a table, stored as they come in,
+    are merged by ``bitmap_distinct``. Missing and negative codes are in no set.
+    """
+    largest = df.agg(*[F.max(c).alias(c) for c in cols]).first()
+    buckets = 1 + max([0, *[largest[c] // BITS for c in cols if largest[c] is not None]])
+    known = [F.when(F.col(c) >= 0, F.col(c).cast("long")) for c in cols]
+    # ``bitmap_bucket_number`` counts from 1 and deals out 1..32768, so codes from 0 are moved by one.
+    bucket = [F.bitmap_bucket_number(k + 1) - 1 for k in known]
+    bit = [F.bitmap_bit_position(k + 1) for k in known]
+    if buckets <= BESIDE:
+        sets = [
+            F.array(*[F.bitmap_construct_agg(F.when(g == b, p)) for b in range(buckets)]).alias(c)
+            for c, g, p in zip(cols, bucket, bit, strict=True)
+        ]
+        wide = df.groupBy(*by).agg(*sets)
+        each = F.posexplode(F.arrays_zip(*cols)).alias("bucket", "__sets")
+        return wide.select(*by, each).select(*by, F.col("bucket").cast("long").alias("bucket"), *[F.col(f"__sets.{c}").alias(c) for c in cols])
+    # Many codes: a row is dealt to the bucket of each of its columns.
+    entries = F.array(*[F.struct(F.lit(c).alias("col"), g.alias("bucket"), p.alias("bit")) for c, g, p in zip(cols, bucket, bit, strict=True)])
+    long = df.select(*by, F.explode(entries).alias("e")).select(*by, "e.*").where(F.col("bucket").isNotNull())
+    return long.groupBy(*by, "bucket").agg(*[F.bitmap_construct_agg(F.when(F.col("col") == c, F.col("bit"))).alias(c) for c in cols])
+
+
+def bitmap_distinct(sets: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Distinct codes per group from ``bitmaps`` of any number of parts."""
+    merged = sets.groupBy(*by, "bucket").agg(*[F.bitmap_or_agg(c).alias(c) for c in cols])
+    return merged.groupBy(*by).agg(*[F.sum(F.bitmap_count(c)).alias(c) for c in cols])
+
+
 def count_answers(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Answers per group and question, long form; a question never asked gives 0."""
     wide = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols])

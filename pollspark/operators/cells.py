@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pollspark.operators.relate import union_all, with_group
@@ -21,6 +21,28 @@ def ordinal_counts(answers: DataFrame, geo: Sequence[str], period: Sequence[str]
     return counts.withColumn("size", F.sum("yes").over(Window.partitionBy(*keys)))
 
 
+def store_cells(answers: DataFrame, folder: str, geo: Sequence[str], period: Sequence[str], source: str) -> None:
+    """Add a wave of answers to the stored counts in ``folder``, by ``source`` and the first of ``period``.
+
+    Only the parts that the wave has are written, and they replace what was stored of
+    them: a wave may come again, and waves may come in any order. A wave holds all
+    answers of its sources and periods.
+    """
+    keys = [source, *period, *geo, "question", "option"]
+    counts = answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("yes"))
+    # Copies name the parts, so that the columns themselves keep their types.
+    parts = counts.withColumns({"__source": F.col(source).cast("string"), "__period": F.col(period[0]).cast("string")})
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__source", "__period").parquet(folder)
+
+
+def merged_cells(spark: SparkSession, folder: str, geo: Sequence[str], period: Sequence[str]) -> DataFrame:
+    """``ordinal_counts`` of all waves in ``folder``, from their counts instead of the answers."""
+    stored = spark.read.parquet(folder)
+    keys = [*geo, *period, "question"]
+    counts = stored.groupBy(*keys, "option").agg(F.sum("yes").alias("yes"))
+    return counts.withColumn("size", F.sum("yes").over(Window.partitionBy(*keys)))
+
+
 def region_weights(pop: DataFrame, country: str, region: str, size: str) -> DataFrame:
     """Population share of each region in its country."""
     total = with_group(pop.select(country, region, size), [country], F.sum(size).alias("__total"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pollspark.operators import cells as I
 from pollspark.operators import draws as R
+from pollspark.operators import packed as P
 from pollspark.operators import periods as H
 from pollspark.operators import scores as S
 from pollspark.operators.aggregate import n_thresholds
@@ -196,6 +197,26 @@ def _(s: Survey) -> DataFrame:
     return rounded(S.poststratify(draws, s.weights, "region_alpha", ("year_int", "draw")), "country_poststrat")
 
 
+@query(
+    "i6_poststratify_packed",
+    f"""WITH {_REPLICATE}
+        SELECT p.iso_3166, p.year_int, CAST(p.draw AS BIGINT) AS draw, {r("sum((region_effect + country_alpha) * wt)")} AS country_poststrat
+        FROM rep p JOIN walk w ON p.iso_3166 = w.iso_3166 AND p.year_int = w.year_int AND p.draw = w.draw
+        JOIN weights g ON p.mergekey = g.mergekey GROUP BY 1, 2, 3""",
+)
+def _(s: Survey) -> DataFrame:
+    """The same draws as arrays, in blocks of two."""
+    score = (F.col("option") - 1) / F.when(F.col("question").startswith("N"), 2.0).otherwise(4.0)
+    keys = ["iso_3166", "mergekey", "year_int", (F.col("l_linenumber") % 3).alias("draw")]
+    effect = materialise(s.answers.groupBy(*keys).agg(F.avg(score).alias("region_effect")))
+    walk = effect.groupBy("iso_3166", "year_int", "draw").agg(F.avg("region_effect").alias("country_alpha"))
+    regions = effect.select("mergekey", "iso_3166").distinct()
+    effects = P.pack_draws(effect, ["mergekey", "year_int"], "draw", "region_effect", 2)
+    scores = P.packed_region_scores(P.pack_draws(walk, ["iso_3166", "year_int"], "draw", "country_alpha", 2), effects, regions)
+    found = P.packed_poststratify(scores, s.weights, "region_alpha")
+    return rounded(P.unpack_draws(found, "country_poststrat", block=2), "country_poststrat")
+
+
 _ITEMS = """g AS (SELECT question, kmin1, gamma_raw / (SELECT exp(avg(ln(gamma_raw))) FROM item_gamma) AS gamma FROM item_gamma),
     b0 AS (SELECT b.question, k, kmin1, (2 * beta_raw - (kmin1 + 1)) / CASE WHEN kmin1 <> 1 THEN kmin1 - 1 ELSE 1 END AS loose
            FROM item_beta b JOIN item_gamma i ON b.question = i.question),

@@ -218,6 +218,16 @@ def _(s: Survey) -> DataFrame:
     return A.n_unique(s.answers, "source2", "iso_3166", "mergekey", "question")
 
 
+@query(
+    "f5_distinct_by_bitmaps",
+    """SELECT question, count(DISTINCT mergekey) AS regioncode_int, count(DISTINCT iso_3166) AS iso_3166_int, count(DISTINCT year_int) AS year_int
+       FROM cells GROUP BY 1""",
+)
+def _(s: Survey) -> DataFrame:
+    codes = ["regioncode_int", "iso_3166_int", "year_int"]
+    return A.bitmap_distinct(A.bitmaps(s.coded_cells, ["question"], codes), ["question"], codes)
+
+
 @query(
     "f6_question_coverage",
     """WITH c AS (SELECT source2, iso_3166, year2, question, count(answer) AS size FROM resp_long GROUP BY 1, 2, 3, 4)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pollspark.functions import columns as C
 from pollspark.operators import clean
 from pollspark.operators.aggregate import tally
+from pollspark.operators.cells import merged_cells, store_cells
 from pollspark.operators.relate import union_all
 from pollspark.plans.fixtures import QUESTION_COLS, Survey
 from pollspark.plans.registry import query, r, rounded, scratch
@@ -67,6 +68,17 @@ def _(s: Survey) -> DataFrame:
     return rounded(back, "mean", "exposure")
 
 
+@query("a5_cell_waves", "SELECT iso_3166, mergekey, year2, year_int, question, option, yes, size FROM cells")
+def _(s: Survey) -> DataFrame:
+    """Cells of two waves by source, the first of which comes in twice."""
+    answers = s.answers.where(F.col("orderstatus") != "P")
+    folder, geo, period = scratch(s.spark, "waves"), ["iso_3166", "mergekey"], ["year2", "year_int"]
+    late = F.coalesce(F.col("source2") >= "3", F.lit(False))
+    for wave in (answers.where(late), answers.where(~late), answers.where(late)):
+        store_cells(wave, folder, geo, period, "source2")
+    return merged_cells(s.spark, folder, geo, period)
+
+
 @query("a5_table_round_trip", "SELECT iso_3166, mergekey, year2, question, option, yes, size FROM cells")
 def _(s: Survey) -> DataFrame:
     root = scratch(s.spark, "bundle")

@@ -7,8 +7,10 @@ from pollspark.functions import columns as C
 from pollspark.operators import aggregate as A
 from pollspark.operators import clean, dimension, periods, ranking, regress
 from pollspark.operators import relate as D
+from pollspark.operators import packed as P
 from pollspark.operators import scores as S
 from pollspark.operators import shape as G
+from pollspark.operators.cells import merged_cells, ordinal_counts, store_cells
 from pollspark.plans import reports as K
 from pollspark.sources import tables as T
 
@@ -375,3 +377,52 @@ def test_respondents_are_counted_in_one_scan(spark):
     assert {tuple(r) for r in out.collect()} == {("1", 2, 1), (None, 1, 1)}
     total = K.full_sample(df, ["a", "b"], df.limit(1)).first()
     assert tuple(total) == (2, 1, 3)
+
+
+def test_packed_draws_equal_single_ones(spark):
+    rows = [(f"r{u}", t, d, float(u * 7 + t * 3 + d) ** 0.5) for u in range(6) for t in range(2) for d in range(11) if (u, d) != (2, 4) and u + d != 13]
+    rows += [(f"r{u}", t, 4, None) for u in (0,) for t in range(2)]
+    draws = spark.createDataFrame([(*r[:3], None if r[0] == "r0" and r[2] == 4 else r[3]) for r in rows], "mergekey string, year_int int, draw int, region_effect double")
+    regions = spark.createDataFrame([(f"r{u}", "ab"[u % 2]) for u in range(6)], "mergekey string, iso_3166 string")
+    weights = spark.createDataFrame([(f"r{u}", 0.1 + u / 10) for u in range(6)], "mergekey string, wt double")
+    walk = spark.createDataFrame([(c, t, d, d / 10) for c in "ab" for t in range(2) for d in range(11)], "iso_3166 string, year_int int, draw int, country_alpha double")
+    plain = S.region_scores(walk, draws, regions, ("year_int", "draw"))
+    effects = P.pack_draws(draws, ["mergekey", "year_int"], "draw", "region_effect", 4)
+    assert {len(r.region_effect) for r in effects.collect()} == {3, 4}
+    scores = P.packed_region_scores(P.pack_draws(walk, ["iso_3166", "year_int"], "draw", "country_alpha", 4), effects, regions)
+    for renormalise in (False, True):
+        want = S.poststratify(plain.where("region_alpha IS NOT NULL"), weights, "region_alpha", ("year_int", "draw"), renormalise)
+        got = P.unpack_draws(P.packed_poststratify(scores, weights, "region_alpha", renormalise=renormalise), "country_poststrat", block=4)
+        a = {tuple(r)[:3]: r.country_poststrat for r in want.collect()}
+        b = {tuple(r)[:3]: r.country_poststrat for r in got.collect()}
+        assert a.keys() == b.keys() and all(b[k] == pytest.approx(v, rel=1e-12) for k, v in a.items())
+
+
+def test_waves_in_any_order_and_twice(spark, tmp_path):
+    answers = spark.createDataFrame(
+        [(f"s{i % 3}", f"200{i % 2}-0{i % 2 + 1}", f"g{i % 4}", f"q{i % 5}", i % 2 + 1) for i in range(300)] + [(None, "2002-03", None, "q1", 1)],
+        "source string, year2 string, geo string, question string, option int",
+    )
+    want = sorted(map(tuple, ordinal_counts(answers, ["geo"], ["year2"]).collect()), key=str)
+    one, two = answers.where("source = 's1'"), answers.where("source IS DISTINCT FROM 's1'")
+    for i, waves in enumerate(([one, two], [two, one], [one, two, one, one])):
+        folder = str(tmp_path / str(i))
+        for wave in waves:
+            store_cells(wave, folder, ["geo"], ["year2"], "source")
+        got = merged_cells(spark, folder, ["geo"], ["year2"])
+        assert got.columns == ordinal_counts(answers, ["geo"], ["year2"]).columns
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_bitmaps_are_exact_and_merge(spark, monkeypatch):
+    rows = [("a" if i % 3 else "b", i * 977 % 100_003, i % 7 if i % 5 else None) for i in range(5000)] + [("c", None, None), ("a", 0, 0), ("a", 32767, 1), ("a", 32768, 1)]
+    df = spark.createDataFrame(rows, "k string, x int, y int")
+    want = {r.k: (r.x, r.y) for r in df.groupBy("k").agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).collect()}
+    sets = A.bitmaps(df, ["k"], ["x", "y"])
+    assert sets._jdf.queryExecution().executedPlan().toString().count("Expand") == 0
+    assert {r.k: (r.x, r.y) for r in A.bitmap_distinct(sets, ["k"], ["x", "y"]).collect()} == want
+    halves = A.bitmaps(df.where("x % 2 = 0"), ["k"], ["x", "y"]).unionByName(A.bitmaps(df.where("x % 2 <> 0 OR x IS NULL"), ["k"], ["x", "y"]))
+    assert {r.k: (r.x, r.y) for r in A.bitmap_distinct(halves, ["k"], ["x", "y"]).collect()} == want
+    monkeypatch.setattr(A, "BESIDE", 1)  # more codes than fit side by side; a group without codes has no row there
+    many = {r.k: (r.x, r.y) for r in A.bitmap_distinct(A.bitmaps(df, ["k"], ["x", "y"]), ["k"], ["x", "y"]).collect()}
+    assert many == {k: v for k, v in want.items() if k != "c"}
