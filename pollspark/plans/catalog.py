@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pollspark.plans import (  # noqa: F401
     queries_model,
+    queries_published,
     queries_relations,
     queries_reports,
     queries_statistics,
