@@ -2,10 +2,12 @@
 
 Templates are word lists. The corpus's document counts of their words (one counting
 pass, a bounded table) give each word an IDF, and a template is indexed under its
-``RARE`` highest-IDF words with their positions. A file looks up all its words in
-that index; every hit names a template and, by the difference of positions, where
-the template would start. Starts on which the rare words agree are verified word by
-word, and the template's key phrases must stand complete.
+highest-IDF words with their positions: one word more than a match may lack, so every
+place that matches is hit. A file looks up all its words in that index; every hit
+names a template and, by the difference of positions, where the template would start,
+give or take ``DRIFT`` places for long ones. These starts are verified word by word,
+and the template's key phrases must stand complete. Of starts within ``DRIFT`` of each
+other the best one is a match.
 
 The base phrases are templates whose words must all match. Each occurrence contains
 its phrase's rarest word, so no place is missed.
@@ -53,8 +55,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("released-mit", "released under the mit license", ["mit license"]),
 ]
-#: Rare words by which a template is indexed, those that must agree on a start, words that must match.
-RARE, AGREE, COVER = 4, 2, 0.8
+#: Part of a template's words that must match.
+COVER = 0.8
 #: Places by which a word of a long template may be off, after small insertions or losses.
 DRIFT, LONG = 3, 12
 
@@ -73,14 +75,13 @@ class Index:
     def __init__(self, idf: Mapping[bytes, float], base: Mapping[str, str] = BASE, templates=TEMPLATES):
         self.templates = [(label, words(phrase), [], True) for phrase, label in base.items()]
         self.templates += [(label, words(text), [words(k) for k in keys], False) for label, text, keys in templates]
-        self.need, self.keys = [], []
+        self.keys = []
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, (_, text, keys, exact) in enumerate(self.templates):
             order = sorted(range(len(text)), key=lambda p: (-idf.get(text[p], 0.0), text[p], p))
-            rare = order[: 1 if exact else RARE]
-            for p in rare:
+            lacking = 0 if exact else len(text) - math.ceil(COVER * len(text) - 1e-9)
+            for p in order[: lacking + 1]:
                 self.postings[text[p]].append((number, p))
-            self.need.append(min(AGREE, len(rare)))
             self.keys.append([(p, k) for k in keys for p in range(len(text) - len(k) + 1) if text[p : p + len(k)] == k])
         self.rare = frozenset(self.postings)
 
@@ -89,29 +90,45 @@ class Index:
         hits = self.rare.intersection(found)
         if not hits:
             return [], 0.0
-        starts: dict[tuple[int, int], int] = defaultdict(int)
+        starts: dict[int, set[int]] = defaultdict(set)
         for at, word in enumerate(found):
             if word in hits:
                 for number, p in self.postings[word]:
-                    starts[number, at - p] += 1
+                    drift = self.drift(number)
+                    starts[number].update(range(at - p - drift, at - p + drift + 1))
         matches, best = [], 0.0
-        for (number, start), votes in starts.items():
+        for number, places in starts.items():
             label, text, _, exact = self.templates[number]
             if exact:
-                if start >= 0 and found[start : start + len(text)] == text:
-                    matches.append((label, start, len(text), 1.0, True))
-                    best = 1.0
+                same = [s for s in places if s >= 0 and found[s : s + len(text)] == text]
+                matches += [(label, s, len(text), 1.0, True) for s in same]
+                best = 1.0 if same else best
                 continue
-            if votes < self.need[number]:
-                continue
-            drift = DRIFT if len(text) >= LONG else 0
-            same = sum(w in found[max(0, start + p - drift) : max(0, start + p + drift + 1)] for p, w in enumerate(text))
-            cover = same / len(text)
-            best = max(best, cover)
-            if cover >= COVER and all(self._stands(found, start + p, key, drift) for p, key in self.keys[number]):
-                matches.append((label, max(0, start), len(text), cover, False))
+            drift, held = self.drift(number), None
+            for start in sorted(places):
+                cover = self.cover(found, start, text, drift)
+                best = max(best, cover)
+                if cover < COVER or not all(self._stands(found, start + p, key, drift) for p, key in self.keys[number]):
+                    continue
+                # Of starts that drift lets match alike, the one with most words in their very places.
+                this = (cover, self.cover(found, start, text, 0), -start)
+                if held is not None and start + held[2] > drift:
+                    matches.append((label, max(0, -held[2]), len(text), held[0], False))
+                    held = None
+                held = this if held is None else max(held, this)
+            if held is not None:
+                matches.append((label, max(0, -held[2]), len(text), held[0], False))
         return sorted(matches), best
 
+    def drift(self, number: int) -> int:
+        _, text, _, exact = self.templates[number]
+        return DRIFT if len(text) >= LONG and not exact else 0
+
+    @staticmethod
+    def cover(found: list[bytes], start: int, text: list[bytes], drift: int) -> float:
+        """Part of the template's words that stand where they would, give or take ``drift`` places."""
+        return sum(w in found[max(0, start + p - drift) : max(0, start + p + drift + 1)] for p, w in enumerate(text)) / len(text)
+
     @staticmethod
     def _stands(found: list[bytes], at: int, key: list[bytes], drift: int) -> bool:
         return any(a >= 0 and found[a : a + len(key)] == key for a in range(at - drift, at + drift + 1))

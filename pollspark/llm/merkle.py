@@ -8,8 +8,10 @@ borders move with the text and not with positions. The root hashes the sections.
 
 A fingerprint is ``root:body``. Equal roots mean equal texts. The body has the first
 ``SHORT`` hex digits of every leaf hash, paragraphs closed by "," and sections by
-";", so two fingerprints alone tell how alike the texts are (``likeness``) and which
-paragraphs differ (``differing``).
+";": it is the tree written out, and a section's or paragraph's string stands for its
+node. Two fingerprints alone tell how alike the texts are (``likeness``, over leaves
+and roots) and where they differ (``differing``, section by section, then paragraph by
+paragraph). Unlike leaves share their digits once in ``16 ** SHORT`` pairs.
 
 Cases: a null text is an empty one (one paragraph without leaves); a document alone
 in its table is its own next one; rows equal in id and text share one place in the
@@ -73,28 +75,109 @@ def fingerprint(text: Column) -> Column:
     )
 
 
-def _leaf_set(print_: Column) -> Column:
-    body = F.substring_index(print_, ":", -1)
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"[0-9a-f]{{{SHORT}}}"), F.lit(0)))
+def _body(print_: Column) -> Column:
+    return F.substring_index(print_, ":", -1)
+
+
+def _counted_leaves(print_: Column) -> Column:
+    """The leaves of a fingerprint, each with its number among the equal ones, so that sets of them count."""
+    leaf = rf"[0-9a-f]{{{SHORT}}}"
+    sorted_ = F.array_join(F.array_sort(F.regexp_extract_all(_body(print_), F.lit(leaf), F.lit(0))), "")
+    runs = F.regexp_extract_all(sorted_, F.lit(rf"({leaf})\1*"), F.lit(0))
+    return F.flatten(
+        F.transform(
+            runs,
+            lambda run: F.transform(
+                F.sequence(F.lit(1), (F.length(run) / SHORT).cast("int")), lambda k: F.concat(F.substring(run, 1, SHORT), k.cast("string"))
+            ),
+        )
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves of two fingerprints, 0 to 1 (twice the common over the sum); 1 exactly for equal texts."""
-    pair = F.transform(F.array(F.struct(_leaf_set(a).alias("a"), _leaf_set(b).alias("b"))), lambda s: F.struct(
-        F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("all")
+    """Shared part of the leaves and roots of two fingerprints, 0 to 1 (twice the common over the sum).
+
+    A leaf counts as often as it occurs in both. Unequal roots are not shared, so 1
+    means equal texts and nothing else.
+    """
+    pair = F.transform(F.array(F.struct(_counted_leaves(a).alias("a"), _counted_leaves(b).alias("b"))), lambda s: F.struct(
+        F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"]) + 2).alias("all")
     ))
-    shared = F.element_at(F.transform(pair, lambda c: F.when(c["all"] == 0, 0.0).otherwise(2.0 * c["both"] / c["all"])), 1)
+    shared = F.element_at(F.transform(pair, lambda c: 2.0 * c["both"] / c["all"]), 1)
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(shared)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """``(head, tail)``: how many leading and how many further trailing entries two arrays share."""
+
+    def leading(x: Column, y: Column) -> Column:
+        same = F.transform(F.zip_with(x, y, lambda p, q: p == q), lambda e: F.coalesce(e, F.lit(False)))
+        first = F.array_position(same, F.lit(False)).cast("int")
+        return F.when(first > 0, first - 1).otherwise(F.size(same))
+
+    head = leading(a, b)
+    tail = F.least(leading(F.reverse(a), F.reverse(b)), F.least(F.size(a), F.size(b)) - head)
+    return F.struct(head.alias("head"), tail.alias("tail"))
+
+
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _middle(x: Column, cut: Column) -> Column:
+    return F.slice(x, cut["head"] + 1, F.size(x) - cut["head"] - cut["tail"])
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Positions (from 0) of the paragraphs of ``a`` that ``b`` does not have anywhere."""
-    def split(x: Column) -> Column:
-        lines = F.split(F.translate(F.substring_index(x, ":", -1), ";", ","), ",")
-        return F.slice(lines, 1, F.size(lines) - 1)
+    """Positions (from 0) of the paragraphs of ``a`` that differ from those of ``b``.
+
+    Sections that both texts share at the start and at the end are passed over unseen, then
+    the shared paragraphs at both ends of what is left. Of the rest those paragraphs are
+    reported that ``b`` has less often; if it has them all, they only stand elsewhere
+    (moved, or another one was put between them) and all are reported.
+    """
+    def sections(x: Column) -> Column:
+        return F.regexp_extract_all(_body(x), F.lit("[^;]*;|[^;]+$"), F.lit(0))
+
+    def paragraphs(part: Column) -> Column:
+        return F.regexp_extract_all(F.array_join(part, ""), F.lit("([^,;]*)[,;]"), F.lit(1))
+
+    def located(d: Column) -> Column:
+        x, y, before = d["x"], d["y"], d["before"]
+
+        def inside(cut: Column) -> Column:
+            return _named(
+                F.struct(_middle(x, cut).alias("own"), _middle(y, cut).alias("other"), (before + cut["head"]).alias("from")), compare
+            )
 
-    mine = F.transform(split(a), lambda p, i: F.struct(i.alias("i"), F.array_contains(split(b), p).alias("known")))
-    return F.transform(F.filter(mine, lambda m: ~m["known"]), lambda m: m["i"])
+        return _named(_apart(x, y), inside)
+
+    def compare(m: Column) -> Column:
+        own, other = m["own"], m["other"]
+        places = F.transform(own, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+        lacking = F.filter(
+            places,
+            lambda e: F.size(F.filter(F.slice(own, F.lit(1), e["i"] + 1), lambda q: q == e["p"])) > F.size(F.filter(other, lambda q: q == e["p"])),
+        )
+        return _named(
+            F.struct(lacking.alias("lacking"), places.alias("all"), m["from"].alias("from")),
+            lambda r: F.transform(F.when(F.size(r["lacking"]) > 0, r["lacking"]).otherwise(r["all"]), lambda e: e["i"] + r["from"]),
+        )
+
+    def descend(s: Column) -> Column:
+        return _named(
+            _apart(s["a"], s["b"]),
+            lambda cut: _named(
+                F.struct(
+                    paragraphs(_middle(s["a"], cut)).alias("x"), paragraphs(_middle(s["b"], cut)).alias("y"),
+                    F.size(paragraphs(F.slice(s["a"], F.lit(1), cut["head"]))).alias("before"),
+                ),
+                located,
+            ),
+        )
+
+    return _named(F.struct(sections(a).alias("a"), sections(b).alias("b")), descend)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,11 +247,14 @@ def _sql_fingerprint(text: str) -> str:
 
 def _sql_likeness(a: str, b: str) -> str:
     def leaves(x: str) -> str:
-        return f"list_distinct(regexp_extract_all(split_part({x}, ':', 2), '[0-9a-f]{{{SHORT}}}'))"
+        return f"regexp_extract_all(split_part({x}, ':', 2), '[0-9a-f]{{{SHORT}}}')"
+
+    def times(of: str) -> str:
+        return f"len(list_filter({leaves(of)}, lambda y: y = h))"
 
-    total = f"(len({leaves(a)}) + len({leaves(b)}))"
-    return f"""CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0E0 WHEN {total} = 0 THEN 0.0E0
-        ELSE 2.0E0 * len(list_intersect({leaves(a)}, {leaves(b)})) / {total} END"""
+    total = f"(len({leaves(a)}) + len({leaves(b)}) + 2)"
+    shared = f"coalesce(list_sum(list_transform(list_distinct({leaves(a)}), lambda h: least({times(a)}, {times(b)}))), 0)"
+    return f"""CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0E0 ELSE 2.0E0 * {shared} / {total} END"""
 
 
 ORACLE_SQL = f"""

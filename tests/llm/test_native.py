@@ -130,3 +130,32 @@ def test_a_very_long_text_is_mixed(spark):
     counted = rows.withColumn("n", mixing.token_count(F.col("text")))
     got = mix(counted, "source", "n", "doc_id").collect()
     assert sorted((r.doc_id, r.n) for r in got) == [(1, 400_000), (2, 0), (3, 0)]
+
+
+def compared(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
+    pairs = spark.createDataFrame([(a, b, found[a], found[b]) for a in found for b in found], "a int, b int, x string, y string")
+    got = pairs.select("a", "b", likeness(F.col("x"), F.col("y")).alias("like"), differing(F.col("x"), F.col("y")).alias("d")).collect()
+    return {(r.a, r.b): (r.like, r.d) for r in got}
+
+
+def test_order_and_repeats_count(spark):
+    got = compared(spark, ["a\nb\na", "b\na\nb\nb", "one\ntwo\nthree", "two\none\nthree", "one\ntwo\nthree\nthree"])
+    assert got[0, 1][0] == pytest.approx(2 * 2 / (3 + 4 + 2)) and got[0, 1][1] and got[1, 0][1]
+    assert got[2, 3][0] < 1 and got[2, 3][1] == [0, 1] and got[3, 2][1] == [0, 1]  # swapped lines
+    assert got[4, 2][1] == [3] and got[4, 2][0] < 1  # a repeated line
+    assert all(like == 1 and d == [] for (a, b), (like, d) in got.items() if a == b)
+
+
+def test_moved_and_edited_paragraphs_are_located(spark):
+    lines = [f"Paragraph {i} says {i * i} things about topic {i % 5}." for i in range(200)]
+    moved = lines[:50] + lines[51:80] + [lines[50]] + lines[80:]
+    twice = lines[:120] + [lines[10]] + lines[120:]
+    two = list(lines)
+    two[30], two[170] = "Edited line thirty.", "Edited line far below."
+    got = compared(spark, ["\n".join(x) for x in (lines, moved, twice, two)])
+    assert set(got[0, 1][1]) == set(range(50, 80)) and set(got[1, 0][1]) == set(range(50, 80))
+    assert got[2, 0][1] == [120] and got[0, 2][1] == []
+    assert got[0, 3][1] == [30, 170] and got[3, 0][1] == [30, 170]
+    assert all(0.9 < like <= 1 for like, _ in got.values())

@@ -179,3 +179,54 @@ def test_compiler():
     ):
         with pytest.raises(TemplateError):
             Template(bad)
+
+
+def plain_labels(found, idf):
+    """Labels of all places of every template that match, without an index."""
+    index = Index(idf)
+    out = set()
+    for number, (label, text, _, exact) in enumerate(index.templates):
+        drift = index.drift(number)
+        for start in range(-len(text), len(found) + 1):
+            if exact:
+                if start >= 0 and found[start : start + len(text)] == text:
+                    out.add(label)
+                continue
+            same = sum(any(0 <= i < len(found) and found[i] == w for i in range(start + p - drift, start + p + drift + 1)) for p, w in enumerate(text))
+            stands = all(
+                any(a >= 0 and found[a : a + len(k)] == k for a in range(start + p - drift, start + p + drift + 1)) for p, k in index.keys[number]
+            )
+            if same >= 0.8 * len(text) - 1e-9 and stands:
+                out.add(label)
+    return out
+
+
+def test_no_place_of_enough_cover_is_missed(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.01', '0.001')}/documents.parquet")
+    idf = inverse_frequencies(docs)
+    index, rng = Index(idf), random.Random(6)
+    texts = [words(r.text or "")[:400] for r in docs.limit(60).collect()]
+    for _, text, _ in TEMPLATES:
+        found = words(text)
+        for lost in (1, 2, 3, 5):
+            changed = list(found)
+            for p in rng.sample(range(len(found)), min(lost, len(found))):
+                changed[p] = b"zzz"
+            texts.append([b"some", b"words", *changed, b"of", b"license"])
+            extra = list(found)
+            for p in sorted(rng.sample(range(len(found)), min(lost, len(found))), reverse=True):
+                extra.insert(p, b"dnl")
+            texts += [extra, extra[2:], extra[:-2], found + extra]
+    for found in texts:
+        assert {m[0] for m in index.scan(found)[0]} == plain_labels(found, idf)
+
+
+def test_a_notice_with_three_rare_words_altered(spark):
+    notice = next(text for label, text, _ in TEMPLATES if label == "mit-notice").split()
+    index = Index({})
+    rare = sorted(range(len(notice)), key=lambda p: (notice[p], p))[:4]
+    changed = ["zzz" if p in rare[:3] else w for p, w in enumerate(notice)]
+    found = [w.encode() for w in changed]
+    if all(k in " ".join(changed) for k in ("hereby granted free of charge", "deal in the software without restriction")):
+        assert [m[0] for m in index.scan(found)[0]] == ["mit-notice"]
+    assert index.scan(found)[1] > 0.85
