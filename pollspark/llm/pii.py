@@ -1,20 +1,22 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds to them.
 
-The patterns (email, ip, card, phone) give the base spans of a text. The field
-labels the text's tokens with a digit or "@" (any other token is no entity): node
-features are shapes and neighbouring words, chain edges join tokens next to each
-other, and skip edges join each token with the next one that repeats it or its
-digits, however far away. Loopy message passing over these edges makes labels agree
-across a document. A token that the field labels with at least ``SURE`` adds a span
-unless a base span covers part of it, so base spans always stay.
-
-The field is trained by pseudo-likelihood on tokens that the patterns label (and
-``SECRET`` for credentials after a name), from about ``TRAIN_ROWS`` rows chosen by
-hash. That sample is the only bounded thing; all texts are searched whole.
-
-Cases: a null text is empty; a text without digits and "@" has no spans; repeated
-rows are searched each on its own; an empty table gives no rows; a table without any
-labelled token gives base spans alone.
+The patterns (email, ip, card, phone) give the base spans of a text. The field labels the
+text's tokens that have a digit or "@", are the value after a credential's name, or repeat
+such a value (any other token is no entity): node features are shapes and neighbouring
+words, chain edges join tokens next to each other, and skip edges join each token with
+the next one that repeats it or its digits, however far away. Labels that a pattern gives
+(``SECRET`` for credentials, besides the kinds) are evidence. Loopy message passing over
+these edges makes labels agree across a document; it stops for each text on its own. A
+token that the field labels with at least ``SURE`` adds a span unless a base span covers
+part of it, so base spans always stay.
+
+The field is trained by pseudo-likelihood on tokens that the patterns label, from about
+``TRAIN_ROWS`` rows chosen by hash, and of each row all tokens or about ``TRAIN_TOKENS``
+chosen by hash. That sample is the only bounded thing; all texts are searched whole.
+
+Cases: a null text is empty; a text without digits, "@" and named credentials has no
+spans; repeated rows are searched each on its own; an empty table gives no rows; a table
+without any labelled token gives base spans, named credentials and their repeats.
 """
 
 from __future__ import annotations
@@ -42,14 +44,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"""\b(?:token|key|secret|password)["']?\s*[=:]\s*["']?([A-Za-z0-9_/+-]{16,})""", re.I | re.A)
+#: Words of which one stands in every ``SECRET``.
+NAMES = ("token", "key", "secret", "password")
 SUSPECT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "\"'`()[]{}<>,;:!?#*$%&|=~^\\."
 
 TRAIN_ROWS = 5000
-#: Tokens of one row that may enter the training sample.
+#: Tokens of one row that enter the training sample, about, where it has more.
 TRAIN_TOKENS = 200
 FEATURES = 1 << 12
+#: Potential of a label that a pattern gives, and of equal labels on a skip edge before training, which moves
+#: it where the sample has such pairs: few texts repeat an entity.
+EVIDENCE, SAME = 10.0, 10.0
 SURE = 0.9
 ROUNDS = 20
 
@@ -102,41 +109,72 @@ class Tokens:
         self.text: list[int] = []
         self.start: list[int] = []
         self.end: list[int] = []
+        self.known: list[int] = []
         self.features: list[list[int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
 
-    def add(self, number: int, text: str, most: int | None = None) -> None:
-        if not SUSPECT.search(text):
+    def add(self, number: int, text: str, base: list[tuple[int, int, int]] = ()) -> None:
+        """The variables of ``text``; ``base`` are its base spans, whose tokens have a known label."""
+        low = text.lower()
+        secrets = [m.span(1) for m in SECRET.finditer(text)] if any(n in low for n in NAMES) else []
+        if not secrets and not SUSPECT.search(text):
             return
+        wanted = set().union(*[self._keys(text[a:b]) for a, b in secrets])  # what letters alone may repeat
+        begins, ends = merged([(k, a, b) for k, a, b in base])
+        kinds = {a: k + 1 for k, a, _ in reversed(base)}
+        values = [a for a, _ in secrets]
         last: dict[str, int] = {}
-        before, before_variable, previous, first = "", -1, -2, len(self.text)
+        before, before_variable, previous = "", -1, -2
         for place, m in enumerate(TOKEN.finditer(text)):
             raw = m.group()
-            if SUSPECT.search(raw) and (token := raw.strip(EDGES)):
-                if most is not None and len(self.text) - first >= most:
-                    return
-                i = len(self.text)
-                start = m.start() + raw.index(token)
+            token = raw.strip(EDGES)
+            start = m.start() + raw.index(token)
+            value = bisect_left(values, m.start())
+            named = value < len(values) and values[value] < m.end()
+            if named and values[value] > start:  # the name and its value in one token
+                token, start = text[values[value] : m.end()].rstrip(EDGES), values[value]
+            keys = self._keys(token) if token else set()
+            if token and (named or SUSPECT.search(raw) or not wanted.isdisjoint(keys)):
+                i, end = len(self.text), start + len(token)
+                covered = bisect_left(begins, end) - 1
+                known = kinds[begins[covered]] if covered >= 0 and ends[covered] > start else len(LABELS) - 1 if named else 0
                 self.text.append(number)
                 self.start.append(start)
-                self.end.append(start + len(token))
+                self.end.append(end)
+                self.known.append(known)
                 self.features.append(self._features(token, raw, before, before_variable, place))
                 if previous == place - 1:
                     self.chain.append((i - 1, i))
                 previous = before_variable = place
-                plain = "".join(c for c in token.lower() if c.isalnum())
-                digits = "".join(c for c in token if c in "0123456789")
-                keys = {f"w{plain}"} if len(plain) > 3 else set()
-                if len(digits) > 6:
-                    keys.add(f"d{digits}")
-                if "@" in token:
-                    keys.add("w" + "".join(c for c in token.split("@")[0].lower() if c.isalnum()))
-                for partner in {last[k] for k in keys if k in last}:
-                    self.skip.append((partner, i))
+                self.skip += sorted({(last[k], i) for k in keys if k in last})
                 last.update(dict.fromkeys(keys, i))
             before = raw
 
+    def sample(self, most: int) -> Tokens:
+        """About ``most`` of the tokens, chosen by hash, and the edges between them."""
+        n = len(self.text)
+        if n <= most:
+            return self
+        kept = [i for i in range(n) if zlib.crc32(f"{i}:{self.start[i]}".encode()) * n < most << 32]
+        new, out = {i: k for k, i in enumerate(kept)}, Tokens()
+        columns = (self.text, self.start, self.end, self.known, self.features)
+        out.text, out.start, out.end, out.known, out.features = ([x[i] for i in kept] for x in columns)
+        out.chain, out.skip = ([(new[a], new[b]) for a, b in x if a in new and b in new] for x in (self.chain, self.skip))
+        return out
+
+    @staticmethod
+    def _keys(token: str) -> set[str]:
+        """What makes two tokens the same: letters with digits, many digits, the name in an address."""
+        plain = "".join(c for c in token.lower() if c.isalnum())
+        digits = "".join(c for c in token if c in "0123456789")
+        keys = {f"w{plain}"} if len(plain) > 3 and len(plain) > len(digits) else set()
+        if len(digits) > 6:
+            keys.add(f"d{digits}")
+        if "@" in token and SUSPECT.search(name := token.split("@")[0]):
+            keys.add("w" + "".join(c for c in name.lower() if c.isalnum()))
+        return keys
+
     @staticmethod
     def _features(token: str, raw: str, before: str, before_variable: int, place: int) -> list[int]:
         digits = sum(c in "0123456789" for c in token)
@@ -158,7 +196,7 @@ class Field:
     def train(cls, features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, epochs: int = 120, decay: float = 1e-4) -> Field:
         """Pseudo-likelihood: each token given the labels of its neighbours, by full-batch adaptive gradient."""
         k, n = len(LABELS), len(labels)
-        node, edge = np.zeros((FEATURES, k)), [np.zeros((k, k)), np.zeros((k, k))]
+        node, edge, same = np.zeros((FEATURES, k)), [np.zeros((k, k)), np.eye(k) * SAME], np.eye(k) * SAME
         if n == 0:
             return cls(node, *edge)
         memory = [np.full_like(node, 1e-8), np.full((k, k), 1e-8), np.full((k, k), 1e-8)]
@@ -180,7 +218,7 @@ class Field:
                 np.add.at(g.T, labels[pairs[:, 1]], rest[pairs[:, 0]])
                 grads.append(g)
             for w, g, m in zip((node, *edge), grads, memory, strict=True):
-                g -= decay * w
+                g -= decay * (w - same if w is edge[1] else w)
                 m += g * g
                 w += 0.5 * g / np.sqrt(m)
         return cls(node, *edge)
@@ -188,29 +226,35 @@ class Field:
     def marginals(self, tokens: Tokens) -> np.ndarray:
         """Label probabilities by loopy message passing over all texts of ``tokens`` at once."""
         own = self.node[np.array(tokens.features, dtype=np.int64)].sum(axis=1)
+        known = np.flatnonzero(tokens.known)
+        own[known, np.array(tokens.known, dtype=np.int64)[known]] += EVIDENCE
         pairs = np.array(tokens.chain + tokens.skip, dtype=np.int64).reshape(-1, 2)
         if len(pairs):
             kinds = (np.arange(len(pairs)) >= len(tokens.chain)).astype(np.int64)
             both = np.stack([self.chain, self.skip])
             left, right = pairs.T
             to_right, to_left = np.zeros((len(pairs), len(LABELS))), np.zeros((len(pairs), len(LABELS)))
+            owner = np.unique(np.array(tokens.text)[left], return_inverse=True)[1]
+            unsettled = np.ones(owner.max() + 1, dtype=bool)
             for _ in range(ROUNDS):
+                live = np.flatnonzero(unsettled[owner])
+                if not len(live):
+                    break
                 belief = own.copy()
                 np.add.at(belief, right, to_right)
                 np.add.at(belief, left, to_left)
-                change = 0.0
-                new_right, new_left = np.empty_like(to_right), np.empty_like(to_left)
-                for a in range(0, len(pairs), 20_000):
-                    part = slice(a, a + 20_000)
+                change = np.zeros(len(unsettled))
+                for a in range(0, len(live), 20_000):
+                    part = live[a : a + 20_000]
                     w = both[kinds[part]]
-                    new_right[part] = _lse(belief[left[part]][:, :, None] - to_left[part][:, :, None] + w, 1)
-                    new_left[part] = _lse(belief[right[part]][:, None, :] - to_right[part][:, None, :] + w, 2)
-                for old, new in ((to_right, new_right), (to_left, new_left)):
-                    new -= new.max(axis=1, keepdims=True)
-                    change = max(change, float(np.abs(new - old).max()))
-                    old += 0.7 * (new - old)  # damped, so that loops settle
-                if change < 1e-3:
-                    break
+                    new_right = _lse(belief[left[part]][:, :, None] - to_left[part][:, :, None] + w, 1)
+                    new_left = _lse(belief[right[part]][:, None, :] - to_right[part][:, None, :] + w, 2)
+                    for messages, new in ((to_right, new_right), (to_left, new_left)):
+                        new -= new.max(axis=1, keepdims=True)
+                        apart = new - messages[part]
+                        np.maximum.at(change, owner[part], np.abs(apart).max(axis=1))
+                        messages[part] += 0.7 * apart  # damped, so that loops settle
+                unsettled &= change >= 1e-3
             own = own.copy()
             np.add.at(own, right, to_right)
             np.add.at(own, left, to_left)
@@ -244,7 +288,7 @@ def find(values: list[str], field: Field) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in values]
     tokens = Tokens()
     for i, text in enumerate(values):
-        tokens.add(i, text)
+        tokens.add(i, text, base[i])
     added: list[list] = [[] for _ in values]
     if tokens.text:
         p = field.marginals(tokens)
@@ -270,7 +314,7 @@ def find(values: list[str], field: Field) -> list[tuple[list, list]]:
 
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Field:
     """The field, from about ``rows`` suspect rows chosen by hash; the driver holds their tokens."""
-    suspect = texts(docs, text_col, id_col).where(F.col(text_col).rlike("[0-9@]")).select(
+    suspect = texts(docs, text_col, id_col).where(F.col(text_col).rlike(f"[0-9@]|(?i:{'|'.join(NAMES)})[\"']?\\s*[=:]")).select(
         F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("h")
     )
     n = suspect.count()
@@ -282,7 +326,8 @@ def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = {"features": [], "labels": [], "chain": [], "skip": []}
             for text in batch.column(0).to_pylist():
                 tokens = Tokens()
-                tokens.add(0, text, TRAIN_TOKENS)
+                tokens.add(0, text)
+                tokens = tokens.sample(TRAIN_TOKENS)
                 known = [(k + 1, a, b) for k, a, b in base_spans(text)]
                 known += [(len(LABELS) - 1, *m.span(1)) for m in SECRET.finditer(text)]
                 out["features"].append([f for fs in tokens.features for f in fs])

@@ -128,3 +128,48 @@ def test_odd_rows(spark):
     assert {(1, None, "a"), (2, "", "b"), (3, "[EMAIL]", "c"), (None, "[IP]", None), (7, "😀 [EMAIL] 😀 [PHONE]", "g")} <= hidden
     assert personal_data(docs.limit(0)).collect() == []
     assert redact(docs.limit(0)).collect() == []
+
+
+def test_letters_alone_are_found_after_a_name_and_where_they_repeat(spark, sf_dir):
+    field = train_field(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    word = "abcdefghijklmnopqrst"
+    far = f"password: {word} " + "filler words " * 300 + f"and {word} again, others qrstabcdefghijklmnop not."
+    (base, added), = find([far], field)
+    assert base == [] and ("secret", 10, 30) in added
+    assert [far[a:b] for _, a, b in added] == [word, word]  # the far one by its skip edge alone
+    alone = Field(field.node, field.chain, np.zeros_like(field.skip))
+    assert len(find([far], alone)[0][1]) == 1
+    (_, glued), = find([f"config password={word}; end"], field)
+    assert [("secret", 16, 36)] == glued
+    assert find(["The key: point is the token of secret passwords, no more."], field) == [([], [])]
+
+
+def test_numbers_that_look_like_an_address_stay(spark, sf_dir):
+    field = train_field(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    text = "from 1.2.3.4 in 1234 and info@example.org for info, 20 1234"
+    (base, added), = find([text], field)
+    assert len(base) == 2 and added == []
+
+
+def test_marginals_do_not_depend_on_other_texts():
+    rng = np.random.default_rng(2)
+    k = len(LABELS)
+    field = Field(rng.normal(size=(FEATURES, k)), rng.normal(size=(k, k)), rng.normal(size=(k, k)) * 2)
+    texts = [" ".join(str(rng.integers(0, 10 ** int(rng.integers(1, 9)))) for _ in range(int(n))) + " 12345678 x 12345678" for n in rng.integers(1, 30, 20)]
+    together = Tokens()
+    for i, t in enumerate(texts):
+        together.add(i, t)
+    every, at = field.marginals(together), np.array(together.text)
+    for i, t in enumerate(texts):
+        own = Tokens()
+        own.add(0, t)
+        assert np.abs(field.marginals(own) - every[at == i]).max() < 1e-12
+
+
+def test_sample_by_hash_takes_tokens_from_everywhere():
+    tokens = Tokens()
+    tokens.add(0, " ".join(str(i % 997 + 1000) for i in range(5000)))
+    part = tokens.sample(200)
+    assert 120 < len(part.text) < 300 and max(part.start) > 0.9 * max(tokens.start)
+    assert all(part.start[a] < part.start[b] for a, b in part.chain + part.skip)
+    assert tokens.sample(5000) is tokens
