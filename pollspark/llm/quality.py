@@ -1,24 +1,25 @@
 """Quality rules: counts over words and lines, and language-specific perplexity bands.
 
-The language model is a modified Kneser-Ney model of order 4 over UTF-16 units of
-the text with white space runs made single. Four units pack into one 64-bit key
-without loss, so a key is a perfect hash. Spark counts the keys of all documents:
-tasks pre-aggregate, one shuffle adds up, and the lower orders, discounts and
-interpolated probabilities follow from that table by joins and aggregates. Every
-key a text can ask for has been counted, so the model stores one number per key:
-its probability with all orders interpolated, in sorted arrays by language.
-
-A text's perplexity is two to its bits per word, where a word of ASCII punctuation
-alone does not count: symbols between or after words, capitals, and lists of rare
-words all cost bits, while junk that repeats a pattern would look easy unit by unit.
-Texts outside their language's band are rejected: median -/+ ``WIDTH`` robust
-deviations, wider for short texts (by the root of 1 + ``SHORT`` / words), whose
-means vary more. Median and deviation are exact, over all texts that pass the
+The language model is a modified Kneser-Ney model of order 3 over subword pieces:
+words in order, digits as one, cut into pieces of two UTF-16 units; a piece's code
+tells whether it begins a word. Three codes pack into one 64-bit key (codes are 20-bit
+hashes, so two of a language's pieces rarely share one). Spark counts the keys of all
+documents: tasks pre-aggregate, one shuffle adds up, and the lower orders, discounts
+and interpolated probabilities follow from that table by joins and aggregates. Keys
+span word ends, so their number grows with the corpus, far slower than that of word
+n-grams. A key counted once is its own text's and is judged as if it had not been seen.
+Every key a text can ask for has been counted, so the model stores two numbers per key,
+in sorted arrays by language.
+
+Two figures of a text meet their language's limits, all in robust deviations from the
+median: perplexity (two to the bits per word, where a word of ASCII punctuation alone
+does not count), above and below, and the order gain: the bits that the pieces in front
+save at beginnings of words against word beginnings in no order. Symbols, capitals and
+rare words cost bits; texts of shuffled or random words lose the gain. Deviations are
+median distances of one side, so junk hardly moves them, and grow for short texts (by
+the root of 1 + ``SHORT`` / words). Medians are exact, over all texts that pass the
 counting rules, on values rounded to 1 / ``STEPS`` bits.
 
-Word n-grams would make a table in proportion to the corpus with most keys seen
-once; unit n-grams grow with the alphabet and with junk only, and judge unseen words.
-
 Cases: a null text has no words; a null language is a language of its own; a text
 without words or with fewer than ten fails; repeated rows are judged alike, each on
 its own; an empty table gives no rows.
@@ -38,15 +39,24 @@ from pyspark.sql import functions as F
 from pollspark.llm.common import keyed, map_batches, table, without
 from pollspark.session import materialise
 
-ORDER = 4
-#: Unit in front of a text; no valid text has it.
-START = 0xFFFF
+ORDER = 3
+#: UTF-16 units of a piece, and bits of a piece's code; ``ORDER`` codes fit a signed 64-bit key.
+#: The lowest bit of a code is set where a word begins.
+PIECE, BITS = 2, 21
+#: Code in front of a text; no piece has it.
+START = 0
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-#: Band half width in robust deviations (1.4826 x median absolute deviation, at least ``LEAST`` bits).
-WIDTH, SHORT, LEAST = 9.0, 50, 0.1
+#: Limits in robust deviations (1.4826 x median distance of one side, at least ``LEAST`` bits) from a
+#: language's median: bits per word below and above, order gain below. Limits are wider for short texts.
+LOWER, UPPER, ORDERED = 9.0, 4.5, 3.0
+SHORT, LEAST = 50, 0.02
 STEPS = 1024
+#: Steps of a coarse cell of the histograms.
+CELL = 256
+#: All digits count as one: numbers and codes are no matter of language.
+DIGITS = bytes.maketrans(b"123456789", b"000000000")
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Keys a task holds before it merges them, and model entries (12 bytes each) that may be
 #: broadcast; a larger model is joined by key instead.
@@ -56,27 +66,43 @@ SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 
 
 def _units(words: list[bytes]) -> np.ndarray:
-    line = b" ".join(words).decode("utf-8", "surrogatepass")
+    line = b" ".join(words).translate(DIGITS).decode("utf-8", "surrogatepass")
     return np.frombuffer(line.encode("utf-16-le", "surrogatepass"), dtype="<u2")
 
 
+def codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all pieces of several texts, and the text each belongs to."""
+    units = [_units(words) for words in texts]
+    space = np.full(1, 0x20, dtype=np.uint16)
+    flat = np.concatenate([part for own in units for part in (own, space)] or [space]).astype(np.uint64)
+    gap = flat == 0x20
+    place = np.arange(len(flat))
+    begin = np.maximum.accumulate(np.where(gap, place, -1)) + 1
+    at = np.flatnonzero(~gap & ((place - begin) % PIECE == 0))
+    code = (at == begin[at]).astype(np.uint64)
+    alive = np.ones(len(at), dtype=bool)
+    for k in range(PIECE):
+        there = np.minimum(at + k, len(flat) - 1)
+        alive &= ~gap[there]
+        code = code << np.uint64(16) | np.where(alive, flat[there], 0).astype(np.uint64)
+    code = (code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    code = (code ^ code >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    code = (code ^ code >> np.uint64(31)) % np.uint64((1 << BITS - 1) - 1) + np.uint64(1)
+    code = code << np.uint64(1) | (at == begin[at]).astype(np.uint64)
+    sizes = np.array([len(own) + 1 for own in units], dtype=np.int64)
+    return code, np.repeat(np.arange(len(texts)), sizes)[at] if texts else np.zeros(0, np.int64)
+
+
 def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed keys of all units of several texts, and the text each belongs to."""
-    parts, sizes = [], []
-    for words in texts:
-        units = _units(words)
-        parts += [np.full(ORDER - 1, START, dtype=np.uint16), units]
-        sizes.append(len(units))
-    if not sum(sizes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat = np.concatenate(parts).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), np.asarray(sizes) + ORDER - 1)
-    keys = np.zeros(len(flat) - ORDER + 1, dtype=np.uint64)
-    for k in range(ORDER):
-        keys |= flat[k : len(flat) - ORDER + 1 + k] << np.uint64(16 * (ORDER - 1 - k))
-    place = np.arange(len(flat)) - np.concatenate([[0], np.cumsum(np.asarray(sizes) + ORDER - 1)[:-1]])[owner]
-    real = place[ORDER - 1 :] >= ORDER - 1
-    return keys[real], owner[ORDER - 1 :][real]
+    """Packed keys of all pieces of several texts, and the text each belongs to."""
+    code, owner = codes(texts)
+    keys = code.copy()
+    for back in range(1, ORDER):
+        before = np.full(len(code), START, dtype=np.uint64)
+        same = owner[back:] == owner[:-back]
+        before[back:][same] = code[:-back][same]
+        keys |= before << np.uint64(BITS * back)
+    return keys, owner
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +143,8 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _mask(units: int) -> int:
-    return (1 << (16 * units)) - 1
+def _mask(pieces: int) -> int:
+    return (1 << (BITS * pieces)) - 1
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -137,7 +163,10 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def gram_bits(counts: DataFrame) -> DataFrame:
-    """``(lang, gram, bits)``: minus log2 of the interpolated probability of each counted key's last unit.
+    """``(lang, gram, bits, gain)``: minus log2 of the interpolated probability of each counted key's last piece.
+
+    ``gain`` is what the pieces in front save at a piece that begins a word: its bits as one
+    of all word beginnings, whatever their order, less ``bits``; 0 at other pieces.
 
     ``counts`` is read several times (``materialise`` it). Lower orders count the
     distinct units in front (continuation counts), as the method asks.
@@ -148,7 +177,7 @@ def gram_bits(counts: DataFrame) -> DataFrame:
         levels[k] = materialise(levels[k + 1].groupBy("lang", suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")))
     lower = None
     for k in range(1, ORDER + 1):
-        context = F.shiftrightunsigned("key", 16) if k > 1 else F.lit(0).cast("long")
+        context = F.shiftrightunsigned("key", BITS) if k > 1 else F.lit(0).cast("long")
         rows = levels[k].withColumn("__ctx", context)
         stats = rows.groupBy("lang", "__ctx").agg(
             F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
@@ -165,22 +194,32 @@ def gram_bits(counts: DataFrame) -> DataFrame:
             suffix = F.col("key").bitwiseAND(F.lit(_mask(k - 1)))
             joined = joined.join(part, F.col("lang").eqNullSafe(F.col("__llang")) & (suffix == F.col("__lkey")))
             below = F.col("__below")
-        p = (F.col("n") - discount) / F.col("total") + gamma * below
+        seen = F.when(F.col("n") > 1, (F.col("n") - discount) / F.col("total")).otherwise(0.0)
+        p = seen + gamma * below
         lower = joined.select("lang", "key", p.alias("p"))
         if k < ORDER:
             lower = materialise(lower)
-    return lower.select("lang", F.col("key").alias("gram"), (-F.log2("p")).alias("bits"))
+    last = F.col("gram").bitwiseAND(F.lit(_mask(1)))
+    begins = materialise(
+        counts.where(F.col("gram").bitwiseAND(F.lit(1)) == 1).groupBy(F.col("lang").alias("__lang"), last.alias("__last")).agg(F.sum("n").alias("__n"))
+    )
+    words = begins.groupBy(F.col("__lang").alias("__wlang")).agg(F.sum("__n").alias("__words"))
+    free = begins.join(words, F.col("__lang").eqNullSafe(F.col("__wlang"))).select("__lang", "__last", F.log2(F.col("__words") / F.col("__n")).alias("__free"))
+    model = lower.select("lang", F.col("key").alias("gram"), (-F.log2("p")).alias("bits"))
+    return model.join(free, F.col("lang").eqNullSafe(F.col("__lang")) & (last == F.col("__last")), "left").select(
+        "lang", "gram", "bits", F.coalesce(F.col("__free") - F.col("bits"), F.lit(0.0)).alias("gain")
+    )
 
 
 def sorted_arrays(model: DataFrame) -> DataFrame:
-    """The model as stored: rows ``(lang, shard, keys, bits)`` with both arrays sorted by key.
+    """The model as stored: rows ``(lang, shard, keys, bits, gain)`` with all arrays sorted by key.
 
     A shard is a range of keys with the same leading unit bits, so shards in order make one sorted array.
     """
     shard = F.shiftrightunsigned("gram", 56)
-    pairs = F.array_sort(F.collect_list(F.struct("gram", "bits")))
+    pairs = F.array_sort(F.collect_list(F.struct("gram", "bits", "gain")))
     return model.groupBy("lang", shard.alias("shard")).agg(pairs.alias("__pairs")).select(
-        "lang", "shard", F.col("__pairs.gram").alias("keys"), F.col("__pairs.bits").alias("bits")
+        "lang", "shard", F.col("__pairs.gram").alias("keys"), F.col("__pairs.bits").alias("bits"), F.col("__pairs.gain").alias("gain")
     )
 
 
@@ -238,25 +277,26 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
     if broadcast:
         parts: dict[str | None, list] = {}
         for row in sorted_arrays(model).orderBy("lang", "shard").toArrow().to_batches():
-            for lang, keys, bits in zip(row.column("lang").to_pylist(), row.column("keys"), row.column("bits"), strict=True):
-                parts.setdefault(lang, []).append((keys.values.to_numpy().view(np.uint64), bits.values.to_numpy().astype(np.float32)))
+            for lang, keys, *costs in zip(row.column("lang").to_pylist(), *(row.column(c) for c in ("keys", "bits", "gain")), strict=True):
+                parts.setdefault(lang, []).append((keys.values.to_numpy().view(np.uint64), *(c.values.to_numpy().astype(np.float32) for c in costs)))
         arrays = {lang: tuple(map(np.concatenate, zip(*found, strict=True))) for lang, found in parts.items()}
         shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
                 out, words, by = read(batch)
-                bits = np.zeros(batch.num_rows)
+                sums = np.zeros((2, batch.num_rows))
                 for lang, rows_ in by:
                     keys, owner = grams([words[i] for i in rows_])
                     if len(keys):
-                        known, values = shared.value[lang]
+                        known, *costs = shared.value[lang]
                         own, where = np.unique(keys, return_inverse=True)
-                        cost = values[np.searchsorted(known, own)][where]
-                        bits[rows_] = np.bincount(owner, weights=cost, minlength=len(rows_))
-                yield out | {"bits": bits}
+                        found = np.searchsorted(known, own)
+                        for kind_, cost in enumerate(costs):
+                            sums[kind_, rows_] = np.bincount(owner, weights=cost[found][where], minlength=len(rows_))
+                yield out | {"bits": sums[0], "gain": sums[1]}
 
-        return map_batches(rows, score, f"{base}, bits double")
+        return map_batches(rows, score, f"{base}, bits double, gain double")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         row = TaskContext.get().partitionId() << 40
@@ -276,51 +316,84 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
         "__row", "__lang", F.col("k.gram").alias("__gram"), F.col("k.n").alias("__n")
     )
     found = wanted.join(model, F.col("__lang").eqNullSafe(model["lang"]) & (F.col("__gram") == F.col("gram")))
-    bits = found.groupBy("__row").agg(F.sum(F.col("__n") * F.col("bits").cast("float")).alias("bits"))
-    return asked.join(bits, "__row", "left").select(
-        *[c for c in asked.columns if not c.startswith("__")], F.coalesce("bits", F.lit(0.0)).alias("bits")
+    costs = ("bits", "gain")
+    sums = found.groupBy("__row").agg(*[F.sum(F.col("__n") * F.col(c).cast("float")).alias(c) for c in costs])
+    return asked.join(sums, "__row", "left").select(
+        *[c for c in asked.columns if not c.startswith("__")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in costs]
     )
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
-    """``(lang, middle, half)`` in bits per word: exact median and median deviation over ``__step`` histograms."""
-    hist = scored.groupBy("lang", "__step").agg(F.count(F.lit(1)).alias("__n"))
-
-    def median(values: DataFrame, name: str) -> DataFrame:
-        along = Window.partitionBy("lang").orderBy("__step")
-        total = Window.partitionBy("lang")
-        marked = values.withColumns({"__up": F.sum("__n").over(along), "__all": F.sum("__n").over(total)})
-        return marked.where(2 * F.col("__up") >= F.col("__all")).groupBy(F.col("lang").alias("__l")).agg(F.min("__step").alias(name))
-
-    middle = median(hist, "__mid")
-    away = hist.join(middle, F.col("lang").eqNullSafe(F.col("__l"))).select(
-        "lang", F.abs(F.col("__step") - F.col("__mid")).alias("__step"), "__n"
-    ).groupBy("lang", "__step").agg(F.sum("__n").alias("__n"))
-    spread = median(away, "__mad").select(F.col("__l").alias("__l2"), "__mad")
-    half = width * F.greatest(F.lit(LEAST), F.lit(1.4826) * F.col("__mad") / STEPS)
-    return middle.join(spread, F.col("__l").eqNullSafe(F.col("__l2"))).select(
-        F.col("__l").alias("__lang"), (F.col("__mid") / STEPS).alias("middle"), half.alias("half")
+def bands(scored: DataFrame, measures: tuple[str, ...] = ("__mean", "__gain")) -> DataFrame:
+    """``(__lang, <measure>_mid, <measure>_down, <measure>_up)`` of values in whole steps, by language.
+
+    Exact median of each measure, and for each side the median distance of the values on that
+    side (x 1.4826, in bits), so that a long tail of one side widens that side only.
+    """
+    each = F.array(*[F.struct(F.lit(name).alias("__measure"), F.col(name).alias("__v")) for name in measures])
+    values = scored.select("lang", F.explode(each).alias("__e")).select("lang", "__e.*")
+    hist = materialise(values.groupBy("lang", "__measure", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    middle = materialise(_median(hist, "lang", "__measure"))
+    sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("__side")
+    away = _matched(hist, middle, "lang", "__measure").select("lang", "__measure", "__n", F.col("__v") - F.col("__m"), sides).toDF(
+        "lang", "__measure", "__n", "__v", "__side"
+    ).withColumn("__v", F.col("__side") * F.col("__v")).where(F.col("__v") >= 0)
+    spread = _median(away, "lang", "__measure", "__side").withColumn("__m", F.greatest(F.lit(LEAST), F.lit(1.4826) * F.col("__m") / STEPS))
+    found = middle.select("lang", "__measure", F.lit(0).alias("__side"), (F.col("__m") / STEPS).alias("__m")).unionByName(spread)
+    names = {0: "mid", -1: "down", 1: "up"}
+    return found.groupBy(F.col("lang").alias("__lang")).agg(*[
+        F.max(F.when((F.col("__measure") == name) & (F.col("__side") == side), F.col("__m"))).alias(f"{name}_{word}")
+        for name in measures for side, word in names.items()
+    ])
+
+
+def _matched(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Inner join on equal keys, null with null; ``rows``' keys stay."""
+    own = other.select(*[F.col(k).alias(f"{k}__o") if k in keys else F.col(k) for k in other.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__o")) for k in keys]
+    return rows.join(own, on).drop(*[f"{k}__o" for k in keys])
+
+
+def _median(values: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, __m)``: the lower median of ``__v`` with ``__n`` copies each: its coarse cell first, then its step."""
+    cells = values.groupBy(*keys, F.floor(F.col("__v") / CELL).alias("__cell")).agg(F.sum("__n").alias("__c"))
+    along = Window.partitionBy(*keys).orderBy("__cell")
+    marked = cells.withColumns({"__up": F.sum("__c").over(along), "__all": F.sum("__c").over(Window.partitionBy(*keys))})
+    before = F.col("__up") - F.col("__c")
+    first = marked.where((2 * F.col("__up") >= F.col("__all")) & (2 * before < F.col("__all"))).select(
+        *keys, F.col("__cell").alias("__at"), before.alias("__before"), "__all"
     )
+    inside = _matched(values, first, *keys).where(F.floor(F.col("__v") / CELL) == F.col("__at"))
+    steps = inside.groupBy(*keys, "__v", "__before", "__all").agg(F.sum("__n").alias("__n"))
+    steps = steps.withColumn("__up", F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v")))
+    return steps.where(2 * F.col("__up") >= F.col("__all")).groupBy(*keys).agg(F.min("__v").alias("__m"))
 
 
 def judge(
-    docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", width: float = WIDTH,
-    broadcast_entries: int = BROADCAST_ENTRIES,
+    docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
+    widths: tuple[float, float, float] = (LOWER, UPPER, ORDERED), broadcast_entries: int = BROADCAST_ENTRIES,
 ) -> DataFrame:
-    """Counts, perplexity, band and verdict of every text: ``(id, lang, counts, base_failed, perplexity, lower, upper, kept)``."""
+    """Counts, perplexity, order gain, limits and verdict of every text.
+
+    ``(id, lang, counts, base_failed, perplexity, lower, upper, gain, least_gain, kept)``; ``gain`` is in bits per word.
+    """
     counts = materialise(count_grams(docs, lang_col, text_col))
     model = materialise(gram_bits(counts))
     scored = materialise(_scored(docs, model, counts.count() <= broadcast_entries, id_col, lang_col, text_col))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    mean = F.col("bits") / F.col("spoken")
-    scored = scored.withColumns({"base_failed": failed, "__mean": mean, "__step": F.round(mean * STEPS).cast("long")})
-    limits = bands(scored.where(~F.col("base_failed")), width)
-    half = F.col("half") * F.sqrt(1 + F.lit(SHORT) / F.col("spoken"))
-    inside = F.abs(F.col("__mean") - F.col("middle")) <= half
+    mean, gain = F.col("bits") / F.col("spoken"), F.col("gain") / F.greatest("n_words", F.lit(1))
+    scored = scored.withColumns({"base_failed": failed, "__bits": mean, "__order": gain})
+    steps = {"__mean": F.round(F.col("__bits") * STEPS).cast("long"), "__gain": F.round(F.col("__order") * STEPS).cast("long")}
+    limits = bands(scored.where(~F.col("base_failed")).withColumns(steps))
+    wider = F.sqrt(1 + F.lit(SHORT) / F.col("spoken"))
+    low, high, ordered = widths
+    lower = F.col("__mean_mid") - low * F.col("__mean_down") * wider
+    upper = F.col("__mean_mid") + high * F.col("__mean_up") * wider
+    least = F.col("__gain_mid") - ordered * F.col("__gain_down") * wider
+    inside = F.col("__bits").between(lower, upper) & (F.col("__order") >= least)
     return scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").select(
         id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.pow(F.lit(2.0), "__mean").alias("perplexity"), F.pow(F.lit(2.0), F.col("middle") - half).alias("lower"),
-        F.pow(F.lit(2.0), F.col("middle") + half).alias("upper"),
+        F.pow(F.lit(2.0), "__bits").alias("perplexity"), F.pow(F.lit(2.0), lower).alias("lower"),
+        F.pow(F.lit(2.0), upper).alias("upper"), F.col("__order").alias("gain"), least.alias("least_gain"),
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
     )
 
@@ -336,5 +409,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict on every document."""
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        F.round(F.log2("perplexity"), 6).alias("bits_per_word"),
+        F.round(F.log2("perplexity"), 6).alias("bits_per_word"), F.round("gain", 6).alias("order_gain"),
     )

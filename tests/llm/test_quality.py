@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from pollspark.llm.quality import LEAST, SHORT, STEPS, WIDTH, count_grams, gram_bits, judge, op8_quality_rules
+from pollspark.llm.quality import LEAST, LOWER, ORDERED, SHORT, STEPS, UPPER, count_grams, gram_bits, judge, op8_quality_rules
 from pollspark.session import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,14 +26,31 @@ def plain_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(marked)
 
 
-def plain_bits(texts):
-    """Bits of each 4-gram by modified Kneser-Ney, from the definition."""
-    grams = Counter()
-    for text in texts:
-        line = "￿" * 3 + " ".join(WORD.findall(text))
-        grams.update(line[i : i + 4] for i in range(len(line) - 3))
-    counts = {4: grams}
-    for k in (3, 2, 1):
+def plain_pieces(text):
+    """Codes of the pieces of a text, from the definition, in arithmetic modulo 2 ** 64."""
+    out = []
+    for word in WORD.findall(text):
+        word = re.sub("[0-9]", "0", word)
+        units = [int.from_bytes(word.encode("utf-16-le")[i : i + 2], "little") for i in range(0, len(word.encode("utf-16-le")), 2)]
+        for i in range(0, len(units), 2):
+            pair = (units[i : i + 2] + [0])[:2]
+            x = (i == 0) << 32 | pair[0] << 16 | pair[1]
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 32) * 0x94D049BB133111EB % 2**64
+            out.append(((x ^ x >> 31) % (2**20 - 1) + 1) << 1 | (i == 0))
+    return out
+
+
+def plain_grams(text):
+    line = [0, 0, *plain_pieces(text)]
+    return [tuple(line[i : i + 3]) for i in range(len(line) - 2)]
+
+
+def plain_model(texts):
+    """Bits and order gain of each 3-gram by modified Kneser-Ney, from the definition; once seen is not seen."""
+    grams = Counter(g for text in texts for g in plain_grams(text))
+    counts = {3: grams}
+    for k in (2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
 
     def discounts(table):
@@ -49,50 +66,60 @@ def plain_bits(texts):
     for k, table in counts.items():
         for g, c in table.items():
             by_context[k][g[:-1]].append(c)
+    sums = {k: {g: (sum(v), sum(d[k][min(c, 3)] for c in v)) for g, v in by_context[k].items()} for k in counts}
 
     def p(g):
         k = len(g)
         if k == 0:
             return 1 / (len(counts[1]) + 1)
-        values = by_context[k][g[:-1]]
-        gamma = sum(d[k][min(c, 3)] for c in values) / sum(values)
-        return (counts[k][g] - d[k][min(counts[k][g], 3)]) / sum(values) + gamma * p(g[1:])
+        n, (total, gamma) = counts[k][g], sums[k][g[:-1]]
+        return ((n - d[k][min(n, 3)]) / total if n > 1 else 0) + gamma / total * p(g[1:])
 
-    return {g: -math.log2(p(g)) for g in grams}
+    begins = Counter()
+    for g, n in grams.items():
+        if g[-1] & 1:
+            begins[g[-1]] += n
+    words = sum(begins.values())
+    bits = {g: -math.log2(p(g)) for g in grams}
+    return {g: (b, math.log2(words / begins[g[-1]]) - b if g[-1] & 1 else 0.0) for g, b in bits.items()}
 
 
 def packed(gram):
-    key = 0
-    for c in gram:
-        key = key << 16 | ord(c)
-    return key - (1 << 64) if key >> 63 else key
+    return gram[0] << 42 | gram[1] << 21 | gram[2]
 
 
 def test_model_follows_the_definition(spark):
     rng = random.Random(2)
-    rows = [("en", " ".join(rng.choice(["the", "thé", "a", "on", "x#"]) for _ in range(rng.randint(0, 30)))) for _ in range(60)]
+    rows = [("en", " ".join(rng.choice(["the", "thé", "a", "on", "x#", "19a7"]) for _ in range(rng.randint(0, 30)))) for _ in range(60)]
     rows += [(None, "une deux  trois\nquatre une"), ("en", None)]
     counts = materialise(count_grams(spark.createDataFrame(rows, "lang string, text string")))
     got = defaultdict(dict)
     for r in gram_bits(counts).collect():
-        got[r.lang][r.gram] = r.bits
+        got[r.lang][r.gram] = (r.bits, r.gain)
     for lang in ("en", None):
-        expected = plain_bits([t or "" for k, t in rows if k == lang])
-        assert got[lang] == pytest.approx({packed(g): b for g, b in expected.items()})
+        expected = plain_model([t or "" for k, t in rows if k == lang])
+        assert set(got[lang]) == {packed(g) for g in expected}
+        for g, pair in expected.items():
+            assert got[lang][packed(g)] == pytest.approx(pair)
+
+
+def lower_median(values):
+    return sorted(values)[(len(values) - 1) // 2]
 
 
 def test_all_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").collect()
     rows = {r.doc_id: r for r in op8_quality_rules(spark, sf_dir).collect()}
     assert len(rows) == len(docs)
-    means, passed = {}, defaultdict(list)
+    means, gains, passed = {}, {}, defaultdict(list)
     for lang in {d.lang for d in docs}:
         own = [d for d in docs if d.lang == lang]
-        bits = plain_bits([d.text for d in own])
+        model = plain_model([d.text for d in own])
         for d in own:
-            line = "￿" * 3 + " ".join(WORD.findall(d.text))
-            spoken = sum(bool(re.search(r"[^!-/:-@\[-`{-~]", w)) for w in WORD.findall(d.text))
-            means[d.doc_id] = (sum(bits[line[i : i + 4]] for i in range(len(line) - 3)) / max(1, spoken), max(1, spoken))
+            words, found = WORD.findall(d.text), plain_grams(d.text)
+            spoken = sum(bool(re.search(r"[^!-/:-@\[-`{-~]", w)) for w in words)
+            means[d.doc_id] = (sum(model[g][0] for g in found) / max(1, spoken), max(1, spoken))
+            gains[d.doc_id] = sum(model[g][1] for g in found) / max(1, len(words))
     for d in docs:
         r, counts = rows[d.doc_id], plain_counts(d.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
@@ -100,26 +127,56 @@ def test_all_documents(spark, sf_dir):
         if not r.base_failed:
             passed[d.lang].append(d.doc_id)
     for ids in passed.values():
-        steps = sorted(round(means[i][0] * STEPS) for i in ids)
-        middle = steps[(len(steps) - 1) // 2]
-        away = sorted(abs(s - middle) for s in steps)
-        half = WIDTH * max(LEAST, 1.4826 * away[(len(away) - 1) // 2] / STEPS)
+        middle, down, up = {}, {}, {}
+        for name, of in (("bits", lambda i: means[i][0]), ("gain", lambda i: gains[i])):
+            steps = [round(of(i) * STEPS) for i in ids]
+            middle[name] = lower_median(steps) / STEPS
+            for side, into in ((-1, down), (1, up)):
+                away = [side * (v - lower_median(steps)) for v in steps if side * (v - lower_median(steps)) >= 0]
+                into[name] = max(LEAST, 1.4826 * lower_median(away) / STEPS)
         for i in ids:
             mean, spoken = means[i]
-            limit = half * math.sqrt(1 + SHORT / spoken)
+            wider = math.sqrt(1 + SHORT / spoken)
             assert rows[i].bits_per_word == pytest.approx(mean, abs=1e-4)
-            if abs(abs(mean - middle / STEPS) - limit) > 0.01:
-                assert rows[i].kept == (abs(mean - middle / STEPS) <= limit)
+            assert rows[i].order_gain == pytest.approx(gains[i], abs=1e-4)
+            room = min(
+                mean - middle["bits"] + LOWER * down["bits"] * wider, middle["bits"] + UPPER * up["bits"] * wider - mean,
+                gains[i] - middle["gain"] + ORDERED * down["gain"] * wider,
+            )
+            if abs(room) > 0.02:
+                assert rows[i].kept == (room > 0)
     assert not any(r.kept for r in rows.values() if r.base_failed)
 
 
 def test_keeps_clean_and_rejects_junk(spark, sf_dir):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    rows = [r for r in op8_quality_rules(spark, sf_dir).collect() if r.doc_id in labels and not r.base_failed]
-    clean = [r.kept for r in rows if labels[r.doc_id] == 1]
-    junk = [r.kept for r in rows if labels[r.doc_id] == 0]
-    assert sum(clean) >= 0.99 * len(clean)
-    assert sum(junk) <= 0.2 * len(junk)
+    """Clean texts stay and labelled junk goes, also beside junk of some 10 % made of clean texts' words and letters."""
+    folder = sf_dir.replace("sf0.001", "sf0.1").replace("sf0.01", "sf0.1")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    rng = random.Random(3)
+    found = docs.collect()
+    clean = [r for r in found if labels.get(r.doc_id) == 1 and len((r.text or "").split()) >= 200]
+    lexicon = defaultdict(list)
+    for r in found:
+        lexicon[r.lang] += (r.text or "").split()
+    junk = []
+    for i, r in enumerate(rng.sample(clean, 300)):
+        words = r.text.split()
+        rng.shuffle(words)
+        junk.append((-1 - 3 * i, r.lang, " ".join(words)))
+        junk.append((-2 - 3 * i, r.lang, " ".join(rng.choice(lexicon[r.lang]) for _ in range(200))))
+        junk.append((-3 - 3 * i, r.lang, "".join(rng.sample(r.text, len(r.text)))))
+    both = docs.unionByName(spark.createDataFrame(junk, "doc_id long, lang string, text string"))
+    alone, beside = ({r.doc_id: r for r in judge(t).collect()} for t in (docs, both))
+    for got in (alone, beside):
+        judged = [r for r in got.values() if r.doc_id in labels and not r.base_failed]
+        good = [r.kept for r in judged if labels[r.doc_id] == 1]
+        bad = [r.kept for r in judged if labels[r.doc_id] == 0]
+        assert sum(good) >= 0.99 * len(good)
+        assert sum(bad) <= 0.2 * len(bad)
+    assert sum(beside[i].kept != r.kept for i, r in alone.items()) <= 0.02 * len(alone)
+    for kind in range(3):
+        assert sum(beside[-1 - kind - 3 * i].kept for i in range(300)) <= 30
 
 
 ODD = [
