@@ -8,8 +8,8 @@ documents: tasks pre-aggregate, one shuffle adds up, and the lower orders, disco
 and interpolated probabilities follow from that table by joins and aggregates. Keys
 span word ends, so their number grows with the corpus, far slower than that of word
 n-grams. A key counted once is its own text's and is judged as if it had not been seen.
-Every key a text can ask for has been counted, so the model stores two numbers per key,
-in sorted arrays by language.
+Every key a text can ask for has been counted, so the model stores one number per key, in
+sorted arrays by language, and one per piece that begins words.
 
 Two figures of a text meet their language's limits, all in robust deviations from the
 median: perplexity (two to the bits per word, where a word of ASCII punctuation alone
@@ -212,16 +212,23 @@ def gram_bits(counts: DataFrame) -> DataFrame:
 
 
 def sorted_arrays(model: DataFrame) -> DataFrame:
-    """The model as stored: rows ``(lang, shard, keys, bits, gain)`` with all arrays sorted by key.
+    """The model as stored: rows ``(lang, shard, keys, bits)``, little-endian longs sorted by key and their floats.
 
     A shard is a range of keys with the same leading unit bits, so shards in order make one sorted array.
     """
     shard = F.shiftrightunsigned("gram", 56)
-    pairs = F.array_sort(F.collect_list(F.struct("gram", "bits", "gain")))
-    return model.groupBy("lang", shard.alias("shard")).agg(pairs.alias("__pairs")).select(
-        "lang", "shard", F.col("__pairs.gram").alias("keys"), F.col("__pairs.bits").alias("bits"), F.col("__pairs.gain").alias("gain")
+    pairs = F.array_sort(F.collect_list(F.struct("gram", F.col("bits").cast("float").alias("bits"))))
+    rows = model.groupBy("lang", shard.alias("shard")).agg(pairs.alias("__pairs")).select(
+        "lang", "shard", F.col("__pairs.gram").alias("keys"), F.col("__pairs.bits").alias("bits")
     )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            parts = [[v.values.to_numpy().tobytes() for v in batch.column(c)] for c in ("keys", "bits")]
+            yield {"lang": batch.column("lang"), "shard": batch.column("shard"), "keys": parts[0], "bits": parts[1]}
+
+    return map_batches(rows.orderBy("lang", "shard"), pack, "lang string, shard long, keys binary, bits binary")
+
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside windows that are found twice or more in the text."""
@@ -276,10 +283,17 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
 
     if broadcast:
         parts: dict[str | None, list] = {}
-        for row in sorted_arrays(model).orderBy("lang", "shard").toArrow().to_batches():
-            for lang, keys, *costs in zip(row.column("lang").to_pylist(), *(row.column(c) for c in ("keys", "bits", "gain")), strict=True):
-                parts.setdefault(lang, []).append((keys.values.to_numpy().view(np.uint64), *(c.values.to_numpy().astype(np.float32) for c in costs)))
-        arrays = {lang: tuple(map(np.concatenate, zip(*found, strict=True))) for lang, found in parts.items()}
+        for row in sorted_arrays(model).toLocalIterator():  # one part at a time
+            parts.setdefault(row.lang, []).append((row["keys"], row["bits"]))
+        arrays = {}
+        for lang in list(parts):
+            keys, bits = (b"".join(found) for found in zip(*parts.pop(lang), strict=True))
+            arrays[lang] = [np.frombuffer(keys, dtype=np.uint64), np.frombuffer(bits, dtype=np.float32)]
+        last = F.col("gram").bitwiseAND(F.lit(_mask(1)))
+        begin = model.where(last.bitwiseAND(F.lit(1)) == 1).groupBy("lang", last.alias("code")).agg(F.max(F.col("bits") + F.col("gain")).alias("free"))
+        for lang, own in begin.toPandas().groupby("lang", dropna=False):
+            own = own.sort_values("code")
+            arrays[lang if isinstance(lang, str) else None] += [own["code"].to_numpy().astype(np.uint64), own["free"].to_numpy()]
         shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -289,11 +303,14 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
                 for lang, rows_ in by:
                     keys, owner = grams([words[i] for i in rows_])
                     if len(keys):
-                        known, *costs = shared.value[lang]
+                        known, bits, begins, free = shared.value[lang]
                         own, where = np.unique(keys, return_inverse=True)
-                        found = np.searchsorted(known, own)
-                        for kind_, cost in enumerate(costs):
-                            sums[kind_, rows_] = np.bincount(owner, weights=cost[found][where], minlength=len(rows_))
+                        cost = bits[np.searchsorted(known, own)]
+                        code = own & np.uint64(_mask(1))
+                        at = np.minimum(np.searchsorted(begins, code), len(begins) - 1)
+                        gain = np.where(begins[at] == code, free[at] - cost, 0)
+                        for kind_, values in enumerate((cost, gain)):
+                            sums[kind_, rows_] = np.bincount(owner, weights=values[where], minlength=len(rows_))
                 yield out | {"bits": sums[0], "gain": sums[1]}
 
         return map_batches(rows, score, f"{base}, bits double, gain double")
