@@ -8,8 +8,9 @@ documents: tasks pre-aggregate, one shuffle adds up, and the lower orders, disco
 and interpolated probabilities follow from that table by joins and aggregates. Keys
 span word ends, so their number grows with the corpus, far slower than that of word
 n-grams. A key counted once is its own text's and is judged as if it had not been seen.
-Every key a text can ask for has been counted, so the model stores two numbers per key,
-in sorted arrays by language.
+Every key a text can ask for has been counted, so the model stores one number per key
+counted more than once, per pair of pieces and per context, in sorted arrays by language;
+a key counted once has its context's and its pair's.
 
 Two figures of a text meet their language's limits, all in robust deviations from the
 median: perplexity (two to the bits per word, where a word of ASCII punctuation alone
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +60,11 @@ CELL = 256
 #: All digits count as one: numbers and codes are no matter of language.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Keys a task holds before it merges them, and model entries (12 bytes each) that may be
-#: broadcast; a larger model is joined by key instead.
+#: Parts of a broadcast model, and the pieces in a key of each.
+TRIPLE, PAIR, CONTEXT, BEGIN = 3, 2, 0, 1
+PIECES = {TRIPLE: 3, PAIR: 2, CONTEXT: 2, BEGIN: 1}
+#: Keys a task holds before it merges them, and keys counted more than once (12 bytes each) that
+#: may be broadcast; a larger model is joined by key instead.
 HELD = 2_000_000
 BROADCAST_ENTRIES = 8_000_000
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -153,23 +158,45 @@ def _discounts(counts: DataFrame) -> DataFrame:
     Where a count of counts is zero, the discount takes the usual 0.5, 1 or 1.5.
     """
     n = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))  # Spark may divide before it looks at the condition
 
     def discount(i: int, default: float):
-        value = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        value = i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}")
         return F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0) & (value > 0), value).otherwise(default).alias(f"d{i}")
 
     return counts.groupBy("lang").agg(*n).select(F.col("lang").alias("__lang"), discount(1, 0.5), discount(2, 1.0), discount(3, 1.5))
 
 
-def gram_bits(counts: DataFrame) -> DataFrame:
-    """``(lang, gram, bits, gain)``: minus log2 of the interpolated probability of each counted key's last piece.
-
-    ``gain`` is what the pieces in front save at a piece that begins a word: its bits as one
-    of all word beginnings, whatever their order, less ``bits``; 0 at other pieces.
-
-    ``counts`` is read several times (``materialise`` it). Lower orders count the
-    distinct units in front (continuation counts), as the method asks.
+def _weights(rows: DataFrame) -> DataFrame:
+    """``(__slang, __sctx, total, kinds, gamma, d1, d2, d3)`` of every context: ``gamma`` is what it leaves to the order below."""
+    stats = rows.groupBy(F.col("lang").alias("__slang"), F.col("__ctx").alias("__sctx")).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
+        *[F.sum((F.col("n") == i).cast("long")).alias(f"u{i}") for i in (1, 2)], F.sum((F.col("n") > 2).cast("long")).alias("u3"),
+    )
+    gamma = (F.col("d1") * F.col("u1") + F.col("d2") * F.col("u2") + F.col("d3") * F.col("u3")) / F.col("total")
+    own = stats.join(_discounts(rows), F.col("__slang").eqNullSafe(F.col("__lang")))
+    return own.select("__slang", "__sctx", "total", "kinds", gamma.alias("gamma"), "d1", "d2", "d3")
+
+
+def _interpolated(rows: DataFrame, weights: DataFrame, lower: DataFrame | None, k: int) -> DataFrame:
+    """``(lang, key, p)`` of the keys of order ``k``; ``lower`` has the order below."""
+    joined = rows.join(weights, F.col("lang").eqNullSafe(F.col("__slang")) & (F.col("__ctx") == F.col("__sctx")))
+    if lower is None:
+        below = 1 / (F.col("kinds") + 1)  # one place for any unit not seen
+    else:
+        part = lower.select(F.col("lang").alias("__llang"), F.col("key").alias("__lkey"), F.col("p").alias("__below"))
+        suffix = F.col("key").bitwiseAND(F.lit(_mask(k - 1)))
+        joined = joined.join(part, F.col("lang").eqNullSafe(F.col("__llang")) & (suffix == F.col("__lkey")))
+        below = F.col("__below")
+    discount = F.when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    seen = F.when(F.col("n") > 1, (F.col("n") - discount) / F.col("total")).otherwise(0.0)
+    return joined.select("lang", "key", (seen + F.col("gamma") * below).alias("p"))
+
+
+def _orders(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the highest order, the weights of its contexts, and the probabilities one order below.
+
+    Lower orders count the distinct units in front (continuation counts), as the method asks.
     """
     levels = {ORDER: counts.select("lang", F.col("gram").alias("key"), "n")}
     for k in range(ORDER - 1, 0, -1):
@@ -179,50 +206,101 @@ def gram_bits(counts: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         context = F.shiftrightunsigned("key", BITS) if k > 1 else F.lit(0).cast("long")
         rows = levels[k].withColumn("__ctx", context)
-        stats = rows.groupBy("lang", "__ctx").agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
-            *[F.sum((F.col("n") == i).cast("long")).alias(f"u{i}") for i in (1, 2)], F.sum((F.col("n") > 2).cast("long")).alias("u3"),
-        ).select(F.col("lang").alias("__slang"), F.col("__ctx").alias("__sctx"), "total", "kinds", "u1", "u2", "u3")
-        joined = rows.join(stats, F.col("lang").eqNullSafe(F.col("__slang")) & (F.col("__ctx") == F.col("__sctx")))
-        joined = joined.join(_discounts(levels[k]), F.col("lang").eqNullSafe(F.col("__lang")))
-        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        gamma = (F.col("d1") * F.col("u1") + F.col("d2") * F.col("u2") + F.col("d3") * F.col("u3")) / F.col("total")
-        if lower is None:
-            below = 1 / (F.col("kinds") + 1)  # one place for any unit not seen
-        else:
-            part = lower.select(F.col("lang").alias("__llang"), F.col("key").alias("__lkey"), F.col("p").alias("__below"))
-            suffix = F.col("key").bitwiseAND(F.lit(_mask(k - 1)))
-            joined = joined.join(part, F.col("lang").eqNullSafe(F.col("__llang")) & (suffix == F.col("__lkey")))
-            below = F.col("__below")
-        seen = F.when(F.col("n") > 1, (F.col("n") - discount) / F.col("total")).otherwise(0.0)
-        p = seen + gamma * below
-        lower = joined.select("lang", "key", p.alias("p"))
+        weights = _weights(rows)
         if k < ORDER:
-            lower = materialise(lower)
+            lower = materialise(_interpolated(rows, weights, lower, k))
+    return rows, materialise(weights), lower
+
+
+def _free(counts: DataFrame) -> DataFrame:
+    """``(__lang, __last, __free)``: bits of each piece that begins words, as one of all word beginnings in no order."""
     last = F.col("gram").bitwiseAND(F.lit(_mask(1)))
     begins = materialise(
         counts.where(F.col("gram").bitwiseAND(F.lit(1)) == 1).groupBy(F.col("lang").alias("__lang"), last.alias("__last")).agg(F.sum("n").alias("__n"))
     )
     words = begins.groupBy(F.col("__lang").alias("__wlang")).agg(F.sum("__n").alias("__words"))
-    free = begins.join(words, F.col("__lang").eqNullSafe(F.col("__wlang"))).select("__lang", "__last", F.log2(F.col("__words") / F.col("__n")).alias("__free"))
-    model = lower.select("lang", F.col("key").alias("gram"), (-F.log2("p")).alias("bits"))
-    return model.join(free, F.col("lang").eqNullSafe(F.col("__lang")) & (last == F.col("__last")), "left").select(
+    return begins.join(words, F.col("__lang").eqNullSafe(F.col("__wlang"))).select("__lang", "__last", F.log2(F.col("__words") / F.col("__n")).alias("__free"))
+
+
+def gram_bits(counts: DataFrame) -> DataFrame:
+    """``(lang, gram, bits, gain)``: minus log2 of the interpolated probability of each counted key's last piece.
+
+    ``gain`` is what the pieces in front save at a piece that begins a word: its bits as one
+    of all word beginnings, whatever their order, less ``bits``; 0 at other pieces.
+
+    ``counts`` is read several times (``materialise`` it).
+    """
+    last = F.col("gram").bitwiseAND(F.lit(_mask(1)))
+    model = _interpolated(*_orders(counts), ORDER).select("lang", F.col("key").alias("gram"), (-F.log2("p")).alias("bits"))
+    return model.join(_free(counts), F.col("lang").eqNullSafe(F.col("__lang")) & (last == F.col("__last")), "left").select(
         "lang", "gram", "bits", F.coalesce(F.col("__free") - F.col("bits"), F.lit(0.0)).alias("gain")
     )
 
 
+def gram_parts(counts: DataFrame) -> DataFrame:
+    """The same model, ``(lang, part, key, bits)``, without the keys counted once.
+
+    Such a key has no probability of its own: its bits are those its context leaves to the
+    order below (``CONTEXT``) plus those of its last two pieces (``PAIR``). ``TRIPLE`` are
+    the keys counted more than once, ``BEGIN`` the pieces that begin words, in no order.
+    """
+    rows, weights, lower = _orders(counts)
+    parts = {
+        TRIPLE: _interpolated(rows.where(F.col("n") > 1), weights, lower, ORDER).select("lang", "key", (-F.log2("p")).alias("bits")),
+        PAIR: lower.select("lang", "key", (-F.log2("p")).alias("bits")),
+        CONTEXT: weights.select(F.col("__slang").alias("lang"), F.col("__sctx").alias("key"), (-F.log2("gamma")).alias("bits")),
+        BEGIN: _free(counts).toDF("lang", "key", "bits"),
+    }
+    return reduce(DataFrame.unionByName, [own.select("lang", F.lit(part).alias("part"), "key", "bits") for part, own in parts.items()])
+
+
 def sorted_arrays(model: DataFrame) -> DataFrame:
-    """The model as stored: rows ``(lang, shard, keys, bits, gain)`` with all arrays sorted by key.
+    """The model as stored: rows ``(lang, part, shard, keys, bits)`` with both arrays sorted by key.
 
-    A shard is a range of keys with the same leading unit bits, so shards in order make one sorted array.
+    A shard is a range of keys with the same leading seven bits, so shards in order make one sorted array.
     """
-    shard = F.shiftrightunsigned("gram", 56)
-    pairs = F.array_sort(F.collect_list(F.struct("gram", "bits", "gain")))
-    return model.groupBy("lang", shard.alias("shard")).agg(pairs.alias("__pairs")).select(
-        "lang", "shard", F.col("__pairs.gram").alias("keys"), F.col("__pairs.bits").alias("bits"), F.col("__pairs.gain").alias("gain")
+    shard = F.coalesce(*[F.when(F.col("part") == part, F.shiftrightunsigned("key", BITS * pieces - 7)) for part, pieces in PIECES.items()])
+    pairs = F.array_sort(F.collect_list(F.struct("key", F.col("bits").cast("float").alias("bits"))))
+    return model.groupBy("lang", "part", shard.alias("shard")).agg(pairs.alias("__pairs")).select(
+        "lang", "part", "shard", F.col("__pairs.key").alias("keys"), F.col("__pairs.bits").alias("bits")
     )
 
 
+def model_arrays(model: DataFrame) -> dict[str | None, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Sorted keys and their bits by language and part."""
+    found: dict[str | None, dict[int, dict]] = {}
+    for batch in sorted_arrays(model).toArrow().to_batches():
+        for lang, part, shard, keys, bits in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+            found.setdefault(lang, {}).setdefault(part, {})[shard] = keys.values.to_numpy().view(np.uint64), bits.values.to_numpy()
+    return {
+        lang: {part: tuple(map(np.concatenate, zip(*[own[i] for i in sorted(own)], strict=True))) for part, own in parts.items()}
+        for lang, parts in found.items()
+    }
+
+
+def key_bits(parts: dict[int, tuple[np.ndarray, np.ndarray]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and order gain of counted keys of one language."""
+
+    def of(part: int, wanted: np.ndarray) -> np.ndarray:
+        known, bits = parts[part]
+        return bits[np.searchsorted(known, wanted)]
+
+    bits = np.zeros(len(keys), dtype=np.float32)
+    own = np.zeros(len(keys), dtype=bool)
+    if TRIPLE in parts:
+        known, values = parts[TRIPLE]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        own = known[at] == keys
+        bits[own] = values[at[own]]
+    once = keys[~own]
+    bits[~own] = of(CONTEXT, once >> np.uint64(BITS)) + of(PAIR, once & np.uint64(_mask(2)))
+    gain = np.zeros(len(keys), dtype=np.float32)
+    begins = (keys & np.uint64(1)).astype(bool)
+    if begins.any():
+        gain[begins] = of(BEGIN, keys[begins] & np.uint64(_mask(1))) - bits[begins]
+    return bits, gain
+
+
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside windows that are found twice or more in the text."""
     n = len(words) - window + 1
@@ -275,12 +353,7 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
         return out, words, list(by.items())
 
     if broadcast:
-        parts: dict[str | None, list] = {}
-        for row in sorted_arrays(model).orderBy("lang", "shard").toArrow().to_batches():
-            for lang, keys, *costs in zip(row.column("lang").to_pylist(), *(row.column(c) for c in ("keys", "bits", "gain")), strict=True):
-                parts.setdefault(lang, []).append((keys.values.to_numpy().view(np.uint64), *(c.values.to_numpy().astype(np.float32) for c in costs)))
-        arrays = {lang: tuple(map(np.concatenate, zip(*found, strict=True))) for lang, found in parts.items()}
-        shared = docs.sparkSession.sparkContext.broadcast(arrays)
+        shared = docs.sparkSession.sparkContext.broadcast(model_arrays(model))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
@@ -289,11 +362,9 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
                 for lang, rows_ in by:
                     keys, owner = grams([words[i] for i in rows_])
                     if len(keys):
-                        known, *costs = shared.value[lang]
                         own, where = np.unique(keys, return_inverse=True)
-                        found = np.searchsorted(known, own)
-                        for kind_, cost in enumerate(costs):
-                            sums[kind_, rows_] = np.bincount(owner, weights=cost[found][where], minlength=len(rows_))
+                        for kind_, cost in enumerate(key_bits(shared.value[lang], own)):
+                            sums[kind_, rows_] = np.bincount(owner, weights=cost[where], minlength=len(rows_))
                 yield out | {"bits": sums[0], "gain": sums[1]}
 
         return map_batches(rows, score, f"{base}, bits double, gain double")
@@ -377,8 +448,9 @@ def judge(
     ``(id, lang, counts, base_failed, perplexity, lower, upper, gain, least_gain, kept)``; ``gain`` is in bits per word.
     """
     counts = materialise(count_grams(docs, lang_col, text_col))
-    model = materialise(gram_bits(counts))
-    scored = materialise(_scored(docs, model, counts.count() <= broadcast_entries, id_col, lang_col, text_col))
+    broadcast = counts.where(F.col("n") > 1).count() <= broadcast_entries
+    model = gram_parts(counts) if broadcast else materialise(gram_bits(counts))
+    scored = materialise(_scored(docs, model, broadcast, id_col, lang_col, text_col))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     mean, gain = F.col("bits") / F.col("spoken"), F.col("gain") / F.greatest("n_words", F.lit(1))
     scored = scored.withColumns({"base_failed": failed, "__bits": mean, "__order": gain})

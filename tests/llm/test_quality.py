@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from pollspark.llm.quality import LEAST, LOWER, ORDERED, SHORT, STEPS, UPPER, count_grams, gram_bits, judge, op8_quality_rules
+from pollspark.llm.quality import (
+    LEAST, LOWER, ORDERED, SHORT, STEPS, TRIPLE, UPPER, count_grams, gram_bits, gram_parts, judge, key_bits, model_arrays, op8_quality_rules,
+)
 from pollspark.session import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,6 +106,32 @@ def test_model_follows_the_definition(spark):
             assert got[lang][packed(g)] == pytest.approx(pair)
 
 
+def test_sent_model_has_no_key_counted_once(spark, sf_dir):
+    """The arrays that tasks get hold the keys counted more than once only, and give every key's bits and gain."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").limit(200)
+    docs = docs.unionByName(spark.createDataFrame([(None, "une deux trois quatre"), ("xx", "a b " * 9)], "lang string, text string"))
+    counts = materialise(count_grams(docs))
+    n = {(r.lang, r.gram): r.n for r in counts.collect()}
+    full = gram_bits(counts).collect()
+    parts = model_arrays(gram_parts(counts))
+    twice = Counter(lang for (lang, _), times in n.items() if times > 1)
+    assert {lang: len(own[TRIPLE][0]) for lang, own in parts.items() if TRIPLE in own} == twice
+    assert 2 * sum(twice.values()) < len(n) == len(full)
+    for lang in parts:
+        rows = [r for r in full if r.lang == lang]
+        bits, gain = key_bits(parts[lang], np.array([r.gram for r in rows], dtype=np.uint64))
+        assert bits == pytest.approx([r.bits for r in rows], abs=1e-5)
+        assert gain == pytest.approx([r.gain for r in rows], abs=1e-5)
+
+
+@pytest.mark.parametrize("entries", [0, 10**6])
+def test_no_key_is_rare(spark, entries):
+    """No key is counted once or twice: the discounts' formula has no denominator."""
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten", "en") for i in range(7)], "doc_id long, text string, lang string")
+    found = judge(docs, broadcast_entries=entries).collect()
+    assert len(found) == 7 and len({r.perplexity for r in found}) == 1 and all(r.kept and r.perplexity > 1 for r in found)
+
+
 def lower_median(values):
     return sorted(values)[(len(values) - 1) // 2]
 
