@@ -123,6 +123,6 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker and vocabulary."""
-    return ChunkEncoder(path)
+def encoder(path: str, memo: int = 500_000) -> ChunkEncoder:
+    """One encoder per Python worker, vocabulary and number of remembered chunks."""
+    return ChunkEncoder(path, memo)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pollspark.llm import token_files
 from pollspark.llm.packing import best_fit, op2_best_fit_packing, pack, packed_documents, pieces, ranked, sequences
 from pollspark.llm.token_files import SUB, decode_sub, decode_words, encode_words, op3_token_files, read_token_files, write_token_files
 from pollspark.llm.tokens import ChunkEncoder, vocabulary_path
@@ -177,3 +178,16 @@ def test_many_rows_of_one_id_in_several_files(spark, tmp_path):
         assert r.start == end
         end += r.n_tokens
     assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [None] * 1000 + [1] * 2000
+
+
+def test_token_files_remember_many_chunks():
+    """A worker that has met 600,000 chunks learns none of them again."""
+    coder = token_files.encoder(vocabulary_path(), token_files.MEMO)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    slices = [[" ".join(f"{i:x}".translate(letters) for i in range(a, a + 100)) for a in range(b, b + 10_000, 100)] for b in range(0, 600_000, 10_000)]
+    first = [coder.encode(s) for s in slices]
+    coder.memo.learn = lambda part: pytest.fail(f"{part} was forgotten")
+    try:
+        assert [coder.encode(s) for s in slices] == first
+    finally:
+        coder.memo.learn = coder.learn
