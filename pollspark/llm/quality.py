@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pollspark.llm.common import keyed, map_batches, table, without
-from pollspark.session import materialise
+from pollspark.session import arrow_batches, materialise
 
 ORDER = 3
 #: UTF-16 units of a piece, and bits of a piece's code; ``ORDER`` codes fit a signed 64-bit key.
@@ -66,6 +66,10 @@ PIECES = {TRIPLE: 3, PAIR: 2, CONTEXT: 2, BEGIN: 1}
 #: Keys a task holds before it merges them, and keys counted more than once (12 bytes each) that
 #: may be broadcast; a larger model is joined by key instead.
 HELD = 2_000_000
+#: Bytes of texts that Spark sends to a task at a time (arrays over them take some 50 times as much), and
+#: rows of keys that a task returns at a time.
+BATCH_BYTES = 1 << 20
+FLUSH = 1 << 16
 BROADCAST_ENTRIES = 8_000_000
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 
@@ -125,7 +129,9 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
         def flush() -> Iterator[dict]:
             for lang, parts in held.items():
                 keys, n = _merge(parts)
-                yield {"lang": [lang] * len(keys), "gram": keys.view(np.int64), "n": n}
+                for a in range(0, len(keys), FLUSH):
+                    some = keys[a : a + FLUSH]
+                    yield {"lang": [lang] * len(some), "gram": some.view(np.int64), "n": n[a : a + FLUSH]}
 
         for batch in batches:
             by: dict[str | None, list] = {}
@@ -372,14 +378,15 @@ def _scored(docs: DataFrame, model: DataFrame, broadcast: bool, id_col: str, lan
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out, words, by = read(batch)
-            keys_of: list = [None] * batch.num_rows
-            for _, rows_ in by:
-                keys, owner = grams([words[i] for i in rows_])
-                for j, i in enumerate(rows_):
-                    own, n = np.unique(keys[owner == j], return_counts=True)
-                    keys_of[i] = [{"gram": g, "n": m} for g, m in zip(own.view(np.int64).tolist(), n.tolist(), strict=True)]
-            yield out | {"row": row + np.arange(batch.num_rows), "keys": keys_of}
+            out, words, _ = read(batch)
+            keys, owner = grams(words)
+            order = np.lexsort((keys, owner))
+            keys, owner = keys[order], owner[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]).astype(bool) | (np.diff(owner, prepend=-1) > 0))
+            n = np.diff(first, append=len(keys))
+            pairs = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(n)], names=["gram", "n"])
+            ends = np.searchsorted(owner[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield out | {"row": row + np.arange(batch.num_rows), "keys": pa.ListArray.from_arrays(pa.array(ends), pairs)}
             row += batch.num_rows
 
     asked = materialise(map_batches(rows, ask, f"{base}, __row long, __keys array<struct<gram: long, n: long>>"))
@@ -447,10 +454,12 @@ def judge(
 
     ``(id, lang, counts, base_failed, perplexity, lower, upper, gain, least_gain, kept)``; ``gain`` is in bits per word.
     """
-    counts = materialise(count_grams(docs, lang_col, text_col))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        counts = materialise(count_grams(docs, lang_col, text_col))
     broadcast = counts.where(F.col("n") > 1).count() <= broadcast_entries
     model = gram_parts(counts) if broadcast else materialise(gram_bits(counts))
-    scored = materialise(_scored(docs, model, broadcast, id_col, lang_col, text_col))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        scored = materialise(_scored(docs, model, broadcast, id_col, lang_col, text_col))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     mean, gain = F.col("bits") / F.col("spoken"), F.col("gain") / F.greatest("n_words", F.lit(1))
     scored = scored.withColumns({"base_failed": failed, "__bits": mean, "__order": gain})

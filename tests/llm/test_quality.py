@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pollspark.llm import quality
 from pollspark.llm.quality import (
-    LEAST, LOWER, ORDERED, SHORT, STEPS, TRIPLE, UPPER, count_grams, gram_bits, gram_parts, judge, key_bits, model_arrays, op8_quality_rules,
+    BATCH_BYTES, FLUSH, LEAST, LOWER, ORDERED, SHORT, STEPS, TRIPLE, UPPER, count_grams, gram_bits, gram_parts, judge, key_bits, model_arrays, op8_quality_rules,
 )
 from pollspark.session import materialise
 
@@ -132,6 +133,37 @@ def test_no_key_is_rare(spark, entries):
     assert len(found) == 7 and len({r.perplexity for r in found}) == 1 and all(r.kept and r.perplexity > 1 for r in found)
 
 
+@pytest.mark.parametrize("entries", [0, 10**6])
+def test_tasks_hold_few_bytes_of_text(spark, monkeypatch, entries):
+    """Texts come to the tasks some ``BATCH_BYTES`` at a time, keys leave them ``FLUSH`` at a time, and the session's setting stays."""
+    schemas = []
+
+    def watched(df, step, schema):
+        def looked(batches):
+            def each():
+                for batch in batches:
+                    assert batch.get_total_buffer_size() <= 3 * BATCH_BYTES, "a task holds a large batch"
+                    yield batch
+
+            for columns in step(each()):
+                assert len(next(iter(columns.values()))) <= FLUSH, "a task returns a large batch"
+                yield columns
+
+        schemas.append(schema)
+        return original(df, looked, schema)
+
+    original = quality.map_batches
+    monkeypatch.setattr(quality, "map_batches", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    words = "translate(sha2(concat(id, '-', x), 256), '0123456789', 'qwertyuiop')"
+    docs = spark.range(300, numPartitions=1).selectExpr("id AS doc_id", "'en' AS lang", f"array_join(transform(sequence(1, 400), x -> {words}), ' ') AS text")
+    assert docs.selectExpr("sum(length(text))").first()[0] > 6 * BATCH_BYTES
+    found = judge(docs, broadcast_entries=entries)
+    assert found.count() == 300 and found.where("n_words = 400").count() == 300
+    assert len(schemas) == 2 and spark.conf.get(key) == before
+
+
 def lower_median(values):
     return sorted(values)[(len(values) - 1) // 2]
 
